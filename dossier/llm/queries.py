@@ -31,3 +31,12 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import round_trip
 
     return round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability and verdict of each category for every text."""
+    from .toxicity import CATEGORIES, classify, fit
+
+    docs = table(spark, sf_dir, "documents")
+    return classify(docs, fit(docs, table(spark, sf_dir, "labels"), CATEGORIES))
