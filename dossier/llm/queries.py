@@ -40,3 +40,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+
+
+@query
+def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are alike."""
+    from .near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
