@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,26 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_dup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
+@query
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text as a payload: referred to by a page, stored as media, read back, and found again by its digest."""
+    from .media import padded, payload_features, resolve, sequences
+
+    docs = table(spark, sf_dir, "documents")
+    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    digest = F.sha2(padded(data), 256)
+    caption = F.concat(F.lit("bytes="), F.length(data))
+    page = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    found = resolve(sequences(docs.select("doc_id", page.alias("html")), "doc_id", "html"), payload_features(docs.select(data.alias("data")), "data"), "doc_id")
+    return found.select(
+        "doc_id",
+        F.regexp_extract("caption", r"^bytes=(\d+)$", 1).cast("long").alias("n_bytes"),
+        "payload_bytes",
+        F.col("digest").alias("payload_sha256"),
+        "tail_crc32",
+        "media_bytes",
+        "media_sha256",
+        "feature",
+    )
