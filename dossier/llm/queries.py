@@ -72,3 +72,19 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "media_sha256",
         "feature",
     )
+
+
+@query
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences that repeat earlier runs of sentences: how many each document loses, and what is left."""
+    from .sentences import dedupe
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedupe(docs).select(
+        "doc_id",
+        F.col("left.sentences").cast("long").alias("n_sentences"),
+        F.col("left.removed").cast("long").alias("n_removed"),
+        F.length("text").cast("long").alias("n_chars"),
+        F.length("left.text").cast("long").alias("n_kept_chars"),
+        F.sha2(F.coalesce("left.text", F.lit("")), 256).alias("kept_sha256"),
+    )
