@@ -88,3 +88,13 @@ def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("left.text").cast("long").alias("n_kept_chars"),
         F.sha2(F.coalesce("left.text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of each document a mix of all sources takes."""
+    from .mixing import mix
+
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    m = F.col("mix")
+    return mixed.select("doc_id", m.size.alias("size"), m.source_size.alias("source_size"), m.target.alias("target"), (m.size * F.size(m.shards)).cast("long").alias("taken"), m.shards.alias("shards"))
