@@ -98,3 +98,27 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     m = F.col("mix")
     return mixed.select("doc_id", m.size.alias("size"), m.source_size.alias("source_size"), m.target.alias("target"), (m.size * F.size(m.shards)).cast("long").alias("taken"), m.shards.alias("shards"))
+
+
+@query
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth vector."""
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op6_ann"] = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), d AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
+  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
