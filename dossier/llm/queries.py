@@ -122,3 +122,12 @@ WITH e AS (
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
+
+
+@query
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each text that strings of 100 bytes repeat from earlier ones, and what is left."""
+    from .suffixes import dedupe
+
+    left = dedupe(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
