@@ -36,7 +36,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features besides the word itself.
 BEGINNINGS = (4, 5, 6)
 #: Features that are selected for each category, and rows that each must occur in.
-SELECTED, LEAST_ROWS = 1024, 5
+SELECTED, LEAST_ROWS = 512, 5
 FOLDS, STEPS, DECAY = 3, 150, 1e-4
 #: Words whose features a task remembers.
 REMEMBERED = 200_000
@@ -91,8 +91,7 @@ class Chain:
 
 def fit_one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Logistic regression with a little weight decay, by Adam over all rows; the last weight is the constant."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     share = min(max(float(y.mean()), 1e-6), 1 - 1e-6) if len(y) else 1e-6
     w[-1] = math.log(share / (1 - share))
     if not 0 < y.sum() < len(y):
@@ -100,8 +99,9 @@ def fit_one(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     m = np.zeros_like(w)
     v = np.zeros_like(w)
     for t in range(1, STEPS + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (p - y).astype(np.float32) / len(y) + DECAY * np.append(w[:-1], 0).astype(np.float32)
+        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        off = (p - y).astype(np.float32)
+        g = np.append(off @ x, off.sum()) / len(y) + DECAY * np.append(w[:-1], 0).astype(np.float32)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w = w - (0.3 / (1 + 0.02 * t)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -124,7 +124,7 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit a chain on at most max_rows labelled rows. Each category is a 0/1 column of labels."""
     sample = labels.select(id_col, *categories).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), *categories).limit(max_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most max_rows ids
@@ -155,16 +155,17 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_row
 
         def only():
             table = wanted.value
-            return lambda *v: (*v[:-1], [(table[x["w"]], x["n"]) for x in v[-1] if x["w"] in table])
+            return lambda *v: (*v[:-1], np.array([(table[x["w"]], x["n"]) for x in v[-1] if x["w"] in table], np.int32).tobytes())
 
-        sparse = map_rows(counted, only, f"{id_col} {dict(docs.dtypes)[id_col]}, {kinds}, words array<struct<w: int, n: int>>").orderBy(id_col).collect()
+        # at most max_rows rows of at most len(features) pairs of numbers
+        sparse = map_rows(counted, only, f"{id_col} {dict(docs.dtypes)[id_col]}, {kinds}, words binary").orderBy(id_col).collect()
     finally:
         counted.unpersist()
 
     x = np.zeros((len(sparse), len(features)), np.float32)
     for i, row in enumerate(sparse):
-        for w, n in row.words:
-            x[i, w] = math.log1p(n)
+        pairs = np.frombuffer(row.words, np.int32).reshape(-1, 2)
+        x[i, pairs[:, 0]] = np.log1p(pairs[:, 1])
     fold = np.arange(len(sparse)) % FOLDS
     weights, thresholds = [], []
     for c in categories:
