@@ -131,3 +131,12 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     left = dedupe(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from three quarters of the documents."""
+    from .language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
