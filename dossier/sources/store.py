@@ -27,13 +27,13 @@ class Store:
 
     def current(self) -> dict[str, str]:
         """Folder by table of the committed version; empty before the first commit."""
-        at = f"{self.root}/_CURRENT"
+        at = f"{self.root}/CURRENT"
         if not self.fs.exists(self.path(at)):
             return {}
         return json.loads(self.spark.read.text(at, wholetext=True).first().value)
 
     def _point(self, folders: dict[str, str]) -> None:
-        at, new = self.path(f"{self.root}/_CURRENT"), self.path(f"{self.root}/_NEXT")
+        at, new = self.path(f"{self.root}/CURRENT"), self.path(f"{self.root}/NEXT")
         out = self.fs.create(new, True)
         out.write(bytearray(json.dumps(folders).encode()))
         out.close()
@@ -114,7 +114,7 @@ class Store:
             raise ValueError("the store is empty: nothing to publish")
         for folder in version.values():
             self._copy(f"{self.root}/{folder}", f"{dest}/{stamp}/{folder}")
-        self._copy(f"{self.root}/_CURRENT", f"{dest}/{stamp}/_CURRENT")
+        self._copy(f"{self.root}/CURRENT", f"{dest}/{stamp}/CURRENT")
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{dest}/{stamp}")
         sums = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
         return {"stamp": stamp, "files": sums.files, "bytes": sums.bytes}
@@ -123,7 +123,7 @@ class Store:
     def restore(spark: SparkSession, source: str, stamp: str, root: str) -> Store:
         """Copy a published version to a new root; an unknown stamp is an error."""
         store = Store(spark, root)
-        if not store.fs.exists(store.path(f"{source}/{stamp}/_CURRENT")):
+        if not store.fs.exists(store.path(f"{source}/{stamp}/CURRENT")):
             raise ValueError(f"no snapshot {stamp!r}")
         store._copy(f"{source}/{stamp}", root)
         return store
