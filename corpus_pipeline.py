@@ -19,8 +19,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Documents that the classifier chain does not find toxic. Empty texts stay."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.CATEGORIES)
     at = model.categories.index("toxic")
-    judged = toxicity.classify(docs, model, keep=True)
-    return judged.where(F.col("verdict")[at] < model.thresholds[at]).drop("verdict")
+    judged = toxicity.classify(docs, model, keep=True, into="__verdict")
+    return judged.where(F.col("__verdict")[at] < model.thresholds[at]).drop("__verdict")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,15 +31,15 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the sentences of runs that occur earlier; those that lose all their words go."""
-    found = sentences.dedupe(docs)
-    left = found.where("left.removed = 0 OR left.text RLIKE '\\\\S'")
-    n_chars = F.when(F.col("left.removed") > 0, F.length("left.text").cast("long")).otherwise(F.col("n_chars"))
-    return left.withColumns({"text": F.col("left.text"), "n_chars": n_chars}).select(*docs.columns)
+    left = F.col("__left")
+    found = sentences.dedupe(docs, into="__left").where((left["removed"] == 0) | left["text"].rlike(r"\S"))
+    n_chars = F.when(left["removed"] > 0, F.length(left["text"]).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"text": left["text"], "n_chars": n_chars}).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A mix of the sources at their target weights: documents that are taken twice are there twice."""
-    return mixing.copies(mixing.mix(docs)).select(*docs.columns)
+    return mixing.copies(mixing.mix(docs, into="__mix"), into="__mix").select(*docs.columns)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

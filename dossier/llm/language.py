@@ -143,10 +143,10 @@ def held_out(id_col: str) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit on rows that aren't held out and have a text and a language."""
-    rows = docs.where(~held_out(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("text IS NOT NULL AND lang IS NOT NULL")
     order = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    ids = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select("id").distinct()
-    sample = rows.join(F.broadcast(ids), rows[id_col].eqNullSafe(F.col("id")), "left_semi")  # per_language ids of each language
+    ids = rows.select("id", "lang").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_language).select(F.col("id").alias("chosen")).distinct()
+    sample = rows.join(F.broadcast(ids), F.col("id").eqNullSafe(F.col("chosen")), "left_semi")  # per_language ids of each language
 
     def make():
         def row(lang, text):
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id
 
         return row
 
-    found = [r for r in map_rows(sample.select(lang_col, text_col), make, "lang string, x binary").orderBy("lang", "x").collect() if r.x is not None]
+    found = [r for r in map_rows(sample.select("lang", "text"), make, "lang string, x binary").orderBy("lang", "x").collect() if r.x is not None]
     if not found:
         return Model(None, {})
     x = np.frombuffer(b"".join(r.x for r in found), np.float16).reshape(-1, DIM).astype(np.float32)

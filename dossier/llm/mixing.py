@@ -125,8 +125,8 @@ def _small(by_source: DataFrame) -> bool:
     return by_source.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
 
 
-def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """All rows and columns of docs with ``mix``: a struct of size, source_size, target, shards (one for each copy) and the row's place in a shard's order."""
+def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", into: str = "mix", **options) -> DataFrame:
+    """All rows and columns of docs with ``into`` (in place of a column of that name): a struct of size, source_size, target, shards (one for each copy) and the row's place in a shard's order."""
     size = size_of(F.col(text_col))
     h = F.xxhash64(F.lit(seed), F.col(id_col))
     block, part = F.pmod(h, F.lit(BLOCKS)).cast("int"), F.pmod(F.shiftright(h, 20), F.lit(BLOCKS)).cast("int")
@@ -140,11 +140,11 @@ def mix(docs: DataFrame, seed: int = 0, id_col: str = "doc_id", text_col: str =
     in_part = (F.col("__block") == F.col("__part_block")) & F.array_contains("__parts", F.col("__part"))
     shards = F.concat(whole, F.when(F.coalesce(in_part, F.lit(False)), F.array("__part_shard")).otherwise(F.array().cast("array<int>")))
     facts = F.struct(F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), shards.alias("shards"), F.xxhash64(F.lit(seed + 99), F.col(id_col)).alias("place"))
-    return joined.withColumn("__mix", facts).select(*(docs[c] for c in docs.columns), F.col("__mix").alias("mix"))
+    return joined.withColumn("__mix", facts).select(*(docs[c] for c in docs.columns if c != into), F.col("__mix").alias(into))
 
 
-def copies(mixed: DataFrame) -> DataFrame:
-    """The mix itself: a row for each copy with its ``shard``, shuffled within the shards of each partition."""
-    columns = [c for c in mixed.columns if c != "mix"]
-    rows = mixed.select(*columns, F.col("mix.place").alias("__place"), F.posexplode("mix.shards").alias("__copy", "shard"))
-    return rows.sortWithinPartitions("shard", F.xxhash64("__place", "__copy")).select(*columns, "shard")
+def copies(mixed: DataFrame, into: str = "mix") -> DataFrame:
+    """The mix itself: a row for each copy with its ``shard`` (in place of a column of that name), shuffled within the shards of each partition."""
+    columns = [c for c in mixed.columns if c not in (into, "shard")]
+    rows = mixed.select(*columns, F.col(into)["place"].alias("__place"), F.posexplode(F.col(into)["shards"]).alias("__copy", "__shard"))
+    return rows.sortWithinPartitions("__shard", F.xxhash64("__place", "__copy")).select(*columns, F.col("__shard").alias("shard"))

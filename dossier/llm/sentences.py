@@ -100,8 +100,8 @@ def cut(text: str | None, starts: list[int] | None, span: int) -> tuple[str | No
     return (text if not gone else "".join(p for i, p in enumerate(pieces) if i not in gone), len(pieces), len(gone))
 
 
-def dedupe(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, and ``left``: a struct of the text that is left, its sentences before, and those removed."""
+def dedupe(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", into: str = "left") -> DataFrame:
+    """All rows and columns of docs, and ``into`` (in place of a column of that name): a struct of the text that is left, its sentences before, and those removed."""
     found = removals(docs, span, least_words, id_col, text_col).withColumnsRenamed({id_col: "__id", "starts": "__starts"})
 
     @F.pandas_udf("struct<text: string, sentences: int, removed: int>")
@@ -111,4 +111,4 @@ def dedupe(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id
         return pd.DataFrame([cut(t, s, span) for t, s in zip(texts, starts)], columns=["text", "sentences", "removed"]).astype({"sentences": "int32", "removed": "int32"})
 
     joined = docs.join(found, docs[id_col] == F.col("__id"), "left").withColumn("__left", left(F.col(text_col), F.col("__starts")))
-    return joined.select(*(docs[c] for c in docs.columns), F.col("__left").alias("left"))
+    return joined.select(*(docs[c] for c in docs.columns if c != into), F.col("__left").alias(into))

@@ -181,10 +181,10 @@ def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_row
     return Chain(features, categories, weights, thresholds)
 
 
-def classify(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+def classify(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, into: str = "verdict") -> DataFrame:
     """(id, p_<category>..., <category>...): each category's probability and whether it reaches the threshold.
 
-    With keep, all columns of docs stay and one column ``verdict`` with the
+    With keep, all columns of docs stay and one column, ``into``, with the
     probabilities in order is added instead.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -197,7 +197,7 @@ def classify(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: st
             work = sent.value.classifier()
             return pd.Series([work(t) for t in texts])
 
-        return docs.withColumn("verdict", verdict(F.col(text_col)))
+        return docs.withColumn(into, verdict(F.col(text_col)))
 
     def make():
         work, at = sent.value.classifier(), sent.value.thresholds
