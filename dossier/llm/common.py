@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: Bytes that separate words: space and 0x09 to 0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Spark's setting by which a query's shuffle files go when it has ended: the written table replaces them.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of one Arrow batch that are held as Python objects at a time.
 SLICE_ROWS = 256
 
@@ -34,7 +37,14 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 def stash_path(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, None)
+    if was is not None:
+        spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if was is not None:
+            spark.conf.set(CLEANUP, was)
     return path
 
 

@@ -252,13 +252,12 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, batches: tuple[float,
         share = (batches[cuts.index(high)] if high is not None else 1.0) - (batches[cuts.index(low)] if low is not None else 0.0)
         family.add(batch, int(ends.n * share) + 1)
     family.close()
-    tested = stash(windows(docs, spark.read.parquet(*family.open), length), "windows")
-    nth = F.rank().over(W.partitionBy("pk").orderBy("doc", "at"))
-    by_window = tested.where("n = 0").withColumn("nth", nth).where("nth > 1").select("doc", F.col("at").alias("a"), (F.col("at") + length).alias("b"))
-    by_task = tested.where("n > 0").select("doc", F.col("at").alias("a"), (F.col("at") + F.col("n") - 1 + length).alias("b"))
+    nth = F.rank().over(W.partitionBy("pk", "n").orderBy("doc", "at"))
+    tested = windows(docs, spark.read.parquet(*family.open), length).withColumn("nth", nth).where("n > 0 OR nth > 1")
+    by_window = stash(tested.select("doc", F.col("at").alias("a"), (F.col("at") + F.greatest("n", F.lit(1)) - 1 + length).alias("b")), "spans")
     place = F.col("place")
     by_row = spark.read.parquet(*family.repeats).select("doc", F.shiftright(place, 12).alias("a"), (F.shiftright(place, 12) + place.bitwiseAND(F.lit(4095)) + length).alias("b"))
-    return by_row.union(by_task).union(by_window).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    return stash(by_row.union(by_window).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "cuts")
 
 
 def dedupe(docs: DataFrame, length: int = LENGTH, batches: tuple[float, ...] = BATCHES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
