@@ -8,11 +8,12 @@ table with probability (1 - (1 - s**rows)**bands)**2, which is 0.99993 at 0.8
 for ten bands of two hashes, and rises quickly above it.
 
 Documents with equal sets are one class; only classes are compared. In each
-table bucket all members are compared with the smallest and the largest id;
-confirmed links join them. Buckets that still hold more than one component
-afterwards get what is missing: each member outside the bucket's largest
-component is compared with every member of another component. So every pair that shares a
-bucket is either compared or already connected, without all pairs of a large group being made.
+table bucket all members are compared with the smallest and the largest id,
+and confirmed links join them. In buckets that still hold several components,
+members are compared with a few others chosen by chance, in rounds. What is still apart
+after that is compared by its rarest shingles, which misses no pair. So every
+pair that shares a bucket is compared, already connected, or known to be unlike, without all pairs of a
+large group being made.
 
 A text's words are split at ASCII white space and lower-cased from A to Z
 only. Null and empty texts have an empty set and link with nothing; repeated
@@ -28,10 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_rows, stash_path
+from .common import drop_path, map_rows, stash, stash_path
 from .components import components
 
 BANDS, ROWS = 10, 2
+#: Rounds in which buckets of several components are searched, and members of each bucket chosen for it.
+ROUNDS, PIVOTS = 2, 2
+#: Comparisons of each document in a round.
+MET = 6
 #: Words whose hash a task remembers.
 REMEMBERED = 300_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -115,14 +120,19 @@ def buckets(classes: DataFrame) -> DataFrame:
     return classes.select("id", "n", F.explode(tables).alias("key"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, percent: int) -> DataFrame:
-    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, s): the shingle sets of those ids, as the bytes of sorted 64-bit hashes."""
 
     def make():
         shingler = Shingler(words)
         return lambda key, text: (key, shingler(text).tobytes())
 
-    sets = map_rows(docs.join(ids, "id", "left_semi"), make, "id long, s binary")
+    # always by shuffle, so that the plan is the same at every size
+    return map_rows(docs.join(ids.hint("merge"), "id", "left_semi"), make, "id long, s binary")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     @F.pandas_udf("boolean")
     def linked(x, y):
@@ -135,8 +145,34 @@ def confirmed(pairs: DataFrame, docs: DataFrame, ids: DataFrame, words: int, per
 
         return pd.Series([one(p, q) for p, q in zip(x, y)])
 
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
-    return left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b").where(linked("x", "y")).select("a", "b")
+    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")).hint("merge"), "a")
+    return left.join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")).hint("merge"), "b").where(linked("x", "y")).select("a", "b")
+
+
+def prefix_pairs(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components c that share one of their rarest shingles: no pair with the wanted similarity is missed.
+
+    A set of n shingles has all but ceil(n * percent / 100) - 1 of them in its
+    prefix, rarest first; two sets that are alike share a shingle of both
+    prefixes. A passage that many documents share is in no prefix unless it
+    is nearly all of a document.
+    """
+
+    @F.pandas_udf("array<long>")
+    def shingles(x):
+        import pandas as pd
+
+        return pd.Series([np.frombuffer(v, np.int64) for v in x])
+
+    own = sets.join(open_ids, "id").select("id", "c", F.explode(shingles("s")).alias("t"))
+    df = own.groupBy("t").agg(F.count("*").alias("df"))
+    ranked = own.join(df, "t").groupBy("id", "c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"), F.count("*").alias("n"))
+    prefix = F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    rare = ranked.select("id", "c", "n", F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("id", "c", (F.col("n") - F.col("at")).alias("rest"), "n", F.col("x.t").alias("t"))
+    other = rare.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"), F.col("n").alias("n2"), "t")
+    # from the first shingle that both have on, enough must be left for the overlap that the similarity takes
+    enough = f"least(rest, rest2) * {100 + percent} >= (n + n2) * {percent}"
+    return rare.join(other, "t").where(f"id < id2 AND c <> c2 AND n * 100 >= n2 * {percent} AND n2 * 100 >= n * {percent} AND {enough}").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,56 +183,54 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL")
-    made_at = stash_path(signatures(docs, words, "id", "text"), "sets")
-    made = spark.read.parquet(made_at)
-    classes_at = stash_path(
+    made = stash(signatures(docs, words, "id", "text"), "sets")
+    classes = stash(
         made.where("n_shingles > 0").groupBy("set_hash").agg(F.min("id").alias("id"), F.first("n_shingles").alias("n"), F.first("first").alias("first"), F.first("second").alias("second")), "classes"
     )
-    classes = spark.read.parquet(classes_at)
     rows = buckets(classes)
+    # aggregated before the join: a full bucket is one row per task here, and can be split in the join
     shared = rows.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     members_at = stash_path(rows.join(shared, "key"), "members")
     members = spark.read.parquet(members_at)
-    near = (F.col("n") * 100 >= F.col("n2") * percent) & (F.col("n2") * 100 >= F.col("n") * percent)
+    sets_at = stash_path(set_table(docs, members.select("id").distinct(), words), "shingles")
+    sets = spark.read.parquet(sets_at)
     sizes = classes.select("id", "n")
+    like = f"n * 100 >= n2 * {percent} AND n2 * 100 >= n * {percent}"
+    links: list[str] = []
+    drop = [members_at, sets_at]
 
-    def sized(pairs: DataFrame) -> DataFrame:
-        """Distinct pairs whose sizes allow a link."""
-        pairs = pairs.where("a < b").distinct()
-        pairs = pairs.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n2")), "b")
-        return pairs.where(near).select("a", "b")
-
-    def confirm(pairs: DataFrame) -> str:
-        at = stash_path(pairs, "pairs")
-        pairs = spark.read.parquet(at)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        out = stash_path(confirmed(pairs, docs, ids, words, percent), "linked")
-        drop_path(spark, at)
-        return out
+    def confirm(pairs: DataFrame) -> None:
+        """Adds the links among some pairs (a, b)."""
+        at = stash_path(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "pairs")
+        links.append(stash_path(confirmed(spark.read.parquet(at), sets, percent), "links"))
+        drop.append(at)
 
     ends = members.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("id").alias("b")), F.struct(F.col("id").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b")
-    linked_at = confirm(sized(ends))
-    groups = components(spark.read.parquet(linked_at))
-    # Buckets with several components: compare across components what has not been compared.
-    labelled = members.join(groups, "id", "left").select("key", "id", "n", "low", "high", F.coalesce("component_id", "id").alias("c"))
+    ends = ends.where("a < b").distinct()
+    ends = ends.join(sizes.select(F.col("id").alias("a"), "n"), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n2")), "b")
+    confirm(ends.where(like).select("a", "b"))
+    for turn in range(ROUNDS + 1):
+        groups = components(spark.read.parquet(*links))
+        if turn == ROUNDS:
+            break
+        # buckets of several components: compare their members with a few chosen by chance
+        labelled = members.where("low < high").join(groups, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("c"))
+        chosen = [F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", "key", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+        pivots = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m"), F.array(*chosen).alias("ps")).where("c1 < c2 AND m > 2")
+        pivots = pivots.select("key", F.explode(F.array_distinct("ps")).alias("p")).select("key", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.c").alias("c2"))
+        # of the at most PIVOTS * BANDS**2 that a document meets, a few
+        met = labelled.join(pivots, "key").where(f"c <> c2 AND {like}").groupBy("id").agg(F.collect_set("id2").alias("met"))
+        few = F.slice(F.array_sort(F.transform("met", lambda x: F.struct(F.xxhash64(x, "id", F.lit(turn)).alias("h"), x.alias("x")))), 1, MET)
+        confirm(met.select(F.col("id").alias("a"), F.explode(few).alias("p")).select("a", F.col("p.x").alias("b")))
+    # what is still apart in some bucket is compared by its rarest shingles: nothing is missed
+    labelled = members.join(groups, "id", "left").select("key", "id", F.coalesce("component_id", "id").alias("c"))
     open_keys = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 < c2 AND m > 2").select("key")
-    open_at = stash_path(labelled.join(open_keys, "key").groupBy("key", "c").agg(F.count("*").alias("size")), "open")
-    largest = spark.read.parquet(open_at).groupBy("key").agg(F.max(F.struct("size", "c")).alias("top")).select("key", F.col("top.c").alias("top"))
-    still_at = stash_path(labelled.join(largest, "key"), "still")
-    still = spark.read.parquet(still_at)
-    outside = still.where("c <> top").select("key", F.col("id").alias("a"), F.col("c").alias("c1"), F.col("n").alias("n1"), "low", "high")
-    others = still.select("key", F.col("id").alias("b"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("top").alias("t"))
-    across = (
-        outside.join(others, "key")
-        .where("c1 <> c2 AND (c2 = t OR a < b) AND a NOT IN (low, high) AND b NOT IN (low, high)")
-        .where(f"n1 * 100 >= n2 * {percent} AND n2 * 100 >= n1 * {percent}")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-    )
-    more_at = confirm(across)
-    members_of = components(spark.read.parquet(linked_at).union(spark.read.parquet(more_at)))
+    open_at = stash_path(labelled.join(open_keys, "key").select("id", "c").distinct(), "open")
+    drop.append(open_at)
+    confirm(prefix_pairs(spark.read.parquet(open_at), sets, percent))
+    members_of = components(spark.read.parquet(*links))
     of_class = classes.select("set_hash", "id").join(members_of, "id", "left").select("set_hash", F.coalesce("component_id", "id").alias("component_id"))
     out = made.select("id", "n_shingles", "set_hash").join(of_class, "set_hash", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
-    for at in (members_at, open_at, still_at, linked_at, more_at):
+    for at in (*drop, *links):
         drop_path(spark, at)
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
