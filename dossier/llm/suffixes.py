@@ -47,7 +47,7 @@ from .common import SLICE_ROWS, drop_path, map_rows, stash, stash_path
 
 LENGTH = 100
 #: Shares of the documents at which batches end: each batch is as large as all before it.
-BATCHES = (0.125, 0.25, 0.5)
+BATCHES = (0.25, 0.5)
 #: Rows that a task settles together.
 BUFFER = 400_000
 ROW = "pk long, key long, ctx long, doc long, place long, shared boolean, witness boolean, dup boolean"
@@ -185,7 +185,8 @@ def windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
 
         def flush():
             h, doc, at = (np.concatenate(x) for x in held)
-            o = np.lexsort((at, doc, h))
+            # documents come in the order of ids, so that a stable sort keeps places in order
+            o = np.argsort(h, kind="stable") if (doc[1:] >= doc[:-1]).all() else np.lexsort((at, doc, h))
             h, doc, at = h[o], doc[o], at[o]
             first = np.concatenate([[True], h[1:] != h[:-1]])
             top = np.maximum.accumulate(np.where(first, np.arange(len(h)), 0))
