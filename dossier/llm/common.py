@@ -16,6 +16,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spark's setting by which a query's shuffle files go when it has ended: the written table replaces them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of one Arrow batch at most: texts are long, and an executor holds several batches at a time.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 2000
+
 #: Rows of one Arrow batch that are held as Python objects at a time.
 SLICE_ROWS = 256
 
@@ -64,6 +68,8 @@ def map_rows(df: DataFrame, each: Callable, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
+    if int(df.sparkSession.conf.get(BATCH)) > BATCH_ROWS:
+        df.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kind)

@@ -39,7 +39,7 @@ BEGINNINGS = (4, 5, 6)
 SELECTED, LEAST_ROWS = 512, 5
 FOLDS, STEPS, DECAY = 3, 150, 1e-4
 #: Words whose features a task remembers.
-REMEMBERED = 200_000
+REMEMBERED = 100_000
 
 
 def parts(word: str) -> list[str]:
