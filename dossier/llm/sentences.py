@@ -1,16 +1,17 @@
 """Substring deduplication by sliding spans of sentences.
 
 Each text is cut into sentences: after ``.``, ``!`` or ``?`` before white
-space, and at line ends. A sentence of more than LONG words is cut further,
+space, and at line ends. Every run of ``span`` consecutive sentences is hashed,
+however short, and all runs are joined over the whole corpus; the first occurrence
+of a run (smallest id, then earliest place) stays, and the sentences that any other
+occurrence covers are removed. Texts are judged as given, not as they are after removals.
+
+A sentence of more than LONG words is cut further,
 after words that their hash chooses, so that a passage is cut alike wherever
-it stands. Every run of ``span`` consecutive sentences is hashed and all runs
-are joined over the whole corpus; the first occurrence of a run (smallest id,
-then earliest place) stays, and the sentences that any other occurrence covers are
-removed. Texts are judged as given, not as they are after removals.
+it stands. Every run of ``span`` pieces that aren't all whole sentences is hashed
+too; one of fewer than ``least_words`` words takes in the pieces after it until it has these.
 
-Runs of fewer than ``least_words`` words are not compared: short common
-phrases ("No. Why? No.") are no copies. White space around a sentence and
-the case of ASCII letters do not count.
+White space around a sentence and the case of ASCII letters do not count.
 
 Null and empty texts have no sentences and are returned unchanged; a text
 with fewer than ``span`` sentences has one run, all of it. Rows that repeat
@@ -27,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import drop_path, map_rows, stash, stash_path
 
 SPAN, LEAST_WORDS, LONG = 3, 12, 12
 #: One sentence with the white space after it.
@@ -36,12 +37,18 @@ WORD_AND_SPACE = re.compile(r"\S+\s*")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
-def sentences(text: str | None) -> list[str]:
-    """Pieces that make up the text."""
+def _plain(piece: str) -> bytes:
+    return piece.strip().encode("utf-8").translate(_LOWER)
+
+
+def pieces(text: str | None) -> tuple[list[str], list[int], list[int]]:
+    """Pieces that make up the text, their words, and the first piece of each sentence."""
     out: list[str] = []
+    firsts: list[int] = []
     for piece in SENTENCE.findall(text or ""):
         if not piece:
             continue
+        firsts.append(len(out))
         if piece.count(" ") < LONG:
             out.append(piece)
             continue
@@ -54,21 +61,47 @@ def sentences(text: str | None) -> list[str]:
                 lead, now = "", []
         if now or lead:
             out.append(lead + "".join(now))
+    return out, [len(p.split()) for p in out], firsts
+
+
+def sentences(text: str | None) -> list[str]:
+    """Pieces that make up the text."""
+    return pieces(text)[0]
+
+
+def places(counts: list[int], firsts: list[int], span: int, least_words: int) -> list[tuple[int, int, int]]:
+    """(at, first piece, end) of each run, in order of at: even for runs of sentences, odd for those of pieces."""
+    n, m = len(counts), len(firsts)
+    starts = [*firsts, n]
+    out = [(2 * starts[k], starts[k], starts[min(k + span, m)]) for k in range(max(1, m - span + 1))] if m else []
+    if n == m:
+        return out
+    words = [0, *accumulate(counts)]
+    parts = [0, *accumulate(k for a, b in zip(starts, starts[1:]) for k in ((0,) if b - a == 1 else (1,) * (b - a)))]
+    need, j = least_words, 0
+    for i in range(n):
+        j = max(j, i + span)
+        while j <= n and words[j] - words[i] < need:
+            j += 1
+        if j > n:
+            break
+        if parts[j] > parts[i]:
+            out.append((2 * i + 1, i, j))
+    out.sort()
     return out
 
 
 def runs(text: str | None, span: int, least_words: int) -> list[tuple[int, int]]:
-    """(hash, first sentence) of each run; a short text has one run."""
-    plain = [s.strip().encode("utf-8").translate(_LOWER) for s in sentences(text)]
-    n = min(span, len(plain))
-    if not n:
-        return []
-    words = [0, *accumulate(len(p.split()) for p in plain)]
+    """(hash, place) of each run that has words; a short text has one run."""
+    parts, counts, firsts = pieces(text)
+    plain = [*map(_plain, parts)]
+    of = dict(zip(firsts, plain if len(firsts) == len(parts) else [_plain("".join(parts[a:b])) for a, b in zip(firsts, [*firsts[1:], len(parts)])]))
     out = []
-    for i in range(len(plain) - n + 1):
-        if words[i + n] - words[i] >= least_words:
-            h = xxhash.xxh3_64_intdigest(b"\n".join(plain[i : i + n]))
-            out.append((h - (1 << 64) if h >> 63 else h, i))
+    for at, i, j in places(counts, firsts, span, least_words):
+        run = plain[i:j] if at % 2 else [of[k] for k in range(i, j) if k in of]
+        if any(run):
+            h = xxhash.xxh3_64_intdigest(b"\n".join(run), at % 2)
+            out.append((h - (1 << 64) if h >> 63 else h, at))
     return out
 
 
@@ -83,32 +116,39 @@ def spans(docs: DataFrame, span: int, least_words: int, id_col: str, text_col: s
 
 
 def removals(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, starts): the first sentences of the runs of each document that occur earlier."""
-    rows = spans(docs, span, least_words, id_col, text_col)
+    """(id, starts): the places of the runs of each document that occur earlier."""
+    # written once: cutting the texts takes longer than reading the runs twice
+    rows_at = stash_path(spans(docs, span, least_words, id_col, text_col), "runs")
+    rows = docs.sparkSession.read.parquet(rows_at)
     # map-side combining: a very common run reaches the shuffle once per task
     first = rows.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
     later = rows.join(first, "h").where(F.struct("id", "at") != F.col("first"))
-    return later.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    found = stash(later.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_set("at")).alias("starts")), "removals")
+    drop_path(docs.sparkSession, rows_at)
+    return found
 
 
-def cut(text: str | None, starts: list[int] | None, span: int) -> tuple[str | None, int, int]:
-    """The text without the sentences of the runs that start there; the number of sentences, and of those removed."""
-    pieces = sentences(text)
+def cut(text: str | None, starts: list[int] | None, span: int, least_words: int = LEAST_WORDS) -> tuple[str | None, int, int]:
+    """The text without the pieces of the runs at those places; the number of pieces, and of those removed."""
+    parts, counts, firsts = pieces(text)
     gone: set[int] = set()
-    for i in starts if starts is not None else ():
-        gone.update(range(i, min(i + span, len(pieces))))
-    return (text if not gone else "".join(p for i, p in enumerate(pieces) if i not in gone), len(pieces), len(gone))
+    if starts is not None and len(starts):
+        chosen = set(starts)
+        for at, i, j in places(counts, firsts, span, least_words):
+            if at in chosen:
+                gone.update(range(i, j))
+    return (text if not gone else "".join(p for i, p in enumerate(parts) if i not in gone), len(parts), len(gone))
 
 
 def dedupe(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id_col: str = "doc_id", text_col: str = "text", into: str = "left") -> DataFrame:
-    """All rows and columns of docs, and ``into`` (in place of a column of that name): a struct of the text that is left, its sentences before, and those removed."""
+    """All rows and columns of docs, and ``into`` (in place of a column of that name): a struct of the text that is left, its pieces (sentences, or parts of long ones) before, and those removed."""
     found = removals(docs, span, least_words, id_col, text_col).withColumnsRenamed({id_col: "__id", "starts": "__starts"})
 
     @F.pandas_udf("struct<text: string, sentences: int, removed: int>")
     def left(texts, starts):
         import pandas as pd
 
-        return pd.DataFrame([cut(t, s, span) for t, s in zip(texts, starts)], columns=["text", "sentences", "removed"]).astype({"sentences": "int32", "removed": "int32"})
+        return pd.DataFrame([cut(t, s, span, least_words) for t, s in zip(texts, starts)], columns=["text", "sentences", "removed"]).astype({"sentences": "int32", "removed": "int32"})
 
     joined = docs.join(found, docs[id_col] == F.col("__id"), "left").withColumn("__left", left(F.col(text_col), F.col("__starts")))
     return joined.select(*(docs[c] for c in docs.columns if c != into), F.col("__left").alias(into))

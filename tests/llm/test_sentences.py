@@ -45,3 +45,20 @@ def test_edges(odd, empty):
     by = {r.doc_id: r.left for r in rows}
     assert by[3].text is None and by[2].text == "" and by[6].text == "" and by[None].removed == 0
     assert sentences.dedupe(empty).count() == 0
+
+
+def test_short_lines(spark):
+    """Each run of three lines has nine words; none has twelve."""
+    passage = "".join(f"Dish{i} with sauce{i}\n" for i in range(20))
+    df = frame(spark, [(i, f"Menu of house {i}\n{passage}Closed on day {i}\n", "en", "s", 1) for i in range(3)])
+    by = {r.doc_id: r.left for r in sentences.dedupe(df).collect()}
+    assert by[0].removed == 0
+    assert all(by[i].text == f"Menu of house {i}\nClosed on day {i}\n" and by[i].removed == 20 for i in (1, 2))
+
+
+def test_three_sentences_with_a_long_one(spark):
+    """The short sentences at both ends of a run go too, though the long one between them is cut."""
+    run = "Why not? " + " ".join(f"word{i}" for i in range(40)) + ". It is so. "
+    df = frame(spark, [(i, f"Begins as {i} does. {run}Ends as {i} does.", "en", "s", 1) for i in range(2)])
+    by = {r.doc_id: r.left for r in sentences.dedupe(df).collect()}
+    assert by[1].text == "Begins as 1 does. Ends as 1 does."
