@@ -6,10 +6,14 @@ however short, and all runs are joined over the whole corpus; the first occurren
 of a run (smallest id, then earliest place) stays, and the sentences that any other
 occurrence covers are removed. Texts are judged as given, not as they are after removals.
 
-A sentence of more than LONG words is cut further,
-after words that their hash chooses, so that a passage is cut alike wherever
-it stands. Every run of ``span`` pieces that aren't all whole sentences is hashed
-too; one of fewer than ``least_words`` words takes in the pieces after it until it has these.
+A sentence of more than LONG words is cut further, so that a passage is also found
+where it stands in other surroundings: of each LONG consecutive words the
+one with the least hash (the last of equals) ends a piece. Pieces thus depend on nothing farther than
+LONG words, and have at most LONG words. Every run of ``span`` pieces that aren't
+all whole sentences is hashed too; one of fewer than ``least_words`` words
+takes in the pieces after it until it has these. So each passage of 4 * LONG + 2
+words that two texts share holds a run of both. The characters of a word of over
+UNSPACED bytes (scripts without spaces) are cut as words are, and count as a word for each LETTERS bytes.
 
 White space around a sentence and the case of ASCII letters do not count.
 
@@ -31,37 +35,94 @@ from pyspark.sql import functions as F
 from .common import drop_path, map_rows, stash, stash_path
 
 SPAN, LEAST_WORDS, LONG = 3, 12, 12
+#: Bytes that count as a word, and those of the longest word that is one.
+LETTERS, UNSPACED = 6, 72
+#: Words whose hash a task remembers.
+REMEMBERED = 120_000
 #: One sentence with the white space after it.
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+(?!\s|$)[^.!?\n]*)*(?:[.!?]+\s*|\n\s*|$)")
 WORD_AND_SPACE = re.compile(r"\S+\s*")
+CHARACTER = re.compile(r"\S\s*")
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = h = xxhash.xxh32_intdigest(_plain(word))
+        return h
+
+
 def _plain(piece: str) -> bytes:
     return piece.strip().encode("utf-8").translate(_LOWER)
 
 
+_HASHES = _Hashes()
+
+
+def _units(words: list[str]) -> tuple[list[str], list[int]]:
+    """Words, and the characters of those that are too long, with what each counts in LETTERS-ths of a word."""
+    units: list[str] = []
+    counts: list[int] = []
+    for word in words:
+        if len(word) * 4 > UNSPACED and len(_plain(word)) > UNSPACED:
+            characters = CHARACTER.findall(word)
+            units += characters
+            counts += [len(_plain(c)) for c in characters]
+        else:
+            units.append(word)
+            counts.append(LETTERS)
+    return units, counts
+
+
+def _ends(hashes: list[int]) -> list[int]:
+    """Where the least hash of each LONG consecutive ones is, the last of equals."""
+    out: list[int] = []
+    best = last = -1
+    least = 1 << 32
+    for at, h in enumerate(hashes):
+        if h <= least:
+            best, least = at, h
+        elif at - best >= LONG:
+            best = at - LONG + 1
+            least = hashes[best]
+            for k in range(best + 1, at + 1):
+                if hashes[k] <= least:
+                    best, least = k, hashes[k]
+        if best != last and at >= LONG - 1:
+            out.append(best)
+            last = best
+    return out
+
+
 def pieces(text: str | None) -> tuple[list[str], list[int], list[int]]:
-    """Pieces that make up the text, their words, and the first piece of each sentence."""
+    """Pieces that make up the text, what each counts in LETTERS-ths of a word, and the first piece of each sentence."""
     out: list[str] = []
+    counts: list[int] = []
     firsts: list[int] = []
-    for piece in SENTENCE.findall(text or ""):
-        if not piece:
+    for sentence in SENTENCE.findall(text or ""):
+        if not sentence:
             continue
         firsts.append(len(out))
-        if piece.count(" ") < LONG:
-            out.append(piece)
+        words = WORD_AND_SPACE.findall(sentence) if len(sentence) > UNSPACED // 4 else []
+        short = not words or max(map(len, words)) * 4 <= UNSPACED
+        if short and len(words) <= LONG:
+            out.append(sentence)
+            counts.append(LETTERS * len(words or sentence.split()))
+            continue
+        units, each = (words, [LETTERS] * len(words)) if short else _units(words)
+        if len(units) <= LONG:
+            out.append(sentence)
+            counts.append(sum(each))
             continue
-        now: list[str] = []
-        lead = piece[: len(piece) - len(piece.lstrip())]
-        for word in WORD_AND_SPACE.findall(piece):
-            now.append(word)
-            if xxhash.xxh32_intdigest(word.strip()) % 8 == 0 and len(now) > 1:
-                out.append(lead + "".join(now))
-                lead, now = "", []
-        if now or lead:
-            out.append(lead + "".join(now))
-    return out, [len(p.split()) for p in out], firsts
+        lead, done = sentence[: len(sentence) - len(sentence.lstrip())], 0
+        for end in (*_ends([*map(_HASHES.__getitem__, units)]), len(units) - 1):
+            if end >= done:
+                out.append(lead + "".join(units[done : end + 1]))
+                counts.append(sum(each[done : end + 1]))
+                lead, done = "", end + 1
+    return out, counts, firsts
 
 
 def sentences(text: str | None) -> list[str]:
@@ -78,7 +139,7 @@ def places(counts: list[int], firsts: list[int], span: int, least_words: int) ->
         return out
     words = [0, *accumulate(counts)]
     parts = [0, *accumulate(k for a, b in zip(starts, starts[1:]) for k in ((0,) if b - a == 1 else (1,) * (b - a)))]
-    need, j = least_words, 0
+    need, j = least_words * LETTERS, 0
     for i in range(n):
         j = max(j, i + span)
         while j <= n and words[j] - words[i] < need:

@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
@@ -62,3 +65,28 @@ def test_three_sentences_with_a_long_one(spark):
     df = frame(spark, [(i, f"Begins as {i} does. {run}Ends as {i} does.", "en", "s", 1) for i in range(2)])
     by = {r.doc_id: r.left for r in sentences.dedupe(df).collect()}
     assert by[1].text == "Begins as 1 does. Ends as 1 does."
+
+
+KINDS = {
+    "words": lambda rng, n: "".join(f"w{rng.randrange(5000)} " for _ in range(n)),
+    "tabs": lambda rng, n: "".join(f"w{rng.randrange(5000)}\t" for _ in range(n)),
+    "few words": lambda rng, n: "".join(rng.choice(["yes ", "no ", "on "]) for _ in range(n)),
+    "sentences": lambda rng, n: "".join(f"w{rng.randrange(5000)}" + (". " if rng.random() < 0.08 else " ") for _ in range(n)),
+    "characters": lambda rng, n: "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(n * 2)),
+}
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_every_passage_of_fifty_words_is_found(kind):
+    """Shared passages in different surroundings have a run in common."""
+    rng, make = random.Random(7), KINDS[kind]
+    for _ in range(1000):
+        passage = make(rng, 4 * sentences.LONG + 2)
+        a, b = ({h for h, _ in sentences.runs(make(rng, rng.randint(0, 40)) + passage + make(rng, rng.randint(0, 40)), 3, 12)} for _ in range(2))
+        assert a & b
+
+
+def test_pieces_are_bounded():
+    for kind in KINDS:
+        assert max(len(p.split()) for p in sentences.sentences(KINDS[kind](random.Random(3), 3000))) <= sentences.LONG
+    assert max(map(len, sentences.sentences("\u4e00\u4e8c\u4e09" * 1000))) <= sentences.LONG
