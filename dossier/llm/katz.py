@@ -1,8 +1,8 @@
 """A Katz backoff language model over words, counted, normalised and evaluated by Spark.
 
 Counts: each task counts words and pairs of neighbours in buffers, and the
-counts meet by key. Pairs that occur once are left to backoff, as Katz
-proposed; the others, and words, are discounted by Good-Turing up to LIMIT, with counts of
+counts meet by key. Pairs that occur ``least`` times or more, and words, are discounted by
+Good-Turing up to LIMIT, and rarer pairs are left to backoff (none with a least of 1), with counts of
 counts over the whole corpus (absolute discounting where these give no factor within 0 and 1).
 The mass that words leave is the probability of an unknown word.
 
@@ -105,8 +105,8 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """(v, w, c) of the words (v is NONE) and of pairs of neighbours in (id, text) that occur twice or more.
+def gram_counts(docs: DataFrame, buckets: int, least: int) -> DataFrame:
+    """(v, w, c) of the words (v is NONE) and of pairs of neighbours in (id, text) that occur ``least`` times or more.
 
     Tasks send their counts to buckets as sorted arrays, and a bucket adds up what it is sent. Rows with ``tally``
     hold a bucket's counts of counts: w is r for words and LIMIT + 2 + r for pairs.
@@ -134,7 +134,7 @@ def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
         v, w, c = v[first], w[first], np.add.reduceat(n[o].astype(np.int64), first)
         of = np.bincount(np.where(v == NONE, 0, LIMIT + 2)[c <= LIMIT + 1] + c[c <= LIMIT + 1], minlength=2 * (LIMIT + 2))
-        keep = (v == NONE) | (c > 1)
+        keep = (v == NONE) | (c >= least)
         extra = len(of)
         columns = [np.concatenate([v[keep].view(np.int64), np.full(extra, NONE)]), np.concatenate([w[keep].view(np.int64), np.arange(extra)]), np.concatenate([c[keep], of]), np.concatenate([np.zeros(keep.sum(), bool), np.ones(extra, bool)])]
         return pa.Table.from_arrays([pa.array(x) for x in columns], ["v", "w", "c", "tally"])
@@ -161,17 +161,17 @@ def _discount(c: Column, d: list[float]) -> Column:
 class Model:
     """words (w, c, lp, la): count, log10 of P(w) and of alpha(w). pairs (key, c, fix): what a seen pair's log10 is above backoff."""
 
-    def __init__(self, train: DataFrame) -> None:
+    def __init__(self, train: DataFrame, least: int) -> None:
         spark = train.sparkSession
         size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        grams_at = stash_path(gram_counts(train, max(1, math.ceil(size / BUCKET_BYTES))), "grams")
+        grams_at = stash_path(gram_counts(train, max(1, math.ceil(size / BUCKET_BYTES)), least), "grams")
         grams = spark.read.parquet(grams_at)
         tally = {r.w: r.n for r in grams.where("tally").groupBy("w").agg(F.sum("c").alias("n")).collect()}
         n_r = {f"{kind}{r}": tally.get(r + shift, 0) for kind, shift in (("w", 0), ("p", LIMIT + 2)) for r in range(1, LIMIT + 2)}
         grams = grams.where("NOT tally").drop("tally")
         words = grams.where(f"v = {NONE}").select("w", "c")
         d1 = discounts({r: n_r[f"w{r}"] for r in range(1, LIMIT + 2)})
-        d2 = discounts({r: n_r[f"p{r}"] for r in range(1, LIMIT + 2)}, least=2)
+        d2 = discounts({r: n_r[f"p{r}"] for r in range(1, LIMIT + 2)}, least)
         kept = F.col("c") * _discount(F.col("c"), d1)
         sums = words.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum(kept).alias("kept")).first()
         self.types, self.tokens = sums.v, sums.n or 0
@@ -330,10 +330,10 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(crc_mod(id_col, 7) == 2, F.lit(False))
 
 
-def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, learned from those that aren't held out."""
+def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every text, learned from those that aren't held out. Pairs that occur fewer than ``least`` times there are left to backoff."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    model = Model(rows.where(~held_out("id")))
+    model = Model(rows.where(~held_out("id")), least)
     rid = F.xxhash64("id", "text")
     facts = rows.select(rid.alias("rid"), "id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("n_tokens"))
     times = F.count("*").alias("times")

@@ -147,4 +147,4 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probabilities of all texts under a Katz backoff model of six sevenths of them."""
     from .katz import evaluate
 
-    return evaluate(table(spark, sf_dir, "documents"))
+    return evaluate(table(spark, sf_dir, "documents"), least=1)

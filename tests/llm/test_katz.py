@@ -1,4 +1,5 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -6,6 +7,8 @@ import pytest
 
 from dossier.llm import katz
 
+from .conftest import frame
+
 
 def tokens(text):
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -71,3 +74,30 @@ def test_discounts():
     d = katz.discounts({1: 1000, 2: 300, 3: 140, 4: 80, 5: 50, 6: 35})
     assert all(0 < x < 1 for x in d) and d != katz.discounts({})
     assert katz.discounts({}, 2)[0] == 0.0
+
+
+def test_pairs_that_occur_once(spark):
+    """The query's model keeps every pair, each with the factor of its count."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{min(int(rng.paretovariate(0.7)), 200)}" for _ in range(rng.randint(0, 30)))) for i in range(200)]
+    train = [tokens(text) for i, text in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one = Counter(w for text in train for w in text)
+    two = Counter(p for text in train for p in zip([1, *text[:-1]], text))
+    d1, d2 = katz.discounts(Counter(one.values())), katz.discounts(Counter(two.values()))
+    kept = lambda c, d: c * (d[c - 1] if c <= katz.LIMIT else 1.0)
+    p = {w: kept(c, d1) / sum(one.values()) for w, c in one.items()}
+    seen = defaultdict(dict)
+    for (v, w), c in two.items():
+        seen[v][w] = kept(c, d2) / one[0 if v == 1 else v]
+    alpha = {}
+    for v, of in seen.items():
+        left = max(1 - sum(of.values()), 1 / (one[0 if v == 1 else v] + 1))
+        alpha[v] = left / (1 - sum(p[w] for w in of))
+        seen[v] = {w: x * (1 - left) / sum(of.values()) for w, x in of.items()}
+    want = {}
+    for i, text in rows:
+        pairs = zip([1, *tokens(text)[:-1]], tokens(text))
+        want[i] = sum(math.log10(seen[v][w] if w in seen.get(v, {}) else alpha.get(v, 1.0) * p.get(w, 1 - sum(p.values()))) for v, w in pairs)
+    assert sum(c == 1 for c in two.values()) > len(two) / 2
+    got = {r.doc_id: r.score for r in katz.evaluate(frame(spark, [(i, text, "en", "s", 1) for i, text in rows]), least=1).collect()}
+    assert got == pytest.approx(want, rel=1e-9)
