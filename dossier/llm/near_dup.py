@@ -127,8 +127,8 @@ def set_table(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
         shingler = Shingler(words)
         return lambda key, text: (key, shingler(text).tobytes())
 
-    # always by shuffle, so that the plan is the same at every size
-    return map_rows(docs.join(ids.hint("merge"), "id", "left_semi"), make, "id long, s binary")
+    # always by shuffle, so that the plan is the same at every size; repeated rows meet there and are one set
+    return map_rows(docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id", "text"]), make, "id long, s binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -164,9 +164,11 @@ def prefix_pairs(open_ids: DataFrame, sets: DataFrame, percent: int) -> DataFram
 
         return pd.Series([np.frombuffer(v, np.int64) for v in x])
 
-    own = sets.join(open_ids, "id").select("id", "c", F.explode(shingles("s")).alias("t"))
+    # an id may have several texts: equal sets count once, others each for itself
+    each = sets.join(open_ids, "id").withColumn("k", F.xxhash64("s")).dropDuplicates(["id", "k"])
+    own = each.select("id", "c", "k", F.explode(shingles("s")).alias("t"))
     df = own.groupBy("t").agg(F.count("*").alias("df"))
-    ranked = own.join(df, "t").groupBy("id", "c").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"), F.count("*").alias("n"))
+    ranked = own.join(df, "t").groupBy("id", "c", "k").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("ts"), F.count("*").alias("n"))
     prefix = F.slice("ts", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
     rare = ranked.select("id", "c", "n", F.posexplode(prefix).alias("at", "x")).where("x.df > 1").select("id", "c", (F.col("n") - F.col("at")).alias("rest"), "n", F.col("x.t").alias("t"))
     other = rare.select(F.col("id").alias("id2"), F.col("c").alias("c2"), F.col("rest").alias("rest2"), F.col("n").alias("n2"), "t")

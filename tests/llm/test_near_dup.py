@@ -63,6 +63,30 @@ def test_as_all_pairs(spark):
     assert len({c for c, _ in want.values()}) < len(want)
 
 
+def test_repeated_rows_in_the_fallback(spark, monkeypatch):
+    """Without rounds, what isn't linked with an end of its bucket is left to the rarest shingles, whose counts repeated rows mustn't change."""
+    monkeypatch.setattr(near_dup, "ROUNDS", 0)
+    rows = texts()
+    want = brute(rows, 2, 80)
+    # every third row again, and every ninth once more with a text that has the same set
+    again = [(i, t) for i, t in rows if i % 3 == 0] + [(i, t.upper().replace(" ", "  ")) for i, t in rows if i % 9 == 0]
+    df = frame(spark, [(i, t, "en", "s", 1) for i, t in rows + again])
+    got = near_dup.near_duplicates(df, 2, 80).collect()
+    assert len(got) == len(rows) + len(again)
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == want
+
+
+def test_rarest_shingles_of_repeated_rows(spark):
+    """A document that is there twice, or with two texts, meets one that is there once."""
+    words = [f"w{i}" for i in range(60)]
+    one, other, last = " ".join(words), " ".join([*words[:30], "x", *words[31:]]), " ".join(f"v{i}" for i in range(50))
+    docs = spark.createDataFrame([(1, one), (1, one), (1, one.upper()), (2, other), (3, last), (3, one)], "id long, text string")
+    ids = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "id long, c long")
+    sets = near_dup.set_table(docs, ids.select("id"), 2)
+    got = {tuple(r) for r in near_dup.prefix_pairs(ids, sets, 80).collect()}
+    assert got == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_edges(odd, empty):
     rows = near_dup.near_duplicates(odd, 2).collect()
     by = {r.doc_id: r for r in rows}
