@@ -16,20 +16,24 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Spark's setting by which a query's shuffle files go when it has ended: the written table replaces them.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-#: Rows of one Arrow batch at most: texts are long, and an executor holds several batches at a time.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_ROWS = 2000
+#: Rows, and about the bytes, of an Arrow batch that are held as Python objects at a time.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
-#: Rows of one Arrow batch that are held as Python objects at a time.
-SLICE_ROWS = 256
+#: Folders of sessions that name none, and the tables that are still there.
+_OWN: dict[str, str] = {}
+_WRITTEN: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a folder of our own only where the session names none."""
+    """The folder that all executors share. A local session that names none has a temporary one; on a cluster its lack is an error."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="dossier-")
-        spark.conf.set("spark.checkpoint.dir", there)
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = "file://" + tempfile.mkdtemp(prefix="dossier-")
+        there = _OWN[app]
     return there.rstrip("/")
 
 
@@ -49,6 +53,7 @@ def stash_path(df: DataFrame, name: str) -> str:
     finally:
         if was is not None:
             spark.conf.set(CLEANUP, was)
+    _WRITTEN.add(path)
     return path
 
 
@@ -56,6 +61,20 @@ def drop_path(spark: SparkSession, path: str) -> None:
     """Delete a table that stash_path wrote."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that are left: those that results read. The results can't be read after that."""
+    for path in list(_WRITTEN):
+        drop_path(spark, path)
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of at most SLICE_ROWS rows and, unless rows are longer, about SLICE_BYTES bytes."""
+    rows = max(1, min(SLICE_ROWS, SLICE_BYTES * batch.num_rows // max(1, batch.nbytes)))
+    for start in range(0, batch.num_rows, rows):
+        yield batch.slice(start, rows)
 
 
 def map_rows(df: DataFrame, each: Callable, schema: str) -> DataFrame:
@@ -68,15 +87,12 @@ def map_rows(df: DataFrame, each: Callable, schema: str) -> DataFrame:
     from pyspark.sql.types import _parse_datatype_string
 
     kind = _parse_datatype_string(schema)
-    if int(df.sparkSession.conf.get(BATCH)) > BATCH_ROWS:
-        df.sparkSession.conf.set(BATCH, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kind)
         work = each()
         for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
+            for part in slices(batch):
                 rows = []
                 for values in zip(*(c.to_pylist() for c in part.columns)):
                     made = work(*values)
@@ -90,6 +106,25 @@ def map_rows(df: DataFrame, each: Callable, schema: str) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def add_column(df: DataFrame, inputs: list[str], each: Callable, name: str, kind: str) -> DataFrame:
+    """All columns of df and ``name`` (in place of a column of that name): each(*inputs) of every row; the others pass as Arrow columns."""
+    from pyspark.sql.pandas.types import to_arrow_type
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    made = _parse_datatype_string(kind)
+    kept = [c for c in df.columns if c != name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = to_arrow_type(made)
+        work = each()
+        for batch in batches:
+            for part in slices(batch):
+                values = [work(*v) for v in zip(*(part.column(c).to_pylist() for c in inputs))]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(values, type=out)], [*kept, name])
+
+    return df.mapInArrow(run, StructType([*(df.schema[c] for c in kept), StructField(name, made)]))
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

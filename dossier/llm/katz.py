@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, WORD, crc_mod, drop_path, stash, stash_path
+from .common import WORD, crc_mod, drop_path, slices, stash, stash_path
 
 LIMIT, HOT = 5, 20_000
 #: Tokens that a task counts together; tokens, and bytes of text, for which there is a bucket.
@@ -79,8 +79,7 @@ def _buffers(batches: Iterator[pa.RecordBatch], words: Words):
     """(row ids, tokens, tokens before, row of each token) of many texts at a time."""
     ids, ws, vs, rows, n = [], [], [], [], 0
     for whole in batches:
-        for start in range(0, whole.num_rows, SLICE_ROWS):
-            b = whole.slice(start, SLICE_ROWS)
+        for b in slices(whole):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(text)
                 rows.append(np.full(len(w), len(ids), np.uint32))

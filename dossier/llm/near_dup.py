@@ -38,7 +38,7 @@ ROUNDS, PIVOTS = 2, 2
 #: Comparisons of each document in a round.
 MET = 6
 #: Words whose hash a task remembers.
-REMEMBERED = 120_000
+REMEMBERED = 60_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 

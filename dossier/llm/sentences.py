@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, map_rows, stash, stash_path
+from .common import add_column, drop_path, map_rows, stash, stash_path
 
 SPAN, LEAST_WORDS, LONG = 3, 12, 12
 #: Bytes that count as a word, and those of the longest word that is one.
@@ -205,11 +205,12 @@ def dedupe(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS, id
     """All rows and columns of docs, and ``into`` (in place of a column of that name): a struct of the text that is left, its pieces (sentences, or parts of long ones) before, and those removed."""
     found = removals(docs, span, least_words, id_col, text_col).withColumnsRenamed({id_col: "__id", "starts": "__starts"})
 
-    @F.pandas_udf("struct<text: string, sentences: int, removed: int>")
-    def left(texts, starts):
-        import pandas as pd
+    def make():
+        def left(text, starts):
+            return dict(zip(("text", "sentences", "removed"), cut(text, starts, span, least_words)))
 
-        return pd.DataFrame([cut(t, s, span, least_words) for t, s in zip(texts, starts)], columns=["text", "sentences", "removed"]).astype({"sentences": "int32", "removed": "int32"})
+        return left
 
-    joined = docs.join(found, docs[id_col] == F.col("__id"), "left").withColumn("__left", left(F.col(text_col), F.col("__starts")))
-    return joined.select(*(docs[c] for c in docs.columns if c != into), F.col("__left").alias(into))
+    joined = docs.join(found, docs[id_col] == F.col("__id"), "left").drop("__id")
+    made = add_column(joined, [text_col, "__starts"], make, "__left", "struct<text: string, sentences: int, removed: int>")
+    return made.select(*(c for c in docs.columns if c != into), F.col("__left").alias(into))

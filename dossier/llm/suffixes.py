@@ -43,7 +43,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .anchors import anchors
-from .common import SLICE_ROWS, drop_path, map_rows, stash, stash_path
+from .common import drop_path, map_rows, slices, stash, stash_path
 
 LENGTH = 100
 #: Shares of the documents at which batches end: each batch is as large as all before it.
@@ -91,8 +91,7 @@ def suffix_array(docs: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c) for c in _settle(*columns)], names)
 
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                b = whole.slice(start, SLICE_ROWS)
+            for b in slices(whole):
                 for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     data = (text or "").encode("utf-8")
                     a, i, j = anchors(data, length)
@@ -200,8 +199,7 @@ def windows(docs: DataFrame, places: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in (pk, np.concatenate([doc[first], rd[begins]]), np.concatenate([at[first], ra[begins]]), np.concatenate([np.zeros(first.sum(), np.int64), counts]))], names)
 
         for whole in batches:
-            for start in range(0, whole.num_rows, SLICE_ROWS):
-                b = whole.slice(start, SLICE_ROWS)
+            for b in slices(whole):
                 for doc, text, runs in zip(*(c.to_pylist() for c in b.columns)):
                     data = text.encode("utf-8")
                     h = window_hashes(data, length)

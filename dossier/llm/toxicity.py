@@ -13,7 +13,9 @@ with the smallest hash of their id); every text is then classified whole.
 Rows with a null or empty text get the probabilities of a text without any
 selected word. Labels that are null are left out of their category's model,
 repeated label rows count once each, and a category without both labels
-predicts its share of positives (0 without labels). Other columns are
+predicts its share of positives (0 without labels). Features that gain equally
+are taken in the order of their text, and rows whose ids hash alike in the order of their labels.
+Very long texts count whole; an empty table gives an empty result. Other columns are
 dropped.
 """
 
@@ -26,10 +28,10 @@ from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import add_column, drop_path, map_rows, stash_path
 
 #: Letters of one word; digits and underscores end it.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -39,7 +41,7 @@ BEGINNINGS = (4, 5, 6)
 SELECTED, LEAST_ROWS = 512, 5
 FOLDS, STEPS, DECAY = 3, 150, 1e-4
 #: Words whose features a task remembers.
-REMEMBERED = 100_000
+REMEMBERED = 50_000
 
 
 def parts(word: str) -> list[str]:
@@ -124,61 +126,81 @@ def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float((p[order[k]] + below) / 2)
 
 
+def gains(by_word: DataFrame, totals: Row, category: str, fold: int | None) -> DataFrame:
+    """(w, gain): how far a feature's share of positives is from all rows' share, over the rows of all folds but one."""
+    folds = [k for k in range(FOLDS) if k != fold]
+    n, hits = (sum(F.col(f"{c}_{k}") for k in folds) for c in ("n", category))
+    share = (sum(totals[f"{category}_{k}"] or 0 for k in folds) + 0.5) / (sum(totals[f"n_{k}"] for k in folds) + 1)
+    expected = n * F.lit(share)
+    return by_word.where(n >= LEAST_ROWS).select("w", ((hits - expected) * (hits - expected) / (expected * F.lit(1 - share))).alias("gain"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], max_rows: int = 5000, id_col: str = "doc_id", text_col: str = "text") -> Chain:
-    """Fit a chain on at most max_rows labelled rows. Each category is a 0/1 column of labels."""
+    """Fit a chain on at most max_rows labelled rows. Each category is a 0/1 column of labels.
+
+    Folds are made of ids, so that rows that repeat one are together. A fold's
+    features are chosen, and its models fitted, on the rows of the others.
+    """
+    spark = docs.sparkSession
     sample = labels.select(id_col, *categories).where(F.col(id_col).isNotNull()).orderBy(F.xxhash64(id_col), *categories).limit(max_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)  # at most max_rows ids
+    key = f"{id_col} {dict(docs.dtypes)[id_col]}"
 
     def make():
         return lambda *v: (*v[:-1], [(k, n) for k, n in sorted(counts(v[-1]).items())])
 
     kinds = ", ".join(f"{c} int" for c in categories)
-    counted = map_rows(
-        rows.select(id_col, *(F.col(c).cast("int").alias(c) for c in categories), text_col), make, f"{id_col} {dict(docs.dtypes)[id_col]}, {kinds}, words array<struct<w: string, n: int>>"
-    ).persist()
-    try:
-        totals = counted.agg(F.count("*").alias("n"), *(F.sum(F.col(c).cast("long")).alias(c) for c in categories)).first()
-        by_word = (
-            counted.select(*categories, F.explode("words.w").alias("w"))
-            .groupBy("w")
-            .agg(F.count("*").alias("n"), *(F.coalesce(F.sum(F.col(c).cast("long")), F.lit(0)).alias(c) for c in categories))
-            .where(F.col("n") >= LEAST_ROWS)
-        )
-        features: dict[str, int] = {}
+    counted_at = stash_path(map_rows(rows.select(id_col, *(F.col(c).cast("int").alias(c) for c in categories), text_col), make, f"{key}, {kinds}, words array<struct<w: string, n: int>>"), "counted")
+    counted = spark.read.parquet(counted_at)
+    fold_of = F.pmod(F.xxhash64(id_col, F.lit(1)), F.lit(FOLDS)).cast("int")
+    tallies = [F.coalesce(F.sum(F.when(F.col("fold") == k, x)), F.lit(0)).alias(f"{c}_{k}") for k in range(FOLDS) for c, x in (("n", F.lit(1)), *((c, F.col(c).cast("long")) for c in categories))]
+    folded = counted.withColumn("fold", fold_of)
+    totals = folded.agg(*tallies).first()
+    by_word_at = stash_path(folded.select(*categories, "fold", F.explode("words.w").alias("w")).groupBy("w").agg(F.count("*").alias("all"), *tallies).where(F.col("all") >= LEAST_ROWS), "features")
+    by_word = spark.read.parquet(by_word_at)
+    features: dict[str, int] = {}
+    seen_by: dict[int | None, set[int]] = {}
+    for fold in (None, *range(FOLDS)):
+        seen_by[fold] = set()
         for c in categories:
-            share = ((totals[c] or 0) + 0.5) / (totals["n"] + 1)
-            expected = F.col("n") * F.lit(share)
-            gain = (F.col(c) - expected) * (F.col(c) - expected) / (expected * F.lit(1 - share))
-            for row in by_word.select("w", gain.alias("gain")).orderBy(F.desc("gain"), "w").limit(SELECTED).collect():
-                features.setdefault(row.w, len(features))
-        wanted = docs.sparkSession.sparkContext.broadcast(features)
-
-        def only():
-            table = wanted.value
-            return lambda *v: (*v[:-1], np.array([(table[x["w"]], x["n"]) for x in v[-1] if x["w"] in table], np.int32).tobytes())
-
-        # at most max_rows rows of at most len(features) pairs of numbers
-        sparse = map_rows(counted, only, f"{id_col} {dict(docs.dtypes)[id_col]}, {kinds}, words binary").orderBy(id_col).collect()
-    finally:
-        counted.unpersist()
+            for row in gains(by_word, totals, c, fold).orderBy(F.desc("gain"), "w").limit(SELECTED).collect():
+                seen_by[fold].add(features.setdefault(row.w, len(features)))
+    wanted = spark.sparkContext.broadcast(features)
+
+    def only():
+        table = wanted.value
+        return lambda *v: (*v[:-1], np.array([(table[x["w"]], x["n"]) for x in v[-1] if x["w"] in table], np.int32).tobytes())
+
+    # at most max_rows rows of at most len(features) pairs of numbers
+    sparse = map_rows(folded.select("fold", id_col, *categories, "words"), only, f"fold int, {key}, {kinds}, words binary").orderBy(id_col, *categories, "words").collect()
+    for at in (counted_at, by_word_at):
+        drop_path(spark, at)
 
     x = np.zeros((len(sparse), len(features)), np.float32)
     for i, row in enumerate(sparse):
         pairs = np.frombuffer(row.words, np.int32).reshape(-1, 2)
         x[i, pairs[:, 0]] = np.log1p(pairs[:, 1])
-    fold = np.arange(len(sparse)) % FOLDS
+    labelled = np.array([[-1 if row[c] is None else row[c] for c in categories] for row in sparse], np.float32).reshape(-1, len(categories))
+    masks = {fold: np.isin(np.arange(len(features)), list(of)) for fold, of in seen_by.items()}
+    weights, thresholds = fit_chain(x, labelled, np.array([row.fold for row in sparse], np.int64), masks)
+    return Chain(features, categories, weights, thresholds)
+
+
+def fit_chain(x: np.ndarray, labelled: np.ndarray, fold: np.ndarray, masks: dict[int | None, np.ndarray]) -> tuple[list[np.ndarray], list[float]]:
+    """(weights, thresholds) of each category in order. labelled has -1 where a label is missing; masks has the features of each fold, and of all rows under None."""
     weights, thresholds = [], []
-    for c in categories:
-        y = np.array([-1 if row[c] is None else row[c] for row in sparse], np.float32)
+    earlier = np.zeros((len(x), 0), np.float32)
+    for y in labelled.T:
         has = y >= 0
-        out = np.zeros(len(sparse), np.float32)
+        out = np.zeros(len(x), np.float32)
         for k in range(FOLDS):
-            w = fit_one(x[has & (fold != k)], y[has & (fold != k)])
-            out[fold == k] = predict_one(x[fold == k], w)
-        weights.append(fit_one(x[has], y[has]))
+            own = np.hstack([x * masks[k], earlier])
+            w = fit_one(own[has & (fold != k)], y[has & (fold != k)])
+            out[fold == k] = predict_one(own[fold == k], w)
+        weights.append(fit_one(np.hstack([x * masks[None], earlier])[has], y[has]))
         thresholds.append(best_threshold(out[has], y[has]))
-        x = np.hstack([x, out[:, None]])
-    return Chain(features, categories, weights, thresholds)
+        earlier = np.hstack([earlier, out[:, None]])
+    return weights, thresholds
 
 
 def classify(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", keep: bool = False, into: str = "verdict") -> DataFrame:
@@ -189,15 +211,7 @@ def classify(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: st
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     if keep:
-
-        @F.pandas_udf("array<double>")
-        def verdict(texts):
-            import pandas as pd
-
-            work = sent.value.classifier()
-            return pd.Series([work(t) for t in texts])
-
-        return docs.withColumn(into, verdict(F.col(text_col)))
+        return add_column(docs, [text_col], lambda: sent.value.classifier(), into, "array<double>")
 
     def make():
         work, at = sent.value.classifier(), sent.value.thresholds
