@@ -19,17 +19,17 @@ EXCEL, DEFERRED = ["xls", "xlsx", "xlsm", "xlsb"], ["xml", "eml", "zip", "kdex"]
 EXCEL_REASON = "skip:excel-family deferred from v1 ingest (plan scope boundary)"
 DEFERRED_REASON = " format deferred from v1 ingest (plan scope boundary)"
 
-#: White space at either end in the sense of Unicode, with the separators 0x1C to 0x1F.
-_EDGE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
+# White space in the sense of Unicode, with the separators 0x1C to 0x1F.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip(text: Column) -> Column:
-    """Without Unicode white space at both ends (trim() only removes spaces)."""
-    return F.regexp_replace(text, _EDGE, "")
+    """Without Unicode white space at both ends (trim() alone only removes spaces)."""
+    return F.trim(text, F.lit(SPACES))
 
 
 def is_blank(text: Column) -> Column:
-    return strip(F.coalesce(text, F.lit(""))) == ""
+    return ~F.coalesce(text, F.lit("")).rlike(f"[^{SPACES}]")
 
 
 def basename(key: Column) -> Column:
@@ -69,15 +69,22 @@ def classify(key: Column) -> Column:
 
 
 def chunks(text: Column, head: int | None = None) -> Column:
-    """Overlapping windows of the stripped text that aren't blank, in order; at most ``head`` of them."""
-    body = strip(F.coalesce(text, F.lit("")))
+    """Overlapping windows of the stripped text that aren't blank, in order; at most ``head`` of them.
+
+    One pass: a window starts at the beginning, and at each step after which more than the overlap is left.
+    """
     step = CHUNK_CHARS - CHUNK_OVERLAP
-    n = F.when(F.length(body) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil((F.length(body) - CHUNK_CHARS) / F.lit(step)) + 1)).cast("int")
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    pieces = F.filter(F.transform(starts, lambda i: F.substring(body, i * step + 1, F.lit(CHUNK_CHARS))), lambda p: ~is_blank(p))
+    windows = rf"(?s)(?:\A|(?=.{{{CHUNK_OVERLAP + 1}}}))(?=(.{{1,{CHUNK_CHARS}}})).{{1,{step}}}"
+    pieces = F.filter(F.regexp_extract_all(strip(F.coalesce(text, F.lit(""))), F.lit(windows), F.lit(1)), lambda p: ~is_blank(p))
     return F.slice(pieces, 1, head) if head else pieces
 
 
+def html_text(html: Column) -> Column:
+    """What a page says: without scripts, styles and tags, with runs of white space as one space."""
+    body = F.regexp_replace(html, "(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), "[ \\t\\n\\r]+", " "))
+
+
 def normalize_key(name: Column) -> Column:
     """The key by which names are matched: lower case, spaces as underscores; inner doubles stay."""
     return strip(F.replace(F.lower(name), F.lit(" "), F.lit("_")))

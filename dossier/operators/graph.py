@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop, written
+
 NAME_CHARS = 500
 #: Properties that node rows hold in columns of their own.
 OWN_COLUMNS = ("type", "label", "name", "text")
-MAX_HOPS = 64
 
 
 def relationship(properties: Column, label: Column) -> Column:
@@ -56,15 +57,25 @@ def vendor_wells(nodes: DataFrame, edges: DataFrame, vendor_type: str, well_type
 
 
 def closure(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
-    """(child, ancestor, depth): everything that each child is under, by a recursive query; cycles end at MAX_HOPS."""
+    """(child, ancestor, depth): everything that each child is under, with the length of the shortest way; a cycle is under itself.
+
+    Each round joins the ways that are known with each other, so that ways of
+    twice the length are known after it, and keeps the shortest of each pair. It ends
+    when no pair is new: a chain of n takes about log2(n) rounds.
+    """
     spark = parents.sparkSession
-    parents.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("parent")).createOrReplaceTempView("__closure_parents")
-    return spark.sql(f"""
-        WITH RECURSIVE up(child, ancestor, depth) AS (
-          SELECT child, parent, 1 FROM __closure_parents
-          UNION ALL
-          SELECT up.child, p.parent, up.depth + 1 FROM up JOIN __closure_parents p ON up.ancestor = p.child WHERE up.depth < {MAX_HOPS}
-        ) SELECT child, ancestor, min(depth) AS depth FROM up GROUP BY child, ancestor""")
+    ways = parents.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
+    ways, at = written(ways.withColumn("depth", F.lit(1)), "closure")
+    n = ways.count()
+    while True:
+        onward = ways.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        longer = ways.join(onward, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        ways, was = ways.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), at
+        ways, at = written(ways, "closure")
+        drop(spark, was)
+        n, before = ways.count(), n
+        if n == before:
+            return ways
 
 
 def tags(payload: Column, prefix: str) -> Column:

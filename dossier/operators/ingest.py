@@ -16,10 +16,13 @@ from ..functions.text import TEXT_MAX_CHARS, TEXT_MAX_CHUNKS, chunks, is_blank,
 from ..functions.vectors import zero
 from ..schemas import CLIP_DIMS
 from ..sources.files import with_identity
+from ..sources.scratch import drop, written
 from ..sources.store import Store
 from .manifest import batch_cap
+from .retrieval import term_table, terms
 
 DONE = ("complete", "skipped")
+FIGURES = "array<struct<page_num: int, kind: string, image: binary>>"
 
 
 def needs_ingest(listing: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -39,10 +42,15 @@ def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*(F.col(c) for c in rows.columns if c != key)), order).alias("r")).select(key, "r.*")
 
 
-def text_outcome(content: Column) -> Column:
+def text_outcome(content: Column, most: int = TEXT_MAX_CHARS) -> Column:
     """(ok, text, truncated) of a text file: UTF-8 with replacements, capped; blank is a failure."""
     text = F.make_valid_utf8(content.cast("string"))
-    return F.struct((~is_blank(text)).alias("ok"), F.substring(text, 1, TEXT_MAX_CHARS).alias("text"), (F.length(text) > TEXT_MAX_CHARS).alias("truncated"))
+    return F.struct((~is_blank(text)).alias("ok"), F.substring(text, 1, most).alias("text"), (F.length(text) > most).alias("truncated"))
+
+
+def content_checksum(content: Column) -> Column:
+    """What tells contents apart; empty for contents that couldn't be fetched."""
+    return F.coalesce(F.sha2(content, 256), F.lit(""))
 
 
 @dataclass
@@ -54,14 +62,18 @@ class Report:
     failed: int
     reconciled: int
     stopped_early: bool
+    #: (key, reason) of this pass's failures, as rows that are read when wanted.
+    failures: DataFrame | None = None
 
 
-def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embed_text: Callable[[Column], Column], max_new: int | None = None, keep_last_good: bool = False, parse_binary: Callable[[DataFrame], DataFrame] | None = None) -> Report:
+def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embed_text: Callable[[Column], Column], max_new: int | None = None, keep_last_good: bool = False, parse_binary: Callable[[DataFrame], DataFrame] | None = None, embed_image: Callable[[Column], Column] | None = None) -> Report:
     """One pass over a listing (key, asset_team, etag or null) with contents (key, content); missing contents are failed fetches.
 
     Skips by format are recorded without reading. A failed document loses the rows that it had, unless keep_last_good is
     set, and has an empty checksum, so that the next pass tries again. parse_binary turns rows (key, doc_id, content) of other gates into
-    (doc_id, ok, retriable, reason, pages array<struct<page_num, text, screenshot, width, height>>); without it they fail.
+    (doc_id, ok, retriable, reason, pages array<struct<page_num, text, screenshot, width, height>>), and perhaps figures
+    array<struct<page_num, kind, image>>, which become assets; without it they fail. embed_image gives the vectors of screenshots and
+    figures; without it, and for pages without a screenshot, they are zero. Blank pages have zero text vectors, which compete like others.
     """
     reconciled = store.reconcile()
     rows = with_identity(listing)
@@ -73,7 +85,7 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
     todo = by_tag.where("todo").drop("todo")
     skip = F.col("gate").startswith("skip:")
     read = todo.where(~skip).join(contents, "key", "left")
-    read = read.withColumn("checksum", F.when(F.col("checksum") != "", F.col("checksum")).otherwise(F.coalesce(F.sha2("content", 256), F.lit(""))))
+    read = read.withColumn("checksum", F.when(F.col("checksum") != "", F.col("checksum")).otherwise(content_checksum(F.col("content"))))
     fresh = needs_ingest(read, ledger).where("todo").drop("todo")
     every = fresh.unionByName(todo.where(skip).withColumn("content", F.lit(None).cast("binary")))
     if max_new is not None:
@@ -92,30 +104,43 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
     parsed = parsed.withColumn("status", state).withColumn("reason", reason).withColumn("pages", F.when((F.col("gate") == "text") & F.col("o.ok"), page).otherwise(none))
     if parse_binary is not None:
         made = parse_binary(parsed.where(F.col("gate").isin("pdf", "image") & F.col("content").isNotNull()).select("key", "doc_id", "content"))
-        made = made.select("doc_id", "ok", "retriable", F.col("reason").alias("r"), F.col("pages").alias("p"))
+        figures = F.col("figures") if "figures" in made.columns else F.lit(None)
+        made = made.select("doc_id", "ok", "retriable", F.col("reason").alias("r"), F.col("pages").alias("p"), figures.cast(FIGURES).alias("figures"))
         parsed = parsed.join(made, "doc_id", "left")
         by_parser = F.when(F.col("ok"), "complete").when(~F.col("retriable"), "skipped").otherwise("failed")
         parsed = parsed.withColumn("status", F.when(F.col("ok").isNotNull(), by_parser).otherwise(F.col("status"))).withColumn("reason", F.when(F.col("ok").isNotNull(), F.col("r")).otherwise(F.col("reason"))).withColumn("pages", F.when(F.coalesce("ok", F.lit(False)), F.col("p")).otherwise(F.col("pages")))
     else:
         parsed = parsed.withColumn("reason", F.when(F.col("gate").isin("pdf", "image") & F.col("content").isNotNull(), "no parser").otherwise(F.col("reason")))
-    parsed = parsed.withColumn("checksum", F.when(F.col("status") == "failed", "").otherwise(F.col("checksum"))).drop("content", "o").cache()
+    if "figures" not in parsed.columns:
+        parsed = parsed.withColumn("figures", F.lit(None).cast(FIGURES))
+    parsed = parsed.withColumn("checksum", F.when(F.col("status") == "failed", "").otherwise(F.col("checksum"))).drop("content", "o")
+    # parsed once, and read again by each table that is written
+    parsed, parsed_at = written(parsed, "parsed")
     try:
         flat = parsed.select("doc_id", F.col("key").alias("s3key"), "asset_team", "gate", F.explode("pages").alias("p"))
-        vector = lambda text: F.when(is_blank(text), F.lit(None)).otherwise(embed_text(text))
+        vector = lambda text: F.when(is_blank(text), F.transform(embed_text(text), lambda _: F.lit(0.0).cast("float"))).otherwise(embed_text(text))
+        image = lambda content: embed_image(content) if embed_image else zero(CLIP_DIMS)
         base = ("doc_id", "s3key", "asset_team")
         pid = page_id_for(F.col("doc_id"), F.col("p.page_num"))
         shot = F.coalesce(F.length("p.screenshot") > 0, F.lit(False))
-        pages = flat.select(pid.alias("page_id"), *base, F.col("p.text").alias("text"), F.col("p.page_num").alias("page_num"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), vector(F.col("p.text")).alias("vector"), zero(CLIP_DIMS).alias("clip_vector"), shot.alias("has_screenshot"))
+        pages = flat.select(pid.alias("page_id"), *base, F.col("p.text").alias("text"), F.col("p.page_num").alias("page_num"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), vector(F.col("p.text")).alias("vector"), F.when(shot, image(F.col("p.screenshot"))).otherwise(zero(CLIP_DIMS)).alias("clip_vector"), shot.alias("has_screenshot"))
         pieces = F.when(F.col("gate") == "text", chunks(F.col("p.text"), TEXT_MAX_CHUNKS)).otherwise(chunks(F.col("p.text")))
         chunk = flat.select(pid.alias("page_id"), *base, F.col("p.page_num").alias("page_num"), F.posexplode(pieces).alias("i", "text"))
-        new_chunks = chunk.select(F.concat("page_id", F.lit(":c"), "i").alias("chunk_id"), "page_id", *base, "text", "page_num", embed_text(F.col("text")).alias("vector"))
+        new_chunks = chunk.select(F.concat("page_id", F.lit(":c"), "i").alias("chunk_id"), "page_id", *base, "text", "page_num", F.size(terms(F.col("text"))).alias("n_terms"), embed_text(F.col("text")).alias("vector"))
+        new_terms = term_table(new_chunks, "chunk_id", "doc_id", "asset_team").withColumn("tf", F.col("tf").cast("int"))
+        drawn = parsed.select("doc_id", F.col("key").alias("s3key"), "asset_team", F.posexplode("figures").alias("i", "f"))
+        fid = page_id_for(F.col("doc_id"), F.col("f.page_num"))
+        assets = drawn.select(F.concat(fid, F.lit(":a"), "i").alias("asset_id"), fid.alias("page_id"), *base, F.col("f.kind").alias("kind"), F.col("f.page_num").alias("page_num"), F.col("f.image").alias("image"), image(F.col("f.image")).alias("clip_vector"))
         n_chunks = new_chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
         facts = parsed.join(n_chunks, "doc_id", "left")
-        new_ledger = facts.select("doc_id", F.col("key").alias("s3key"), "checksum", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.size("pages").alias("page_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(0).alias("asset_count"), F.lit(now).alias("updated_at"))
+        new_ledger = facts.select("doc_id", F.col("key").alias("s3key"), "checksum", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.size("pages").alias("page_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce(F.size("figures"), F.lit(0)).alias("asset_count"), F.lit(now).alias("updated_at"))
         new = {
             "documents": parsed.where("status = 'complete'").select(*("doc_id",), F.col("key").alias("s3key"), "asset_team", F.col("gate").alias("format_gate"), F.size("pages").alias("page_count")),
             "pages": pages,
             "chunks": new_chunks,
+            # in the order of terms, so that a search reads few row groups
+            "terms": new_terms.repartitionByRange("term").sortWithinPartitions("term"),
+            "assets": assets,
             "screenshots": flat.where(shot).select(pid.alias("page_id"), "doc_id", F.col("p.screenshot").alias("screenshot")),
             "ledger": new_ledger,
         }
@@ -126,11 +151,11 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
         requested = rows.count()
         store.replace(touched.select("doc_id"), new)
     finally:
-        parsed.unpersist()
+        drop(store.spark, parsed_at)
     worked = sum(tally.values())
     stopped = max_new is not None and worked < n_before
     unchanged = requested - (n_before if max_new is not None else worked)
-    return Report(requested, tally.get("complete", 0), unchanged, tally.get("skipped", 0), tally.get("failed", 0), reconciled, stopped)
+    return Report(requested, tally.get("complete", 0), unchanged, tally.get("skipped", 0), tally.get("failed", 0), reconciled, stopped, store.table("ledger").where((F.col("status") == "failed") & (F.col("updated_at") == now)).select(F.col("s3key").alias("key"), "reason"))
 
 
 def dry_run(listing: DataFrame) -> DataFrame:

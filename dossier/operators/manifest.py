@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -58,33 +57,33 @@ def slice_pages(pages: DataFrame, group: str, page_start: int | None = None, pag
 
 
 def batch_cap(listing: DataFrame, max_new: int, is_new: str, ordinal: str) -> DataFrame:
-    """Rows in order before the pass stops: it stops before the first row at which max_new new ones are done."""
-    new = F.col(is_new).cast("int")
-    before = F.coalesce(F.sum(new).over(W.orderBy(ordinal).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return listing.withColumn("done_before", before).where(F.col("done_before") < max_new).drop("done_before")
+    """Rows in order before the pass stops: it stops when max_new new ones are done. Rows of one ordinal stay together.
+
+    Only the first max_new ordinals of new rows meet, to find the last one; the rows themselves stay where they are.
+    """
+    first = listing.where(F.col(is_new)).select(F.col(ordinal).alias("o")).orderBy("o").limit(max_new)
+    last = first.agg(F.max("o").alias("__last"), (F.count("*") < max_new).alias("__all"))
+    return listing.crossJoin(F.broadcast(last)).where(F.col("__all") | (F.col(ordinal) <= F.col("__last"))).drop("__last", "__all")  # last is one row
 
 
 def trial_sample(rows: DataFrame, n: int, buckets: tuple[str, str] = ("asset_team", "parse_source"), key: str = "key") -> DataFrame:
-    """A stratified sample: buckets in turn, from alternating ends of their sorted keys.
+    """(pick, key): a stratified sample of n: buckets in turn, in order, from alternating ends of their sorted keys.
 
-    Only the first n and last n rows of each bucket can be picked, so that is
-    all that reaches the one task that deals them in turn.
+    Round r deals to each bucket with more than r rows, so that a pick's
+    bucket follows from the sizes of the buckets alone. How many of a bucket's
+    earlier picks came from which end gives the row, which is met by its rank from that end.
     """
     a, b = buckets
-    up = W.partitionBy(a, b).orderBy(key)
-    down = W.partitionBy(a, b).orderBy(F.desc(key))
-    ends = rows.select(a, b, key).withColumn("up", F.row_number().over(up)).withColumn("down", F.row_number().over(down)).where(f"up <= {n} OR down <= {n}")
-
-    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
-        groups = [list(g.sort_values(key)[key]) for _, g in pdf.sort_values([a, b]).groupby([a, b], sort=True, dropna=False)]
-        picked: list = []
-        turn = 0
-        while len(picked) < n and any(groups):
-            group = groups[turn % len(groups)]
-            if group:
-                picked.append(group.pop(0 if len(picked) % 2 == 0 else -1))
-            turn += 1
-        return pd.DataFrame({"pick": range(1, len(picked) + 1), key: picked}).astype({"pick": "int64"})
-
-    kind = dict(rows.dtypes)[key]
-    return ends.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(deal, f"pick long, {key} {kind}")
+    order = (F.col(a).asc_nulls_last(), F.col(b).asc_nulls_last())
+    sizes = rows.groupBy(a, b).agg(F.count("*").alias("m"))
+    turns = sizes.select(a, b, F.explode(F.sequence(F.lit(0), F.least("m", F.lit(n)).cast("int") - 1)).alias("r")).orderBy("r", *order).limit(n)
+    picks = turns.withColumn("pick", F.row_number().over(W.orderBy("r", *order)).cast("long"))  # n rows
+    odd = F.col("pick") % 2 == 1
+    earlier = W.partitionBy(a, b, odd).orderBy("pick")
+    picks = picks.select(F.col(a).alias("__a"), F.col(b).alias("__b"), "pick", odd.alias("front"), F.row_number().over(earlier).alias("nth"))
+    found = []
+    for front, by in ((True, F.asc(key)), (False, F.desc(key))):
+        ranks = rows.select(a, b, key).withColumn("nth", F.row_number().over(W.partitionBy(a, b).orderBy(by))).where(F.col("nth") <= n)
+        wanted = picks.where(F.col("front") == front)
+        found.append(ranks.join(wanted, F.col(a).eqNullSafe(F.col("__a")) & F.col(b).eqNullSafe(F.col("__b")) & (ranks["nth"] == wanted["nth"])).select("pick", key))
+    return found[0].unionByName(found[1])

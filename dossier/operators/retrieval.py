@@ -6,7 +6,10 @@ Every limit comes with a total order, so that results repeat.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.text import around
 from ..functions.vectors import literal, squared_distance
 from ..schemas import HIT
+from ..sources.scratch import written
 
 # The fusion score, the snippet's length, and the signals in the order that breaks ties.
 RANK_OFFSET, AGREEMENT, SNIPPET_CHARS, POOL_FACTOR = 60, 0.01, 400, 3
@@ -50,34 +54,63 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
 
 
-def term_table(rows: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(term, id, tf, length): the inverted table that searches read; worth storing for many searches."""
-    counted = rows.select(F.col(id_col), terms(F.col(text_col)).alias("terms")).withColumn("length", F.size("terms"))
-    return counted.select(F.explode("terms").alias("term"), id_col, "length").groupBy("term", id_col, "length").agg(F.count("*").alias("tf"))
+def term_table(rows: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
+    """(term, ids..., length, tf): the inverted table that searches read."""
+    counted = rows.select(*id_cols, terms(F.col(text_col)).alias("terms")).withColumn("length", F.size("terms"))
+    return counted.select(F.explode("terms").alias("term"), *id_cols, "length").groupBy("term", *id_cols, "length").agg(F.count("*").alias("tf"))
+
+
+def _wanted(query: str) -> list[str]:
+    return sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
+
+
+def _bm25(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+
+
+def term_counts(rows: DataFrame, wanted: list[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, length, tf0, tf1, ...): the number of terms of each text, and how often it has each wanted one.
+
+    Arrow's own string kernels count in one pass over each batch; separators
+    become two spaces, so that neighbours don't share one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.utf8_lower(pc.fill_null(b.column(1), ""))
+            spaced = pc.binary_join_element_wise("  ", pc.replace_substring_regex(text, SEPARATORS, "  "), "  ", "")
+            length = pc.count_substring_regex(text, SEPARATORS.replace("^", ""))
+            yield pa.RecordBatch.from_arrays([b.column(0), length.cast(pa.int32()), *(pc.count_substring(spaced, f" {w} ").cast(pa.int32()) for w in wanted)], [id_col, "length", *(f"tf{i}" for i in range(len(wanted)))])
+
+    tf = "".join(f", tf{i} int" for i in range(len(wanted)))
+    return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, length int{tf}")
 
 
 def bm25(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", text_col: str = "text", asset_team: str | None = None) -> DataFrame:
-    """(id, score) by BM25. Lower-cased runs of letters and digits are terms; nothing is stemmed.
+    """(id, score) by BM25 of texts without a stored term table. Lower-cased runs of letters and digits are terms; nothing is stemmed.
 
-    Only the query's terms leave the scan; document frequencies, the number of texts and
-    their mean length are aggregates over all rows of the team.
+    Texts are read once: their counts are written, and both the statistics over all rows of the
+    team and the scores read these narrow rows.
     """
-    wanted = sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
-    rows = in_team(rows, asset_team).select(id_col, terms(F.col(text_col)).alias("terms"))
+    wanted = _wanted(query)
+    rows = in_team(rows, asset_team)
     if not wanted:
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    count_of = lambda w: F.size(F.filter("terms", lambda t: t == F.lit(w)))
-    tf = [count_of(w).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    counted = rows.select(id_col, F.size("terms").alias("length"), *tf)
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))))
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        n, df, f = F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}")
-        idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    counted, _ = written(term_counts(rows, wanted, id_col, text_col), "counts")
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()
+    score = sum((_bm25(F.col(f"tf{i}"), F.lit(stats[f"df{i}"]), F.col("length"), F.lit(stats["n"]), F.lit(stats["mean"])) for i in range(len(wanted))), F.lit(0.0))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(wanted)))
-    scored = counted.where(some).crossJoin(F.broadcast(stats)).select(id_col, score.alias("score"))  # stats is one row
-    return scored.orderBy(F.desc("score"), id_col).limit(limit)
+    return counted.where(some).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+
+
+def bm25_stored(chunks: DataFrame, table: DataFrame, query: str, limit: int, asset_team: str | None = None) -> DataFrame:
+    """(chunk_id, score) by BM25 from the stored term table: only the query's terms are read, and of chunks only their lengths."""
+    wanted = _wanted(query)
+    hits = in_team(table, asset_team).where(F.col("term").isin(wanted)).select("term", "chunk_id", "tf", "length")
+    stats = in_team(chunks, asset_team).agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
+    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
+    each = hits.join(F.broadcast(df), "term").select("chunk_id", _bm25(F.col("tf"), F.col("df"), F.col("length"), F.lit(stats["n"]), F.lit(stats["mean"])).alias("s"))
+    return each.groupBy("chunk_id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def ranked(hits: DataFrame, signal: str, *order) -> DataFrame:
@@ -118,9 +151,12 @@ def search(tables: dict[str, DataFrame], query: str, mode: str, limit: int, embe
     for signal in modes[mode]:
         if signal in ("chunks", "pages"):
             key = "chunk_id" if signal == "chunks" else "page_id"
-            lists.append(ranked(nearest(tables[signal], embed_text(query), pool, "vector", key, asset_team), signal, "distance", key))
+            # vectors are ranked without texts, which only the hits need
+            hits = nearest(tables[signal].select(key, "asset_team", "vector"), embed_text(query), pool, "vector", key, asset_team).select(key, "distance")
+            lists.append(ranked(hits.join(tables[signal].select(*{key, "page_id"}, "text"), key), signal, "distance", key))
         elif signal == "fts":
-            hits = bm25(tables["chunks"], query, pool, asset_team=asset_team)
+            stored = tables.get("terms")
+            hits = bm25(tables["chunks"], query, pool, asset_team=asset_team) if stored is None else bm25_stored(tables["chunks"], stored, query, pool, asset_team)
             lists.append(ranked(hits.join(tables["chunks"], "chunk_id"), signal, F.desc("score"), "chunk_id"))
         elif embed_image is not None:
             key = "page_id" if signal == "images" else "asset_id"

@@ -132,7 +132,10 @@ def chunk_head_cap(spark, sf_dir):
 
 @query("SELECT doc_id, length(text) > 2000 AS truncated, sha256(substr(text, 1, 2000)) AS head FROM documents")
 def text_cap(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.select("doc_id", (F.length("text") > 2000).alias("truncated"), F.sha2(F.substring("text", 1, 2000), 256).alias("head"))
+    from ..operators.ingest import text_outcome
+
+    o = text_outcome(F.col("text").cast("binary"), 2000)
+    return Tables(spark, sf_dir).documents.select("doc_id", o["truncated"].alias("truncated"), F.sha2(o["text"], 256).alias("head"))
 
 
 # vectors, BM25, fusion
@@ -185,15 +188,16 @@ def bm25_topk(spark, sf_dir):
 
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents),
 e AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM t), c AS (SELECT term, doc_id, length, count(*) AS tf FROM e GROUP BY ALL)
-SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term HAVING count(*) >= 20""")
+SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term""")
 def term_statistics(spark, sf_dir):
     table = retrieval.term_table(Tables(spark, sf_dir).documents, "doc_id")
-    return table.groupBy("term").agg(F.count("*").alias("df"), long(F.sum("tf")).alias("cf")).where("df >= 20")
+    return table.groupBy("term").agg(F.count("*").alias("df"), long(F.sum("tf")).alias("cf"))
 
 
 def _two_lists(t: Tables) -> list[DataFrame]:
-    vectors = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
-    near = retrieval.nearest(vectors, _query_vector(t, 3), 30, "embedding", "vec_id")
+    # ids are ranked first; texts meet the few rows that are left
+    vectors = t.embeddings.join(t.documents.select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = retrieval.nearest(vectors, _query_vector(t, 3), 30, "embedding", "vec_id").join(t.documents.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id")
     first = retrieval.ranked(near.withColumn("page_id", F.col("vec_id") % 25), "chunks", "distance", "vec_id")
     words = retrieval.bm25(t.documents, " ".join(BM25_TERMS), 30, "doc_id").join(t.documents.select("doc_id", "text"), "doc_id")
     return [first, retrieval.ranked(words.withColumn("page_id", F.col("doc_id") % 25), "fts", F.desc("score"), "doc_id")]
@@ -225,7 +229,52 @@ def hybrid_search(spark, sf_dir):
     return retrieval.fuse(_two_lists(Tables(spark, sf_dir)), 5).select("page_id", F.round("score", 6).alias("score"), F.col("text").alias("snippet"))
 
 
-@query("""WITH q AS (SELECT DISTINCT doc_id % 50 AS id, source AS s3key, doc_id % 5 AS page FROM documents WHERE doc_id % 3 = 0),
+SEARCH_SQL = f"""{BM25_SQL.replace("FROM documents)", "FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings))")},
+v AS (SELECT 'd' || e.vec_id || ':p1' AS page_id, d.text, {DIST.format(a='e.embedding', b='q.embedding')} AS x FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id, embeddings q WHERE q.vec_id = 3),
+l1 AS (SELECT page_id, 1 AS pos, row_number() OVER (ORDER BY x, page_id || ':c0') AS r, text FROM v QUALIFY r <= 15),
+l2 AS (SELECT page_id, 2 AS pos, row_number() OVER (ORDER BY x, page_id) AS r, text FROM v QUALIFY r <= 15),
+l3 AS (SELECT 'd' || sc.doc_id || ':p1' AS page_id, 3 AS pos, row_number() OVER (ORDER BY score DESC, 'd' || sc.doc_id || ':p1:c0') AS r, d.text FROM sc JOIN documents d USING (doc_id) QUALIFY r <= 15),
+l AS (SELECT * FROM l1 UNION ALL SELECT * FROM l2 UNION ALL SELECT * FROM l3),
+b AS (SELECT page_id, pos, min(r) AS best FROM l GROUP BY ALL),
+s AS (SELECT page_id, 1.0::DOUBLE / (60 + min(best)) + 0.01::DOUBLE * sum(1.0::DOUBLE / (60 + best)) AS score, min(pos * 1000 + best) AS first, count(*) AS agreement FROM b GROUP BY page_id),
+n AS (SELECT page_id, substr(text, 1, 400) AS snippet, row_number() OVER (PARTITION BY page_id ORDER BY least(length(text), 400), pos, r) AS k FROM l),
+best AS (SELECT * FROM s ORDER BY score DESC, first, page_id LIMIT 5)"""
+
+
+@query(f"WITH {SEARCH_SQL} SELECT best.page_id, doc_id, source || '/doc_' || doc_id || '.txt' AS s3key, source AS asset_team, round(score, 6) AS score, agreement, snippet FROM best JOIN n USING (page_id) JOIN documents ON 'd' || doc_id || ':p1' = page_id WHERE k = 1")
+def search_hybrid(spark, sf_dir):
+    """Hybrid search over evidence tables as the tool runs it: chunks, pages and BM25, fused to five pages."""
+    t = Tables(spark, sf_dir)
+    pages = pages_of(t).join(t.embeddings.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector")), "doc_id")
+    tables = {"pages": pages, "chunks": pages.withColumn("chunk_id", F.concat("page_id", F.lit(":c0")))}
+    vector = _query_vector(t, 3)
+    hits = retrieval.search(tables, " ".join(BM25_TERMS), "hybrid", 5, lambda _: vector)
+    return hits.select("page_id", "doc_id", "s3key", "asset_team", F.round("score", 6).alias("score"), long(F.size("signals")).alias("agreement"), F.col("text").alias("snippet"))
+
+
+@query(f"SELECT CAST(e.vec_id AS VARCHAR) AS page_id, round({DIST.format(a='e.embedding', b='q.embedding')}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 9 AND e.label % 2 = 0 ORDER BY {DIST.format(a='e.embedding', b='q.embedding')}, CAST(e.vec_id AS VARCHAR) LIMIT 12")
+def knn_images(spark, sf_dir):
+    """Image vectors of pages that have a screenshot."""
+    t = Tables(spark, sf_dir)
+    rows = t.embeddings.select(F.col("vec_id").cast("string").alias("page_id"), F.col("embedding").alias("clip_vector"), (F.col("label") % 2 == 0).alias("has_screenshot"))
+    return retrieval.nearest_images(rows, _query_vector(t, 9), 12).select("page_id", F.round("distance", 6).alias("distance"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS doc_id, CAST(turn AS INTEGER) AS page_num, text FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations)")
+def document_pages(spark, sf_dir):
+    rows = Tables(spark, sf_dir).conversations
+    first = rows.agg(F.min("conv_id").cast("string")).first()[0]
+    return retrieval.get_document_pages(rows.select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("page_num"), "text"), first)
+
+
+@query("SELECT doc_id, s3key, asset_team, format_gate FROM (SELECT doc_id, source || '/f' || doc_id || CASE WHEN n_chars % 2 = 0 THEN '.las' ELSE '.pdf' END AS s3key, source AS asset_team, CASE WHEN n_chars % 2 = 0 THEN 'text' ELSE 'pdf' END AS format_gate FROM documents) WHERE format_gate = 'pdf' AND contains(lower(s3key), 'f1') ORDER BY doc_id LIMIT 50")
+def find_by_format(spark, sf_dir):
+    key = F.concat("source", F.lit("/f"), F.col("doc_id").cast("string"), F.when(F.col("n_chars") % 2 == 0, ".las").otherwise(".pdf"))
+    docs = Tables(spark, sf_dir).documents.select("doc_id", key.alias("s3key"), F.col("source").alias("asset_team"), T.classify(key).alias("format_gate"))
+    return retrieval.find_documents(docs, "F1", format_gate="pdf", limit=50)
+
+
+@query("""WITH q AS (SELECT DISTINCT doc_id % 50 AS id, source AS s3key, doc_id % 5 AS page FROM documents),
 h AS (SELECT doc_id % 50 AS id, source AS s3key, doc_id % 5 AS page, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
 m AS (SELECT id, CASE id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'figure' ELSE 'table' END AS modality, s3key, page FROM q),
 f AS (SELECT m.id, modality, m.s3key, m.page, max(h.rank IS NOT NULL)::INT AS hit, max(h.rank IS NOT NULL AND modality <> 'figure')::INT AS mod FROM m LEFT JOIN h ON h.id = m.id AND h.s3key = m.s3key AND h.page = m.page AND rank <= 5 GROUP BY ALL),
@@ -234,7 +283,7 @@ SELECT modality, count(*) AS n, round(avg(a), 6) AS any_page_hit, round(avg(c),
 def retrieval_metrics(spark, sf_dir):
     docs = Tables(spark, sf_dir).documents.withColumn("id", F.col("doc_id") % 50).withColumn("page", F.col("doc_id") % 5)
     modality = F.element_at(F.array(F.lit("text"), F.lit("figure"), F.lit("table")), (F.col("id") % 3 + 1).cast("int"))
-    expected = docs.where("doc_id % 3 = 0").groupBy("id").agg(F.collect_set(F.struct(F.col("source").alias("s3key"), "page")).alias("expected_pages")).withColumn("modality", modality)
+    expected = docs.groupBy("id").agg(F.collect_set(F.struct(F.col("source").alias("s3key"), "page")).alias("expected_pages")).withColumn("modality", modality)
     rank = F.row_number().over(W.partitionBy("id").orderBy(F.desc("n_chars"), "doc_id"))
     hits = docs.select("id", rank.alias("rank"), F.col("source").alias("s3key"), F.col("page").alias("page_num"), F.create_map(F.lit("chunks"), F.lit(1)).alias("signals"))
     out = scoring.summary(scoring.score_questions(expected, hits))
@@ -277,21 +326,32 @@ def will_retry(spark, sf_dir):
 
 
 @query("""SELECT o_orderkey AS doc_id, NOT coalesce(l.status IN ('complete', 'skipped') AND l.checksum <> '' AND l.checksum = o_orderpriority, FALSE) AS todo
-FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN max(l_linestatus) = 'O' THEN 'complete' ELSE 'failed' END AS status, max(CASE WHEN l_orderkey % 2 = 0 THEN '1-URGENT' ELSE '' END) AS checksum FROM lineitem WHERE l_linenumber <= 2 GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
+FROM orders LEFT JOIN (SELECT l_orderkey, CASE WHEN max(l_linestatus) = 'O' THEN 'complete' ELSE 'failed' END AS status, max(CASE WHEN l_orderkey % 2 = 0 THEN '1-URGENT' ELSE '' END) AS checksum FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey""")
 def needs_ingest(spark, sf_dir):
     from ..operators.ingest import needs_ingest as operator
 
     t = Tables(spark, sf_dir)
-    ledger = t.lineitem.where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.when(F.max("l_linestatus") == "O", "complete").otherwise("failed").alias("status"), F.max(F.when(F.col("l_orderkey") % 2 == 0, "1-URGENT").otherwise("")).alias("checksum"))
+    ledger = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.when(F.max("l_linestatus") == "O", "complete").otherwise("failed").alias("status"), F.max(F.when(F.col("l_orderkey") % 2 == 0, "1-URGENT").otherwise("")).alias("checksum"))
     listing = t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("checksum"))
     return operator(listing, ledger).select("doc_id", "todo")
 
 
-@query("SELECT DISTINCT doc_id FROM (SELECT l_partkey AS doc_id FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem UNION ALL SELECT p_partkey FROM part) WHERE doc_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")
+@query("""SELECT o_orderkey AS doc_id, o_orderpriority AS checksum FROM orders JOIN (SELECT l_orderkey, CASE WHEN max(l_linestatus) = 'O' THEN 'complete' ELSE 'failed' END AS status, max(CASE WHEN l_orderkey % 2 = 0 THEN '1-URGENT' ELSE '' END) AS checksum FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey AND l.status = 'complete' AND l.checksum = o_orderpriority""")
+def upsert_unchanged(spark, sf_dir):
+    from ..operators.ingest import upsert_unchanged as operator
+
+    t = Tables(spark, sf_dir)
+    ledger = t.lineitem.groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.when(F.max("l_linestatus") == "O", "complete").otherwise("failed").alias("status"), F.max(F.when(F.col("l_orderkey") % 2 == 0, "1-URGENT").otherwise("")).alias("checksum"))
+    return operator(t.orders.select(F.col("o_orderkey").alias("doc_id"), F.col("o_orderpriority").alias("checksum")), ledger).select("doc_id", "checksum")
+
+
+@query("SELECT DISTINCT doc_id FROM (SELECT c_custkey AS doc_id FROM customer UNION ALL SELECT p_partkey FROM part UNION ALL SELECT l_partkey FROM lineitem UNION ALL SELECT s_suppkey FROM supplier) WHERE doc_id NOT IN (SELECT o_custkey FROM orders)")
 def orphans(spark, sf_dir):
+    from ..sources.store import orphans as operator
+
     t = Tables(spark, sf_dir)
-    ids = t.lineitem.select(F.col("l_partkey").alias("doc_id")).union(t.lineitem.select("l_suppkey")).union(t.part.select("p_partkey")).distinct()
-    return ids.join(t.orders.where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("doc_id")), "doc_id", "left_anti")
+    ids = {"documents": (t.customer, "c_custkey"), "pages": (t.part, "p_partkey"), "chunks": (t.lineitem, "l_partkey"), "assets": (t.supplier, "s_suppkey"), "ledger": (t.orders, "o_custkey")}
+    return operator({name: df.select(F.col(c).alias("doc_id")) for name, (df, c) in ids.items()})
 
 
 @query("SELECT user_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id")
@@ -308,10 +368,14 @@ def batch_cap(spark, sf_dir):
     return manifest.batch_cap(rows, 100, "is_new", "event_id").drop("is_new")
 
 
-@query("SELECT CASE WHEN event_type IN ('view', 'click') THEN 'skip' ELSE event_type END AS gate, count(*) AS n FROM events GROUP BY 1")
+@query("""WITH k AS (SELECT CASE doc_id % 9 WHEN 0 THEN 'pdf' WHEN 1 THEN 'las' WHEN 2 THEN 'csv' WHEN 3 THEN 'jpeg' WHEN 4 THEN 'xlsx' WHEN 5 THEN 'zip' WHEN 6 THEN 'docx' WHEN 7 THEN 'tif' ELSE 'kdex' END AS x FROM documents)
+SELECT CASE WHEN x = 'pdf' THEN 'pdf' WHEN x IN ('las', 'csv') THEN 'text' WHEN x IN ('jpeg', 'tif') THEN 'image' ELSE 'skip' END AS gate, count(*) AS n FROM k GROUP BY 1""")
 def outcome_histogram(spark, sf_dir):
-    gate = F.when(F.col("event_type").isin("view", "click"), "skip").otherwise(F.col("event_type"))
-    return Tables(spark, sf_dir).events.groupBy(gate.alias("gate")).agg(F.count("*").alias("n"))
+    from ..operators.ingest import dry_run
+
+    kinds = ["pdf", "LAS", "csv", "Jpeg", "xlsx", "zip", "docx", "tif", "kdex"]
+    ext = F.element_at(F.array(*(F.lit(k) for k in kinds)), (F.col("doc_id") % 9 + 1).cast("int"))
+    return dry_run(Tables(spark, sf_dir).documents.select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("key")))
 
 
 # manifest
@@ -372,7 +436,9 @@ def first_seen_dedupe(spark, sf_dir):
 
 @query("SELECT sha256(text) AS checksum, min(doc_id) AS doc_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
 def exact_dupes_by_checksum(spark, sf_dir):
-    return Tables(spark, sf_dir).documents.groupBy(F.sha2("text", 256).alias("checksum")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1")
+    from ..operators.ingest import content_checksum
+
+    return Tables(spark, sf_dir).documents.groupBy(content_checksum(F.col("text").cast("binary")).alias("checksum")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).where("n > 1")
 
 
 @query("SELECT source AS key, arg_max(doc_id, doc_id) AS last FROM documents GROUP BY source")
@@ -383,7 +449,19 @@ def parsed_refs(spark, sf_dir):
     return operator(rows).withColumnRenamed("parsed_ref", "last")
 
 
-@query()
+@query("SELECT source AS key, arg_min(lang, doc_id) AS asset_team, min(doc_id) AS ordinal FROM documents GROUP BY source")
+def manifest_entries(spark, sf_dir):
+    from ..sources.files import manifest_entries as operator
+
+    return operator(Tables(spark, sf_dir).documents.select(F.col("source").alias("key"), F.col("lang").alias("asset_team"), F.col("doc_id").alias("ordinal")))
+
+
+@query("""WITH d AS (SELECT printf('%09d', doc_id) AS key, lang, source FROM documents),
+g AS (SELECT lang, source, count(*) AS m FROM d GROUP BY ALL),
+p AS (SELECT lang, source, row_number() OVER (ORDER BY r, lang NULLS LAST, source NULLS LAST) AS pick FROM g, range(60) AS t(r) WHERE r < m QUALIFY pick <= 60),
+n AS (SELECT *, row_number() OVER (PARTITION BY lang, source, pick % 2 ORDER BY pick) AS nth FROM p),
+u AS (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY key) AS up, row_number() OVER (PARTITION BY lang, source ORDER BY key DESC) AS down FROM d)
+SELECT pick, key FROM n JOIN u ON n.lang IS NOT DISTINCT FROM u.lang AND n.source IS NOT DISTINCT FROM u.source AND CASE WHEN pick % 2 = 1 THEN up = nth ELSE down = nth END""")
 def trial_sample(spark, sf_dir):
     rows = Tables(spark, sf_dir).documents.select(F.format_string("%09d", "doc_id").alias("key"), "lang", "source")
     return manifest.trial_sample(rows, 60, ("lang", "source"))
@@ -402,7 +480,7 @@ def object_keys(spark, sf_dir):
 def graph_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     props = lambda kind, name: F.create_map(F.lit("type"), F.lit(kind), F.lit("name"), F.col(name), F.lit("label"), F.lit("x"), F.lit("k"), F.col(name))
     nodes = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), props("Vendor", "s_name").alias("props")).union(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), props("Well", "p_name")))
-    edges = t.lineitem.where("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_returnflag").alias("label"), F.when(F.col("l_linestatus") == "F", F.create_map(F.lit("relationship_name"), F.lit("serves"))).alias("props"))
+    edges = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_returnflag").alias("label"), F.when(F.col("l_linestatus") == "F", F.create_map(F.lit("relationship_name"), F.lit("serves"))).alias("props"))
     return nodes, edges
 
 
@@ -411,7 +489,7 @@ def graph_nodes(spark, sf_dir):
     return graph.node_rows(graph_of(Tables(spark, sf_dir))[0])
 
 
-EDGES_SQL = """e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, CASE WHEN l_linestatus = 'F' THEN 'serves' ELSE l_returnflag END AS label, CASE WHEN l_linestatus = 'F' THEN '{"relationship_name":"serves"}' ELSE '{}' END AS properties FROM lineitem WHERE l_linenumber = 1)"""
+EDGES_SQL = """e AS (SELECT 's' || l_suppkey AS source, 'p' || l_partkey AS target, CASE WHEN l_linestatus = 'F' THEN 'serves' ELSE l_returnflag END AS label, CASE WHEN l_linestatus = 'F' THEN '{"relationship_name":"serves"}' ELSE '{}' END AS properties FROM lineitem)"""
 
 
 @query(f"WITH {EDGES_SQL} SELECT source, target, label, properties FROM e")
@@ -436,13 +514,13 @@ def label_agreement(spark, sf_dir):
     return graph.label_agreement(rows)
 
 
-@query("SELECT s_name AS vendor, l_returnflag AS label, p_name AS well FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE l_linenumber = 1 AND s_suppkey % 2 = 0 AND p_partkey % 3 = 0")
+@query("SELECT s_name AS vendor, l_returnflag AS label, p_name AS well FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN part ON p_partkey = l_partkey WHERE s_suppkey % 2 = 0 AND p_partkey % 3 = 0")
 def vendor_well(spark, sf_dir):
     t = Tables(spark, sf_dir)
     valid = lambda key, n: F.when(F.col(key) % n == 0, '{"ontology_valid":true}').otherwise('{"ontology_valid":false}')
     nodes = t.supplier.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("Vendor").alias("type"), F.col("s_name").alias("name"), valid("s_suppkey", 2).alias("properties"))
     nodes = nodes.union(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.lit("Well"), "p_name", valid("p_partkey", 3)))
-    edges = t.lineitem.where("l_linenumber = 1").select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_returnflag").alias("label"))
+    edges = t.lineitem.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("source"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("target"), F.col("l_returnflag").alias("label"))
     return graph.vendor_wells(nodes, edges, "Vendor", "Well")
 
 
@@ -462,6 +540,14 @@ def tag_extract(spark, sf_dir):
     return Tables(spark, sf_dir).events.select("event_id", long(F.size(found)).alias("n"), found[0].alias("first"))
 
 
+@query("SELECT DISTINCT CAST(event_id AS VARCHAR) AS source, event_type AS target, 'l' AS label, key FROM (SELECT event_id, event_type, unnest(['k' || (user_id % 7), 'k' || (event_id % 5)]) AS key FROM events)")
+def provenance(spark, sf_dir):
+    """Edges with the documents that their properties name, each once."""
+    tag = lambda c, n: F.concat(F.lit('"s3key:k'), (F.col(c) % n).cast("string"), F.lit('"'))
+    properties = F.concat(F.lit('{"a":['), tag("user_id", 7), F.lit(","), tag("event_id", 5), F.lit("]}"))
+    return graph.provenance(Tables(spark, sf_dir).events.select(F.col("event_id").cast("string").alias("source"), F.col("event_type").alias("target"), F.lit("l").alias("label"), properties.alias("properties")))
+
+
 @query("SELECT DISTINCT 0::BIGINT AS start, l_partkey AS id FROM lineitem WHERE l_suppkey = 3")
 def graph_neighbours(spark, sf_dir):
     t = Tables(spark, sf_dir)
@@ -487,11 +573,11 @@ def master_lookup(spark, sf_dir):
     return _master(Tables(spark, sf_dir)).select("norm", "master_key")
 
 
-@query(f"WITH {MASTER_SQL} SELECT DISTINCT {NORM.format('p_name')} AS key, master_key, 1.0::DOUBLE AS score FROM part JOIN ms ON ms.norm = {NORM.format('p_name')} WHERE p_partkey % 2 = 0")
+@query(f"WITH {MASTER_SQL} SELECT DISTINCT {NORM.format('p_name')} AS key, master_key, 1.0::DOUBLE AS score FROM part JOIN ms ON ms.norm = {NORM.format('p_name')}")
 def master_exact(spark, sf_dir):
     t = Tables(spark, sf_dir)
     key = T.normalize_key(F.col("p_name"))
-    probes = t.part.where("p_partkey % 2 = 0").select(F.lit("Well").alias("cls"), key.alias("key"), key.alias("probe")).distinct()
+    probes = t.part.select(F.lit("Well").alias("cls"), key.alias("key"), key.alias("probe")).distinct()
     return entity.match_exact(probes, _master(t).withColumn("cls", F.lit("Well"))).select("key", "master_key", "score")
 
 
@@ -514,10 +600,10 @@ def master_fuzzy(spark, sf_dir):
     return entity.similar(probes, names, 0.95).select("key", "nearest", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {MASTER_SQL} SELECT 'alias_' || p_partkey AS key, master_key FROM part JOIN ms ON ms.norm = {NORM.format('p_name')} WHERE p_partkey <= 20")
+@query(f"WITH {MASTER_SQL} SELECT 'alias_' || p_partkey AS key, master_key FROM part JOIN ms ON ms.norm = {NORM.format('p_name')}")
 def alias_join(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    rows = t.part.where("p_partkey <= 20").select(F.concat(F.lit("Alias "), F.col("p_partkey").cast("string")).alias("alias"), F.lit("Well").alias("class"), F.col("p_name").alias("master_name"), F.col("p_partkey").alias("ordinal"))
+    rows = t.part.select(F.concat(F.lit("Alias "), F.col("p_partkey").cast("string")).alias("alias"), F.lit("Well").alias("class"), F.col("p_name").alias("master_name"), F.col("p_partkey").alias("ordinal"))
     return entity.check_aliases(rows, _master(t).withColumn("cls", F.lit("Well"))).select("key", "master_key")
 
 
@@ -545,9 +631,7 @@ def individual_blocks(spark, sf_dir):
 
 @query("""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>.*?</(script|style)>', ' ', 'gs'), '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'), ' ') AS text FROM pages""")
 def html_pages_text(spark, sf_dir):
-    body = F.regexp_replace("html", "(?s)<(script|style)[^>]*>.*?</(script|style)>", " ")
-    text = F.regexp_replace(F.regexp_replace(body, "<[^>]+>", " "), "[ \\t\\n\\r]+", " ")
-    return Tables(spark, sf_dir).pages.select("page_id", F.trim(text).alias("text"))
+    return Tables(spark, sf_dir).pages.select("page_id", T.html_text(F.col("html")).alias("text"))
 
 
 @query("SELECT conv_id AS key, 'markdown' AS kind, count(*) AS page_count, sum(turn + 1)::BIGINT AS numbers FROM conversations GROUP BY conv_id")

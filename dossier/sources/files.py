@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,7 +138,3 @@ def append_run_ledger(df: DataFrame, path: str, stamp: str) -> DataFrame:
 def with_identity(rows: DataFrame) -> DataFrame:
     """Listing rows with their document id and format gate."""
     return rows.withColumn("doc_id", doc_id_for(F.col("key"))).withColumn("gate", classify(F.col("key")))
-
-
-def scratch(root: str, name: str) -> str:
-    return f"{root}/{name}-{uuid.uuid4().hex}"

@@ -1,13 +1,17 @@
-"""The evidence store: Parquet tables in versioned folders, and one pointer that commits all of them at once.
-
-A commit writes new folders for the tables that change and then replaces the
-pointer, ledger and all. Readers resolve the pointer once and see one version
-of every table. There is one writer at a time.
+"""The evidence store: Parquet tables in folders that are only added, and numbered pointers that commit all of them at once.
+
+A commit writes its new rows, and the ids of documents whose older rows are
+gone, to folders of its own, and then creates the next pointer, which lists all
+folders that make up the tables. A pointer is created only where there is none, and never
+changed or removed by a commit: a writer that dies leaves the last version as it is, and of two writers one fails.
+So a commit writes as much as it adds. Readers take the highest pointer once, and see one version of every table;
+older rows of deleted documents leave by an anti join until ``optimize`` merges the folders.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,67 +19,96 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 
+#: Bytes of a file that optimize writes, about.
+FILE_BYTES = 256 << 20
+DELETES = "deletes"
+SUMMARY = "summary.json"
+
+
+def orphans(tables: dict[str, DataFrame]) -> DataFrame:
+    """Documents with rows in any table but without a ledger row."""
+    ids = reduce(DataFrame.union, (tables[n].select("doc_id") for n in ("documents", "pages", "chunks", "assets"))).distinct()
+    return ids.join(tables["ledger"], "doc_id", "left_anti")
+
 
 class Store:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self.path = jvm.org.apache.hadoop.fs.Path
+        self.path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self.fs = self.path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    # the pointer
+    # the pointers
 
-    def current(self) -> dict[str, str]:
-        """Folder by table of the committed version; empty before the first commit."""
-        at = f"{self.root}/CURRENT"
-        if not self.fs.exists(self.path(at)):
-            return {}
-        return json.loads(self.spark.read.text(at, wholetext=True).first().value)
+    def _names(self, folder: str) -> list[str]:
+        at = self.path(f"{self.root}/{folder}")
+        return [s.getPath().getName() for s in self.fs.listStatus(at)] if self.fs.exists(at) else []
 
-    def _point(self, folders: dict[str, str]) -> None:
-        at, new = self.path(f"{self.root}/CURRENT"), self.path(f"{self.root}/NEXT")
-        out = self.fs.create(new, True)
-        out.write(bytearray(json.dumps(folders).encode()))
+    def versions(self) -> list[int]:
+        return sorted(int(n) for n in self._names("versions") if n.isdigit())
+
+    def current(self) -> dict[str, list[int]]:
+        """The commits whose folders make up each table; empty before the first commit."""
+        for n in reversed(self.versions()):
+            try:
+                return json.loads(self.spark.read.text(f"{self.root}/versions/{n}", wholetext=True).first().value)
+            except (ValueError, AttributeError):  # a writer died while it wrote this pointer
+                continue
+        return {}
+
+    def _put(self, name: str, content: str) -> None:
+        """Create a file; an error if it is there."""
+        out = self.fs.create(self.path(f"{self.root}/{name}"), False)
+        out.write(bytearray(content.encode()))
         out.close()
-        self.fs.delete(at, False)
-        self.fs.rename(new, at)
 
-    def table(self, name: str, version: dict[str, str] | None = None) -> DataFrame:
-        """A table of a version (the committed one), empty before its first row."""
-        folder = (self.current() if version is None else version).get(name)
-        if folder is None:
-            return self.spark.createDataFrame([], schemas.EVIDENCE[name])
-        return self.spark.read.schema(schemas.EVIDENCE[name]).parquet(f"{self.root}/{folder}")
+    def _next(self) -> int:
+        """A number that no pointer and no folder has, not even one that a dead writer left."""
+        folders = [int(f.rsplit("=", 1)[1]) for name in (*schemas.EVIDENCE, DELETES) for f in self._names(name) if f.startswith("v=")]
+        return max([0, *self.versions(), *folders]) + 1
+
+    # reading
+
+    def _parts(self, name: str, schema: str, numbers: list[int]) -> DataFrame:
+        """The rows of some commits, with the commit's number ``v``."""
+        empty = self.spark.createDataFrame([], schema + ", v int")
+        if not numbers:
+            return empty
+        return self.spark.read.schema(empty.schema).option("basePath", f"{self.root}/{name}").parquet(*(f"{self.root}/{name}/v={n}" for n in numbers))
+
+    def table(self, name: str, version: dict[str, list[int]] | None = None) -> DataFrame:
+        """A table of a version (the committed one)."""
+        version = self.current() if version is None else version
+        numbers = version.get(name, [])
+        rows = self._parts(name, schemas.EVIDENCE[name], numbers)
+        later = [n for n in version.get(DELETES, []) if numbers and n > min(numbers)]
+        if later:
+            gone = self._parts(DELETES, "doc_id string", later).groupBy(F.col("doc_id").alias("__id")).agg(F.max("v").alias("__v"))
+            rows = rows.join(gone, (F.col("doc_id") == F.col("__id")) & (F.col("v") < F.col("__v")), "left_anti")
+        return rows.drop("v")
 
     def tables(self) -> dict[str, DataFrame]:
         version = self.current()
         return {name: self.table(name, version) for name in schemas.EVIDENCE}
 
-    def commit(self, new: dict[str, DataFrame]) -> None:
-        """Write these tables whole and make them, with the others as they are, the current version."""
-        folders = self.current()
-        n = max([0, *(int(f.rsplit("=", 1)[1]) for f in folders.values())]) + 1
-        for name, df in new.items():
-            folder = f"{name}/v={n}"
-            df.select(*(f.name for f in self.spark.createDataFrame([], schemas.EVIDENCE[name]).schema)).write.mode("overwrite").parquet(f"{self.root}/{folder}")
-            folders[name] = folder
-        self._point(folders)
-
     # changes
 
+    def commit(self, new: dict[str, DataFrame], deleted: DataFrame | None = None, replaces: tuple[str, ...] = ()) -> None:
+        """Add rows to tables and take out all older rows of the deleted documents (doc_id); tables in ``replaces`` start anew."""
+        version, n = self.current(), self._next()
+        for name, df in new.items():
+            df.select(*(f.name for f in self.spark.createDataFrame([], schemas.EVIDENCE[name]).schema)).write.mode("error").parquet(f"{self.root}/{name}/v={n}")
+            version[name] = [*([] if name in replaces else version.get(name, [])), n]
+        if deleted is not None:
+            deleted.select("doc_id").distinct().write.mode("error").parquet(f"{self.root}/{DELETES}/v={n}")
+            version[DELETES] = [*version.get(DELETES, []), n]
+        self._put(f"versions/{n}", json.dumps(version))
+
     def replace(self, doc_ids: DataFrame, new: dict[str, DataFrame]) -> None:
         """Delete all rows of these documents and add the new ones, in one version."""
-        out = {}
-        for name in schemas.EVIDENCE:
-            rows = self.table(name).join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti")
-            out[name] = rows.unionByName(new[name]) if name in new else rows
-        self.commit(out)
+        self.commit(new, deleted=doc_ids)
 
     def orphans(self) -> DataFrame:
-        """Documents with rows but without a ledger row."""
-        t = self.tables()
-        ids = reduce(DataFrame.union, (t[n].select("doc_id") for n in ("documents", "pages", "chunks", "assets"))).distinct()
-        return ids.join(t["ledger"], "doc_id", "left_anti")
+        return orphans(self.tables())
 
     def reconcile(self) -> int:
         """Delete the orphans' rows; their number."""
@@ -90,40 +123,55 @@ class Store:
 
     # upkeep
 
-    def optimize(self, names: list[str] | None = None, files: int = 8) -> None:
-        """Rewrite tables in few files sorted by document, and drop all older versions."""
-        version = self.current()
-        self.commit({n: self.table(n, version).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id") for n in names or version})
-        keep = set(self.current().values())
-        for name in schemas.EVIDENCE:
-            if self.fs.exists(self.path(f"{self.root}/{name}")):
-                for status in self.fs.listStatus(self.path(f"{self.root}/{name}")):
-                    folder = f"{name}/{status.getPath().getName()}"
-                    if folder not in keep:
-                        self.fs.delete(self.path(f"{self.root}/{folder}"), True)
-
-    def _copy(self, source: str, dest: str) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
-        to = self.path(dest)
-        jvm.org.apache.hadoop.fs.FileUtil.copy(self.fs, self.path(source), to.getFileSystem(conf), to, False, True, conf)
+    def _bytes(self, name: str, numbers: list[int]) -> int:
+        return sum(self.fs.getContentSummary(self.path(f"{self.root}/{name}/v={n}")).getLength() for n in numbers)
+
+    def optimize(self, names: list[str] | None = None, file_bytes: int = FILE_BYTES) -> None:
+        """Merge the folders of tables into files of about that size, sorted by document (terms by term); of all tables, this also drops older versions."""
+        version, n = self.current(), self._next()
+        merged = dict(version)
+        for name in names or [t for t in version if t != DELETES]:
+            files = max(1, math.ceil(self._bytes(name, version[name]) / file_bytes))
+            by = "term" if name == "terms" else "doc_id"
+            self.table(name, version).repartitionByRange(files, by).sortWithinPartitions(by).write.mode("error").parquet(f"{self.root}/{name}/v={n}")
+            merged[name] = [n]
+        if names is None:
+            merged.pop(DELETES, None)
+        self._put(f"versions/{n}", json.dumps(merged))
+        if names is None:
+            for old in self.versions()[:-1]:
+                self.fs.delete(self.path(f"{self.root}/versions/{old}"), False)
+            for name in (*schemas.EVIDENCE, DELETES):
+                for folder in self._names(name):
+                    if int(folder.rsplit("=", 1)[1]) not in merged.get(name, []):
+                        self.fs.delete(self.path(f"{self.root}/{name}/{folder}"), True)
 
     def publish(self, dest: str, stamp: str) -> dict:
-        """Copy the committed version to dest/stamp with a summary; an empty store is an error."""
+        """Write the committed version, without deleted rows, to dest/stamp with a summary beside it; an empty store is an error."""
         version = self.current()
         if not version:
             raise ValueError("the store is empty: nothing to publish")
-        for folder in version.values():
-            self._copy(f"{self.root}/{folder}", f"{dest}/{stamp}/{folder}")
-        self._copy(f"{self.root}/CURRENT", f"{dest}/{stamp}/CURRENT")
-        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{dest}/{stamp}")
+        there = Store(self.spark, f"{dest}/{stamp}")
+        there.commit({name: self.table(name, version) for name in version if name != DELETES})
+        summary = {"stamp": stamp, "rows": {r.table: r.n for r in there.counts().collect()}}
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", True).load(there.root)
         sums = files.agg(F.count("*").alias("files"), F.sum("length").alias("bytes")).first()
-        return {"stamp": stamp, "files": sums.files, "bytes": sums.bytes}
+        summary |= {"files": sums.files, "bytes": sums.bytes}
+        there._put(SUMMARY, json.dumps(summary))
+        return summary
+
+    @staticmethod
+    def summary(spark: SparkSession, source: str, stamp: str) -> dict:
+        """What publish wrote beside a snapshot."""
+        return json.loads(spark.read.text(f"{source}/{stamp}/{SUMMARY}", wholetext=True).first().value)
 
     @staticmethod
     def restore(spark: SparkSession, source: str, stamp: str, root: str) -> Store:
-        """Copy a published version to a new root; an unknown stamp is an error."""
-        store = Store(spark, root)
-        if not store.fs.exists(store.path(f"{source}/{stamp}/CURRENT")):
+        """A store at a new root with the rows of a published version; an unknown stamp is an error."""
+        there = Store(spark, f"{source}/{stamp}")
+        if not there.versions():
             raise ValueError(f"no snapshot {stamp!r}")
-        store._copy(f"{source}/{stamp}", root)
+        store = Store(spark, root)
+        version = there.current()
+        store.commit({name: there.table(name, version) for name in version})
         return store

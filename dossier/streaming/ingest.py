@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ingest import ingest
 from ..sources.files import relative
+from ..sources.scratch import drop, written
 from ..sources.store import Store
 
 
@@ -23,12 +24,12 @@ def stream_ingest(spark: SparkSession, root: str, store: Store, checkpoint: str,
     )
 
     def batch(df: DataFrame, _: int) -> None:
-        rows = df.withColumn("key", relative(F.col("path"), root)).persist()
+        rows, at = written(df.withColumn("key", relative(F.col("path"), root)), "arrived")
         try:
             listing = rows.select("key", F.split("key", "/")[0].alias("asset_team"), F.lit(None).cast("string").alias("etag"))
             ingest(store, listing, rows.select("key", "content"), now(), embed_text)
         finally:
-            rows.unpersist()
+            drop(spark, at)
 
     return files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

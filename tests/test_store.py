@@ -58,7 +58,7 @@ def test_cap_blank_and_etag(spark, tmp_path):
 def test_orphans(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     run(store, [("A/a.las", "1")], {"A/a.las": b"abc"})
-    store.commit({"ledger": store.table("ledger").limit(0)})
+    store.commit({"ledger": store.table("ledger").limit(0)}, replaces=("ledger",))
     r = run(store, [("A/a.las", "1")], {"A/a.las": b"abc"})
     assert (r.reconciled, r.complete) == (1, 1) and store.table("documents").count() == 1
 
@@ -75,7 +75,7 @@ def test_versions_and_snapshots(spark, tmp_path):
     store.optimize()
     assert store.table("chunks").count() == 2
     other = Store.restore(spark, f"file://{tmp_path}/snap", "t1", f"file://{tmp_path}/r")
-    assert other.table("chunks").count() == 2
+    assert other.table("chunks").count() == 2 and Store.summary(spark, f"file://{tmp_path}/snap", "t1")["rows"]["chunks"] == 2
     with pytest.raises(ValueError):
         Store.restore(spark, f"file://{tmp_path}/snap", "t2", f"file://{tmp_path}/r2")
 
@@ -100,3 +100,66 @@ def test_stream(spark, tmp_path):
     events = spark.createDataFrame([("k", 1, "a"), ("k", 2, "b")], "key string, at int, status string")
     assert latest_status(events, "key", "at").first().status == "b"
     assert events.select(F.max("at")).first()[0] == 2
+
+
+def test_a_writer_that_dies_changes_nothing(spark, tmp_path):
+    """Neither before the pointer is written nor half way through it; and its folders are never used again."""
+    store = Store(spark, f"file://{tmp_path}/s")
+    run(store, [("A/a.las", "1")], {"A/a.las": b"abc"})
+    before, rows = store.current(), store.table("documents").collect()
+    put, store._put = store._put, lambda *_: (_ for _ in ()).throw(OSError("died"))
+    with pytest.raises(OSError):
+        store.replace(store.table("documents").select("doc_id"), {"documents": store.table("documents")})
+    store._put = put
+    assert store.current() == before and store.table("documents").collect() == rows
+    n = store._next()
+    assert not (tmp_path / f"s/documents/v={n}").exists() and n > max(store.versions())
+    (tmp_path / f"s/versions/{n}").write_text('{"documents": [1')
+    assert store.current() == before and store._next() == n + 1
+    with pytest.raises(Exception, match="(?i)exist"):
+        store._put(f"versions/{n}", "{}")
+    run(store, [("A/b.las", "1")], {"A/b.las": b"xyz"})
+    assert store.table("documents").count() == 2
+
+
+def test_a_pass_writes_what_it_adds(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    run(store, [(f"A/{i}.las", "1") for i in range(20)], {f"A/{i}.las": f"words {i} ".encode() * 3000 for i in range(20)})
+    size = lambda n: store._bytes("chunks", [n])
+    first = store.current()["chunks"][-1]
+    run(store, [("A/3.las", "2")], {"A/3.las": b"new words"})
+    last = store.current()["chunks"][-1]
+    assert last != first and size(last) < size(first) / 5
+    texts = [r.text for r in store.table("chunks").where("s3key = 'A/3.las'").collect()]
+    assert texts == ["new words"] and store.table("documents").count() == 20
+    n = {r.table: r.n for r in store.counts().collect()}
+    store.optimize()
+    assert store.current()["chunks"] == [max(store.versions())] and {r.table: r.n for r in store.counts().collect()} == n
+
+
+def test_stored_terms_give_the_same_search(spark, tmp_path):
+    from dossier.operators import retrieval
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    texts = {"A/a.txt": "stuck pipe and more pipe", "A/b.txt": "pipe; Stuck STUCK stuck", "B/c.txt": "nothing of it", "B/d.txt": "über-pipe 3 of 4"}
+    run(store, [(k, "1") for k in texts], {k: v.encode() for k, v in texts.items()})
+    t = store.tables()
+    for query, team in (("stuck PIPE", None), ("of pipe, pipe", "B"), ("absent", None), ("?", None)):
+        raw = [(r.chunk_id, round(r.score, 9)) for r in retrieval.bm25(t["chunks"], query, 5, asset_team=team).collect()]
+        assert raw == [(r.chunk_id, round(r.score, 9)) for r in retrieval.bm25_stored(t["chunks"], t["terms"], query, 5, asset_team=team).collect()]
+    assert [r.asset_team for r in retrieval.search(t, "stuck pipe", "fts", 3, None).collect()][:2] == ["A", "A"]
+
+
+def test_screenshots_figures_and_blank_pages(spark, tmp_path):
+    store = Store(spark, f"file://{tmp_path}/s")
+    pages = "array(named_struct('page_num', 1, 'text', '', 'screenshot', X'0102', 'width', 2, 'height', 1), named_struct('page_num', 2, 'text', 'words', 'screenshot', CAST(null AS binary), 'width', 2, 'height', 1))"
+    figures = "array(named_struct('page_num', 2, 'kind', 'chart', 'image', X'03'))"
+    parse = lambda rows: rows.selectExpr("doc_id", "true AS ok", "false AS retriable", "'' AS reason", f"{pages} AS pages", f"{figures} AS figures")
+    image = lambda c: F.array(F.length(c).cast("float"), F.lit(1.0).cast("float"))
+    r = run(store, [("A/a.pdf", "1"), ("A/gone.txt", "1")], {"A/a.pdf": b"%PDF"}, parse_binary=parse, embed_image=image)
+    assert (r.complete, r.failed) == (1, 1) and [tuple(x) for x in r.failures.collect()] == [("A/gone.txt", "fetch failed")]
+    rows = {p.page_num: p for p in store.table("pages").collect()}
+    assert list(rows[1].vector) == [0.0] * 4 and any(rows[2].vector)
+    assert list(rows[1].clip_vector) == [2.0, 1.0] and not any(rows[2].clip_vector)
+    asset = store.table("assets").first()
+    assert (asset.kind, list(asset.clip_vector), asset.page_id) == ("chart", [1.0, 1.0], rows[2].page_id) and store.table("ledger").where("status = 'complete'").first().asset_count == 1
