@@ -77,9 +77,10 @@ def term_counts(rows: DataFrame, wanted: list[str], id_col: str, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            text = pc.utf8_lower(pc.fill_null(b.column(1), ""))
-            spaced = pc.binary_join_element_wise("  ", pc.replace_substring_regex(text, SEPARATORS, "  "), "  ", "")
-            length = pc.count_substring_regex(text, SEPARATORS.replace("^", ""))
+            text = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(b.column(1), "")), SEPARATORS, "  ")
+            text = pc.utf8_trim(text, " ")
+            length = pc.if_else(pc.equal(text, ""), 0, pc.add(pc.count_substring(text, "  "), 1))
+            spaced = pc.binary_join_element_wise(" ", text, " ", "")
             yield pa.RecordBatch.from_arrays([b.column(0), length.cast(pa.int32()), *(pc.count_substring(spaced, f" {w} ").cast(pa.int32()) for w in wanted)], [id_col, "length", *(f"tf{i}" for i in range(len(wanted)))])
 
     tf = "".join(f", tf{i} int" for i in range(len(wanted)))
