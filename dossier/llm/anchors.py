@@ -40,14 +40,18 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[: n - w + 1], left[w - 1 : n])
 
 
-def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, last) of each run of windows that have the same anchor; first and last are window starts."""
+def anchors(data: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, anchor, first, last) of each run of windows that have the same anchor; key is a hash of the anchor's GRAM bytes, first and last are window starts."""
     n = len(data)
     if n < length:
         empty = np.empty(0, np.int64)
-        return empty, empty, empty
+        return empty, empty, empty, empty
     place = np.arange(n - GRAM + 1, dtype=np.uint64)
-    chosen = sliding_min(((order(data) >> _PLACE_BITS) << _PLACE_BITS) | place, length - GRAM + 1) & np.uint64((1 << int(_PLACE_BITS)) - 1)
+    h = order(data)
+    chosen = sliding_min(((h >> _PLACE_BITS) << _PLACE_BITS) | place, length - GRAM + 1) & np.uint64((1 << int(_PLACE_BITS)) - 1)
     first = np.flatnonzero(np.concatenate([[True], chosen[1:] != chosen[:-1]]))
     last = np.append(first[1:] - 1, len(chosen) - 1)
-    return chosen[first].astype(np.int64), first, last
+    at = chosen[first].astype(np.int64)
+    key = h[at] * _C[1]  # anchors have small hashes: spread them again
+    key = (key ^ (key >> np.uint64(31))) * _C[2]
+    return (key ^ (key >> np.uint64(29))).view(np.int64), at, first, last

@@ -29,7 +29,7 @@ def test_as_a_scan(spark):
     rows = [(i, "".join(rng.choice([piece(15), rng.choice(shared)]) for _ in range(rng.randint(0, 6)))) for i in range(80)]
     rows += [(200, "a" * 500), (201, "ab" * 300), (202, "a" * 99), (203, "a" * 100), (204, None), (205, "")]
     df = frame(spark, [(i, t, "en", "s", 1) for i, t in rows])
-    for batches in ((), suffixes.BATCHES, (0.3, 0.6, 0.9)):
+    for batches in (1, None, 7):
         got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffixes.dedupe(df, batches=batches).collect()}
         assert got == brute(rows, 100)
 
@@ -52,7 +52,33 @@ def test_equal_windows_have_equal_anchors():
         places = []
         for _ in range(2):
             head = bytes(rng.choice(b"abc ") for _ in range(rng.randint(0, 50)))
-            a, i, j = anchors(head + shared + head, 100)
+            _, a, i, j = anchors(head + shared + head, 100)
             k = [n for n in range(len(a)) if i[n] <= len(head) <= j[n]][0]
             places.append(a[k] - len(head))
         assert places[0] == places[1]
+
+
+def test_levels_as_a_binary_counter(spark):
+    """Levels have 1, 2, 4 batches; those that are larger than the new one are scanned and stay."""
+    df = spark.createDataFrame([(i, f"{i} " * 60 + "the same words again and again, " * (i % 3) * 5) for i in range(70)], "id long, text string")
+    spans, _, family = suffixes.repeated_spans(df, 100, 7)
+    assert family.log == [(0, 0), (1, 0), (0, 1), (2, 0), (0, 1), (1, 1), (0, 2)] and spans.count() > 0
+    assert suffixes.batches_for(0) == suffixes.batches_for(1 << 30) == 4 and suffixes.batches_for(1 << 40) == 14
+
+
+def test_windows_as_a_loop(spark):
+    """Windows of contexts that start earlier too, whichever bucket and task they are in; the two hashes are independent."""
+    data = b"abcabc" * 40
+    assert len(set(suffixes.window_hashes(data, 100).tolist())) == len(set(suffixes.window_hashes(data, 100, 1).tolist())) == 3
+    rows = [(i, f"{i:03}" * 40 + "a passage that all of them share, word for word, which is long enough to be found " * 2 + f"{i:03}" * 50) for i in range(6)]
+    found = suffixes.contexts(spark.createDataFrame(rows, "id long, text string"), spark.createDataFrame([(i, (k << 12) | 50) for i in range(6) for k in range(0, 250, 51)], "doc long, place long"), 100)
+    got = {(r.doc, a) for r in suffixes.repeated_windows(found, 100, 4).collect() for a in range(r.a, r.b - 99)}
+    seen, want = set(), set()
+    for i, text in rows:
+        for k in range(250 + 50):
+            w = text[k : k + 100]
+            if len(w) == 100 and k <= 204 + 50:
+                if w in seen:
+                    want.add((i, k))
+                seen.add(w)
+    assert got == want
