@@ -4,17 +4,19 @@ Each vector is centred, rotated by a random orthonormal matrix and reduced to
 the signs of its coordinates, packed to bits, with two correction scalars:
 its distance from the centre and the inner product of its direction with its
 code. The inner product of a query with a vector is estimated from the packed
-bits and these scalars, with an error bound that holds with a probability set
-by ``epsilon``. A vector is reranked, by its exact distance, unless its lower
+bits and these scalars: the query's coordinates are rounded to QUERY_BITS bits, whose planes
+meet the codes by AND and population count. An error bound holds with a probability set
+by ``epsilon``, and takes in the rounding. A vector is reranked, by its exact distance, unless its lower
 bound exceeds the k-th smallest upper bound, or the k-th smallest exact
 distance so far. So the bound, not a fixed number of candidates, decides what is looked at.
 
-The index has a row for every vector that takes part: not null, not zero, of
-the most common length, without null or non-finite components. Only the
+The index has a row for every vector that takes part: not null, not zero,
+without null or non-finite components. Vectors of different lengths aren't compared: each length has an index of its own. Only the
 centre is fitted on a bounded sample (``centre_rows``); rows with a null id
-are left out, and rows that repeat an id are candidates each for itself. Ties go to the smaller id. Queries are
-the given rows in blocks of about ``query_rows``; each block is sent to all
-tasks and each task keeps the k nearest of its rows for each query. Other columns are dropped.
+are left out. Rows that repeat an id are candidates each for itself, and queries each with a list of its own,
+but rows with a query's id are none of its candidates. Ties go to the smaller id. Queries are
+the given rows in blocks of about ``query_rows``, searched one after the other; a block is sent to all
+tasks and each task keeps the k nearest of its rows for each query. An empty table gives an empty result. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -27,9 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import drop_path, stash_path
 
 EPSILON, CENTRE_ROWS, QUERY_ROWS = 3.0, 4096, 4096
+#: Bits to which a query's coordinates are rounded.
+QUERY_BITS = 6
 #: Candidates and queries whose estimates are held at once.
 CHUNK_ROWS, CHUNK_QUERIES, CHUNK_PAIRS = 2048, 256, 65536
 
@@ -39,22 +43,26 @@ def rotation(dim: int, seed: int) -> np.ndarray:
 
 
 def encode(x: np.ndarray, centre: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(packed signs, distance from the centre, inner product of direction and code) of each row."""
+    """(signs packed to 64-bit words, distance from the centre, inner product of direction and code) of each row."""
     y = (x - centre) @ turn
     norm = np.sqrt((y * y).sum(1))
     u = y / np.where(norm > 0, norm, 1)[:, None]
-    return np.packbits(u > 0, axis=1), norm, np.maximum(np.abs(u).sum(1) / np.sqrt(x.shape[1]), 1e-12)
+    return packed(u > 0), norm, np.maximum(np.abs(u).sum(1) / np.sqrt(x.shape[1]), 1e-12)
 
 
-def valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """(id, v) of the vectors that take part, and their length."""
+def packed(bits: np.ndarray) -> np.ndarray:
+    """Rows of bits as 64-bit words."""
+    out = np.packbits(bits, axis=1)
+    return np.pad(out, ((0, 0), (0, -out.shape[1] % 8))).view(np.uint64)
+
+
+def valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, list[int]]:
+    """(id, v, dim) of the vectors that take part, and the lengths that they have."""
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull())
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(fit)
-    top = rows.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    dim = top.dim if top else 1
-    return rows.where(F.size("v") == dim), dim
+    rows = rows.where(fit).withColumn("dim", F.size("v"))
+    return rows, sorted(r.dim for r in rows.select("dim").distinct().collect())
 
 
 def index(rows: DataFrame, dim: int, seed: int = 0, centre_rows: int = CENTRE_ROWS) -> tuple[DataFrame, np.ndarray]:
@@ -70,7 +78,7 @@ def index(rows: DataFrame, dim: int, seed: int = 0, centre_rows: int = CENTRE_RO
             codes = pa.array([c.tobytes() for c in code], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, pa.array(norm), pa.array(ip)], ["id", "v", "code", "norm", "ip"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, code binary, norm double, ip double"), centre
+    return rows.select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, code binary, norm double, ip double"), centre
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -89,19 +97,35 @@ class Nearest:
         self.ids, self.vectors, self.k, self.epsilon = ids, vectors, k, epsilon
         self.turned = (vectors - centre) @ turn
         self.norms = np.sqrt((self.turned**2).sum(1))
+        # coordinates as low + step * whole numbers, and the planes of their bits
+        low, high = self.turned.min(1, initial=0.0), self.turned.max(1, initial=0.0)
+        self.low, self.step = low, np.where(high > low, (high - low) / ((1 << QUERY_BITS) - 1), 1.0)
+        whole = np.rint((self.turned - low[:, None]) / self.step[:, None]).astype(np.uint8)
+        self.planes = [packed((whole >> k) & 1 > 0) for k in range(QUERY_BITS)]
+        self.total = (low[:, None] + self.step[:, None] * whole).sum(1)
         self.found = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
         self.worst = np.full(len(ids), np.inf)
         self.reranked = 0
 
+    def inner(self, part: slice, code: np.ndarray, dim: int) -> np.ndarray:
+        """Estimated inner products of some queries with codes of signs 1 / sqrt(dim)."""
+        sums = np.zeros((len(self.low[part]), len(code)), np.float32)
+        for k, plane in enumerate(self.planes):
+            for word in range(code.shape[1]):
+                sums += np.bitwise_count(plane[part, None, word] & code[None, :, word]) * np.float32(1 << k)
+        ones = np.bitwise_count(code).sum(1)
+        return (2 * (self.low[part, None] * ones[None, :] + self.step[part, None] * sums) - self.total[part, None]) / np.sqrt(dim)
+
     def see(self, ids: np.ndarray, x: np.ndarray, code: np.ndarray, norm: np.ndarray, ip: np.ndarray) -> None:
         dim = x.shape[1]
-        signs = (np.unpackbits(code, axis=1)[:, :dim].astype(np.float32) * 2 - 1) / np.float32(np.sqrt(dim))
         spread = norm * np.sqrt(np.maximum(0, 1 - ip**2)) / ip * self.epsilon / np.sqrt(max(1, dim - 1))
         for start in range(0, len(self.ids), CHUNK_QUERIES):
             part = slice(start, start + CHUNK_QUERIES)
-            inner = (self.turned[part].astype(np.float32) @ signs.T) * (norm / ip)[None, :]
+            inner = self.inner(part, code, dim) * (norm / ip)[None, :]
             near = norm[None, :] ** 2 + self.norms[part, None] ** 2 - 2 * inner
-            margin = 2 * spread[None, :] * self.norms[part, None] + 1e-5 * (norm[None, :] ** 2 + self.norms[part, None] ** 2)
+            # what the code leaves open, and what rounding the query can change at most
+            rounding = self.step[part, None] * np.sqrt(dim) * (norm / ip)[None, :]
+            margin = 2 * spread[None, :] * self.norms[part, None] + rounding + 1e-5 * (norm[None, :] ** 2 + self.norms[part, None] ** 2)
             own = self.ids[part, None] == ids[None, :]
             limit = self.worst[part]
             if len(ids) > self.k:
@@ -124,18 +148,18 @@ class Nearest:
                 self.worst[i] = d[best[-1]]
 
 
-def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int = 10, seed: int = 0, epsilon: float = EPSILON, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest rows of each query but itself, by Euclidean distance.
+def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int = 10, seed: int = 0, epsilon: float = EPSILON, query_rows: int = QUERY_ROWS) -> list[DataFrame]:
+    """(query_id, rank, vec_id, score): the k nearest rows of each query but itself, by Euclidean distance; a table for each block of queries.
 
     queries has (id, v). The number of blocks follows the number of queries;
-    one block at a time passes the driver, which bounds what is sent.
+    one block at a time passes the driver and is with the tasks, which bounds what is sent.
     """
     spark = indexed.sparkSession
     blocks = max(1, -(-queries.count() // query_rows))
     turn = rotation(dim, seed)
-    parts = []
+    made = []
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").orderBy("id").collect()
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").orderBy("id", "v").collect()
         if not rows:
             continue
         sent = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows])))
@@ -148,26 +172,33 @@ def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray,
                     if nearest is None:
                         nearest = Nearest(*sent.value, centre, turn, k, epsilon)
                     x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-                    code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(x), -1)
-                    nearest.see(*(c if i else c.astype(np.int64) for i, c in enumerate((b.column(0).to_numpy(), x, code, b.column(3).to_numpy(), b.column(4).to_numpy()))))
+                    code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(x), -1)
+                    nearest.see(b.column(0).to_numpy().astype(np.int64), x, code, b.column(3).to_numpy(), b.column(4).to_numpy())
             if nearest is not None:
                 d = [x for x, _ in nearest.found]
-                n = [x for _, x in nearest.found]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(nearest.ids, [len(x) for x in d])), pa.array(np.concatenate(n)), pa.array(np.concatenate(d))], ["query_id", "vec_id", "d2"])
+                sizes = [len(x) for x in d]
+                columns = [np.repeat(np.arange(len(d)), sizes), np.repeat(nearest.ids, sizes), np.concatenate([x for _, x in nearest.found]), np.concatenate(d)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["nth", "query_id", "vec_id", "d2"])
 
-        parts.append(indexed.mapInArrow(run, "query_id long, vec_id long, d2 double"))
-    if not parts:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    near = parts[0]
-    for more in parts[1:]:
-        near = near.union(more)
-    ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d2").alias("score"))
+        # nth tells queries of one id apart
+        near = indexed.mapInArrow(run, "nth long, query_id long, vec_id long, d2 double")
+        ranked = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "nth").orderBy("d2", "vec_id"))).where(F.col("rank") <= k)
+        made.append(stash_path(ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.sqrt("d2").alias("score")), "nearest"))
+        sent.destroy()
+    return [spark.read.parquet(at) for at in made]
 
 
 def nearest(vectors: DataFrame, every: int = 100, k: int = 10, seed: int = 0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Searches all vectors for those whose id is divisible by ``every``."""
-    rows, dim = valid(vectors, id_col, vector_col)
-    indexed, centre = index(rows, dim, seed)
-    indexed = stash(indexed, "codes")
-    return search(indexed, indexed.where(F.col("id") % every == 0), dim, centre, k, seed)
+    """(query_id, rank, vec_id, score): searches all vectors for those whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
+    rows, dims = valid(vectors, id_col, vector_col)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for dim in dims:
+        own = rows.where(F.col("dim") == dim)
+        coded, centre = index(own, dim, seed)
+        coded_at = stash_path(coded, "codes")
+        indexed = spark.read.parquet(coded_at)
+        for found in search(indexed, indexed.where(F.col("id") % every == 0), dim, centre, k, seed):
+            out = out.unionByName(found)
+        drop_path(spark, coded_at)
+    return out

@@ -41,6 +41,30 @@ def test_edges(spark):
     bad = [(900, None), (1000, []), (1100, [0.0, 0.0]), (1200, [1.0, None]), (1300, [float("nan"), 1.0]), (1400, [float("inf"), 1.0]), (1500, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])]
     df = spark.createDataFrame(good + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 AS rank", "2 AS score")
     rows = ann.nearest(df).collect()
-    assert {r.query_id for r in rows} == {0, 100, 200, 300} and len(rows) == 12
+    assert {r.query_id for r in rows} == {0, 100, 200, 300} and len(rows) == 12  # 1500 is alone in its length
     assert [r.score for r in sorted(rows, key=lambda r: (r.query_id, r["rank"]))][:3] == pytest.approx([1, 2, 3])
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_lengths_and_repeated_queries(spark):
+    """Each length is searched for itself; a query that is given twice has two lists."""
+    short = [(i, [float(i % 7 + 1), 1.0]) for i in range(0, 1000, 20)]
+    long = [(i, [1.0, float(i % 11), 2.0]) for i in range(1, 1001, 20)] + [(2000, [1.0, 3.0, 2.0])]
+    rows = ann.nearest(spark.createDataFrame(short + long + [short[0]], "vec_id long, embedding array<float>"))
+    got = sorted((r.query_id, r["rank"], r.vec_id) for r in rows.collect())
+    assert {x for x in got if x[0] == 2000} == {x for x in brute(long, 100, 10) if x[0] == 2000}
+    mine = [x for x in got if x[0] == 0]
+    assert mine == sorted(2 * [x for x in brute(short, 100, 10) if x[0] == 0]) and [r for _, r, _ in mine] == sorted(2 * list(range(1, 11)))
+    assert {x for x in got if 0 < x[0] < 1000} == {x for x in brute([*short, short[0]], 100, 10) if x[0]}
+
+
+def test_estimates_are_within_the_rounding():
+    rng = np.random.default_rng(1)
+    for dim in (3, 64, 100):
+        x = rng.standard_normal((300, dim))
+        turn, centre = ann.rotation(dim, 0), x.mean(0)
+        near = ann.Nearest(np.arange(7), x[:7], centre, turn, 5, ann.EPSILON)
+        code, _, _ = ann.encode(x, centre, turn)
+        signs = np.where((x - centre) @ turn > 0, 1, -1) / np.sqrt(dim)
+        off = np.abs(near.inner(slice(0, 7), code, dim) - near.turned @ signs.T)
+        assert (off <= near.step[:, None] * np.sqrt(dim) / 2 + 1e-4).all()
