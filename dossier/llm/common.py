@@ -42,14 +42,15 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stash_path(df, name))
 
 
-def stash_path(df: DataFrame, name: str) -> str:
+def stash_path(df: DataFrame, name: str, **options: str) -> str:
+    """Write df to a table in the shared folder; where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     was = spark.conf.get(CLEANUP, None)
     if was is not None:
         spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         if was is not None:
             spark.conf.set(CLEANUP, was)

@@ -4,14 +4,17 @@
   reference to a medium with its caption. Each item keeps its position.
 * ``stored`` puts payloads into a media column: bytes padded with zeros to a
   positive multiple of 64, as the 8-bit samples of a WAV stream.
-* ``features_of`` reads stored media back and describes their samples.
+* ``features_of`` reads stored media back and describes their samples; ``payloads`` keeps one row for each digest.
 * ``resolve`` joins references with payloads by digest. Positions and
   captions stay aligned, and a reference without payload keeps its place with
   nulls.
 
 Null HTML gives an empty sequence, a null payload counts as empty. Equal
 payloads are one payload: whichever row is read gives the same values.
-Repeated references are resolved each for itself. Other columns are dropped.
+Repeated references and pages are resolved each for itself. Empty tables give empty results, very long pages are read whole.
+HTML may be malformed: a caption ends with its figure, at the next figure, at an element within
+it that isn't inline once it has text, and at the end of the page; what follows is text. What is
+in a hidden element is neither text nor reference. Other columns than those to ``keep`` are dropped.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, stash
 
 UNIT = 64
 SAMPLE_RATE = 8000
@@ -54,11 +57,23 @@ class _Reader(HTMLParser):
             self.items.append(["text", text, None, None])
         self.text = []
 
+    def end_caption(self) -> None:
+        if self.caption is not None:
+            caption = " ".join("".join(self.caption).split())
+            for i in self.figure or []:
+                self.items[i][3] = caption or self.items[i][3]
+            self.caption = None
+
     def handle_starttag(self, tag: str, attrs) -> None:
         if tag in HIDDEN:
             self.hidden += 1
+        if self.hidden:
+            return
         if tag not in INLINE:
-            self.end_text()
+            if tag == "figure" or tag not in MEDIA and "".join(self.caption or ()).strip():
+                self.end_caption()
+            if self.caption is None:
+                self.end_text()
         if tag == "figure":
             self.figure = []
         if tag == "figcaption":
@@ -73,14 +88,13 @@ class _Reader(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in HIDDEN:
             self.hidden = max(0, self.hidden - 1)
-        if tag not in INLINE:
-            if self.caption is None:
-                self.end_text()
-        if tag == "figcaption" and self.caption is not None:
-            caption = " ".join("".join(self.caption).split())
-            for i in self.figure or []:
-                self.items[i][3] = caption or self.items[i][3]
-            self.caption = None
+            return
+        if self.hidden:
+            return
+        if tag in ("figcaption", "figure"):
+            self.end_caption()
+        if tag not in INLINE and self.caption is None:
+            self.end_text()
         if tag == "figure":
             self.figure = None
 
@@ -94,15 +108,16 @@ def read_html(html: str | None) -> list[tuple]:
     reader = _Reader()
     reader.feed(html or "")
     reader.close()
+    reader.end_caption()
     reader.end_text()
     return [(i, *item) for i, item in enumerate(reader.items)]
 
 
-def sequences(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """(id, items): texts and references of each page in order."""
+def sequences(pages: DataFrame, id_col: str, html_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep..., items): texts and references of each page in order."""
     names = ("pos", "kind", "text", "ref", "caption")
-    kind = dict(pages.dtypes)[id_col]
-    return map_rows(pages.select(id_col, html_col), lambda: lambda key, html: (key, [dict(zip(names, x)) for x in read_html(html)]), f"{id_col} {kind}, items array<{ITEM}>")
+    kinds = "".join(f"{c} {dict(pages.dtypes)[c]}, " for c in (id_col, *keep))
+    return map_rows(pages.select(id_col, *keep, html_col), lambda: lambda *v: (*v[:-1], [dict(zip(names, x)) for x in read_html(v[-1])]), f"{kinds}items array<{ITEM}>")
 
 
 def padded(data: Column) -> Column:
@@ -159,19 +174,19 @@ def features_of(media: DataFrame, id_col: str, media_col: str = "media") -> Data
     return map_rows(media.select(id_col, media_col).where(F.col(media_col).isNotNull()), lambda: lambda key, data: (key, *features_from(bytes(data))), f"{id_col} {kind}, {FEATURES}")
 
 
-def payload_features(rows: DataFrame, data_col: str) -> DataFrame:
-    """One row for each distinct payload: it is stored, read back and described in one pass, without moving its bytes."""
-    made = map_rows(rows.select(data_col), lambda: lambda data: features_from(to_wav(pad(bytes(data or b"")))), FEATURES)
+def payloads(features: DataFrame) -> DataFrame:
+    """One row for each distinct payload, as a table of its own."""
     rest = [c.split()[0] for c in FEATURES.split(", ") if not c.startswith("payload_sha256")]
-    return made.groupBy("payload_sha256").agg(*(F.first(c).alias(c) for c in rest))
+    return stash(features.groupBy("payload_sha256").agg(*(F.first(c).alias(c) for c in rest)), "payloads")
 
 
-def resolve(items: DataFrame, payloads: DataFrame, id_col: str) -> DataFrame:
-    """(id, pos, kind, text, caption, digest, payload columns...): each item in its place, media with their payload.
+def resolve(items: DataFrame, payloads: DataFrame, id_col: str, keep: tuple[str, ...] = (), kinds: tuple[str, ...] = ("text", "media")) -> DataFrame:
+    """(id, keep..., pos, kind, text, caption, digest, payload columns...): each item of these kinds in its place, media with their payload.
 
-    A reference is ``sha256:`` and the payload's digest.
+    A reference is ``sha256:`` and the payload's digest. Items without a digest are dealt out by their place, and meet nothing.
     """
-    flat = items.select(id_col, F.explode("items").alias("x")).select(
-        id_col, "x.pos", "x.kind", "x.text", "x.caption", F.when(F.col("x.kind") == "media", F.regexp_extract("x.ref", "^sha256:([0-9a-f]{64})$", 1)).alias("digest")
-    )
-    return flat.join(payloads.withColumnRenamed("payload_sha256", "digest"), "digest", "left")
+    flat = items.select(id_col, *keep, F.explode("items").alias("x")).where(F.col("x.kind").isin(*kinds))
+    digest = F.nullif(F.regexp_extract("x.ref", "^sha256:([0-9a-f]{64})$", 1), F.lit(""))
+    flat = flat.select(id_col, *keep, "x.pos", "x.kind", "x.text", "x.caption", digest.alias("digest"))
+    flat = flat.withColumn("__key", F.coalesce("digest", F.concat(F.lit("-"), F.xxhash64(id_col, "pos").cast("string"))))
+    return flat.join(payloads.withColumnRenamed("payload_sha256", "__key"), "__key", "left").drop("__key")

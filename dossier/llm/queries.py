@@ -53,25 +53,20 @@ def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text as a payload: referred to by a page, stored as media, read back, and found again by its digest."""
-    from .media import padded, payload_features, resolve, sequences
-
-    docs = table(spark, sf_dir, "documents")
-    data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    digest = F.sha2(padded(data), 256)
-    caption = F.concat(F.lit("bytes="), F.length(data))
-    page = F.concat(F.lit('<figure><img src="sha256:'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
-    found = resolve(sequences(docs.select("doc_id", page.alias("html")), "doc_id", "html"), payload_features(docs.select(data.alias("data")), "data"), "doc_id")
-    return found.select(
-        "doc_id",
-        F.regexp_extract("caption", r"^bytes=(\d+)$", 1).cast("long").alias("n_bytes"),
-        "payload_bytes",
-        F.col("digest").alias("payload_sha256"),
-        "tail_crc32",
-        "media_bytes",
-        "media_sha256",
-        "feature",
-    )
+    """Every text as a payload in a media column, read back, and as a page that refers to it between its first sentence and the rest."""
+    from .common import stash_path
+    from .media import features_of, padded, payloads, resolve, sequences, stored
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.alias("text"), text.cast("binary").alias("data"))
+    media = spark.read.parquet(stash_path(stored(docs, "doc_id", "data"), "media", compression="zstd"))
+    plain = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    lead = F.substring_index("text", ".", 1)
+    rest = F.substring("text", F.length(lead) + 1, F.length("text"))
+    page = F.concat(F.lit("<p>"), plain(lead), F.lit('</p><figure><img src="sha256:'), F.sha2(padded(F.col("data")), 256), F.lit('"><figcaption>the text</figcaption></figure><p>'), plain(rest), F.lit("</p>"))
+    pages = docs.select("doc_id", F.length("data").cast("long").alias("n_bytes"), page.alias("html"))
+    found = resolve(sequences(pages, "doc_id", "html", keep=("n_bytes",)), payloads(features_of(media, "doc_id")), "doc_id", keep=("n_bytes",), kinds=("media",))
+    return found.select("doc_id", "n_bytes", "payload_bytes", F.col("digest").alias("payload_sha256"), "tail_crc32", "media_bytes", "media_sha256", "feature", "pos", "caption")
 
 
 @query
@@ -113,12 +108,14 @@ WITH e AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), q AS (
+  SELECT *, row_number() OVER () AS nth FROM e WHERE vec_id % 100 = 0
 ), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+  SELECT q.vec_id AS query_id, q.nth AS nth, c.vec_id AS vec_id,
     sqrt(list_reduce(list_transform(range(1, len(q.v) + 1), lambda i: (q.v[i] - c.v[i]) * (q.v[i] - c.v[i])), lambda a, b: a + b)) AS score
-  FROM e q JOIN e c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
-  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id, nth ORDER BY score, vec_id) AS INTEGER) AS rank, vec_id, score FROM d
 )
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """
