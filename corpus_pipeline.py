@@ -30,7 +30,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of runs that occur earlier; those that lose all their words go."""
+    """Documents without the sentences of runs that occur earlier; those that lose all their words go.
+
+    Null texts and rows without id stay as they are; rows that repeat an id are judged as one text whose parts follow each other. Columns of any name pass.
+    """
     left = F.col("__left")
     found = sentences.dedupe(docs, into="__left").where((left["removed"] == 0) | left["text"].rlike(r"\S"))
     n_chars = F.when(left["removed"] > 0, F.length(left["text"]).cast("long")).otherwise(F.col("n_chars"))
@@ -38,7 +41,10 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A mix of the sources at their target weights: documents that are taken twice are there twice."""
+    """A mix of the sources at their target weights: documents that are taken twice are there twice.
+
+    Rows without source are a source of their own, the last; null and empty texts have no words and come like others; rows that repeat an id fare alike. Columns of any name pass.
+    """
     return mixing.copies(mixing.mix(docs, into="__mix"), into="__mix").select(*docs.columns)
 
 
