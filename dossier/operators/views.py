@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import is_blank, strip, virtual_dir
+from ..sources.scratch import written
 
 
 def _variant_array(v: Column, path: str) -> Column:
@@ -57,6 +60,19 @@ def choose_source(manifest_views: DataFrame, cache_views: DataFrame) -> DataFram
     return ranked.withColumn("nth", F.row_number().over(W.partitionBy("key").orderBy(F.when(F.col("source") == "manifest", 0).otherwise(1)))).where("nth = 1").drop("nth")
 
 
+def read_views(asked: DataFrame, manifest_views: DataFrame, cache_views: DataFrame, parse: Callable[[DataFrame], DataFrame], keep: Callable[[DataFrame], None]) -> DataFrame:
+    """The view of each asked key: the manifest's, else the cache's, else one that is parsed now and kept for later runs; ``source`` tells which.
+
+    parse turns (key) into views of the same columns; keep appends them to the cache. What has been parsed is
+    written once, so that the result and the cache hold the same.
+    """
+    keys = asked.select("key").distinct()
+    found = choose_source(manifest_views.join(keys, "key", "left_semi"), cache_views.join(keys, "key", "left_semi"))
+    fresh, _ = written(parse(keys.join(found.select("key"), "key", "left_anti")).select(*manifest_views.columns), "fresh")
+    keep(fresh)
+    return found.unionByName(fresh.withColumn("source", F.lit("parsed")))
+
+
 def serialize(pages: DataFrame, key: str, page_col: str = "page", text_col: str = "markdown") -> DataFrame:
     """(key, text): a document's pages that aren't blank, in order, each under a mark with its number. Pages of one document meet in one row."""
     rows = pages.where(~is_blank(F.col(text_col)))

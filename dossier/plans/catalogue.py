@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.vectors import squared_distance
-from ..operators import entity, graph, manifest, retrieval, scoring, views
+from ..operators import entity, graph, graph_ingest, manifest, retrieval, scoring, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -640,3 +640,61 @@ def normalize_views(spark, sf_dir):
     raw = Tables(spark, sf_dir).conversations.groupBy(F.col("conv_id").alias("key")).agg(F.to_json(F.struct(F.struct(F.collect_list(chunk).alias("chunks")).alias("output"))).alias("json"))
     out = views.normalize(raw)
     return out.select("key", "kind", long("page_count").alias("page_count"), long(F.aggregate("pages", F.lit(0), lambda s, p: s + p["page"])).alias("numbers"))
+
+
+def _views(t: Tables) -> DataFrame:
+    """Conversations as parsed documents; every fifth is an extraction without pages, every seventh is empty."""
+    page = F.struct((F.col("turn") + 1).cast("int").alias("page"), F.col("text").alias("markdown"))
+    rows = t.conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(page)).alias("all"), F.count("*").alias("page_count"))
+    odd, none = F.col("conv_id") % 5 == 0, F.col("conv_id") % 7 == 0
+    fields = F.when(odd & ~none, F.create_map(F.lit("turns"), F.col("page_count")))
+    pages = F.when(odd | none, F.array().cast("array<struct<page:int,markdown:string>>")).otherwise(F.col("all"))
+    cites = F.when(odd, F.create_map(F.lit("turns"), F.array(F.lit(1))))
+    return rows.select(F.concat(F.lit("c/"), F.col("conv_id").cast("string")).alias("key"), F.when(odd, "extraction").otherwise("markdown").alias("kind"), pages.alias("pages"), fields.alias("fields"), cites.alias("field_pages"), "page_count", "conv_id")
+
+
+VIEWS_SQL = """g AS (SELECT conv_id, 'c/' || conv_id AS key, CASE WHEN conv_id % 5 = 0 THEN 'extraction' ELSE 'markdown' END AS kind, count(*) AS page_count,
+  CASE WHEN conv_id % 7 = 0 THEN NULL WHEN conv_id % 5 = 0 THEN '<!-- source: c/' || conv_id || ' | structured extraction -->' || chr(10) || '{"fields":{"turns":' || count(*) || '},"field_page_citations":{"turns":[1]}}'
+  ELSE string_agg('<!-- source: c/' || conv_id || ' | page: ' || (turn + 1) || ' -->' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) END AS text FROM conversations GROUP BY conv_id)"""
+
+
+@query(f"WITH {VIEWS_SQL} SELECT key, kind, text FROM g")
+def graph_texts(spark, sf_dir):
+    """Texts of parsed documents for the graph: pages under their sources, or fields as JSON."""
+    return graph_ingest.graph_texts(_views(Tables(spark, sf_dir))).select("key", "kind", "text")
+
+
+@query(f"WITH {VIEWS_SQL}, s AS (SELECT key, CASE WHEN conv_id % 4 = 0 THEN 'skipped-prior-ok' WHEN conv_id % 11 = 0 THEN 'failed' WHEN text IS NULL THEN 'no-parse-output' ELSE 'ok' END AS status, kind, text FROM g) SELECT key, status, CASE WHEN status IN ('ok', 'no-parse-output') THEN kind ELSE '' END AS kind, CASE WHEN status = 'ok' THEN length(text) ELSE 0 END AS chars, CASE WHEN status = 'failed' THEN 'unreadable' ELSE '' END AS error FROM s UNION ALL SELECT 'p/' || page_id, 'no-parse-output', '', 0, '' FROM pages")
+def graph_run(spark, sf_dir):
+    """One status for each document of a graph run."""
+    t = Tables(spark, sf_dir)
+    rows = _views(t).withColumn("error", F.when(F.col("conv_id") % 11 == 0, "unreadable"))
+    done = rows.where("conv_id % 4 = 0").select("key")
+    return graph_ingest.run_status(rows, graph_ingest.graph_texts(rows), done, t.pages.select(F.concat(F.lit("p/"), F.col("page_id").cast("string")).alias("key")))
+
+
+@query(f"WITH {VIEWS_SQL} SELECT key, '- ' || key || ' | entry_type: ' || CASE WHEN conv_id % 3 = 0 THEN 'unknown' ELSE 'AFE' END || ' | kind: ' || kind || ' | pages: ' || page_count AS line FROM g")
+def seeded_lines(spark, sf_dir):
+    rows = _views(Tables(spark, sf_dir))
+    return graph_ingest.seeded_lines(rows, rows.select("key", F.when(F.col("conv_id") % 3 == 0, "").otherwise("AFE").alias("entry_type")))
+
+
+@query("SELECT 'k/' || doc_id AS key, struct_pack(content := text, encoding := 'utf-8').encoding AS encoding, sha256(text) AS hash FROM documents")
+def file_data(spark, sf_dir):
+    wrapped = Tables(spark, sf_dir).documents.select(F.concat(F.lit("k/"), F.col("doc_id").cast("string")).alias("key"), graph_ingest.file_data(F.col("text")).alias("f"))
+    return wrapped.select("key", "f.encoding", F.sha2("f.content", 256).alias("hash"))
+
+
+@query("SELECT n_name AS cls, count(*) AS n FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY 1")
+def verified_by_class(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return graph_ingest.verified_by_class(t.supplier.join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("cls"), F.col("s_name").alias("name")))
+
+
+@query("WITH k AS (SELECT page_id, 'k/' || page_id AS key FROM pages) SELECT key, CASE WHEN page_id % 2 = 0 THEN 'manifest' WHEN page_id % 3 = 0 THEN 'cache' ELSE 'parsed' END AS source FROM k")
+def read_chain(spark, sf_dir):
+    """Where each document's view is read: the manifest's reference, else the cache, else it is parsed and kept."""
+    rows = Tables(spark, sf_dir).pages.select(F.concat(F.lit("k/"), F.col("page_id").cast("string")).alias("key"), "page_id", F.col("html").alias("body"))
+    view = lambda df: df.select("key", "body")
+    found = views.read_views(rows.select("key"), view(rows.where("page_id % 2 = 0")), view(rows.where("page_id % 3 = 0")), lambda keys: view(keys.join(rows, "key")), lambda fresh: None)
+    return found.select("key", "source")

@@ -53,8 +53,9 @@ def tool(f: Callable) -> Callable:
 class Tools:
     """The eleven tools over a manifest, evidence tables, parsed views and a graph. Models are injected callables."""
 
-    def __init__(self, rows: DataFrame | None = None, evidence: dict[str, DataFrame] | None = None, pages: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, embed_text=None, embed_image=None, answer=None, vision=None, analyst=None) -> None:
+    def __init__(self, rows: DataFrame | None = None, evidence: dict[str, DataFrame] | None = None, pages: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, embed_text=None, embed_image=None, answer=None, vision=None, analyst=None, objects: DataFrame | None = None) -> None:
         self.manifest, self.evidence, self.parsed, self.nodes, self.edges = rows, evidence or {}, pages, nodes, edges
+        self.objects = objects
         self.embed_text, self.embed_image, self.answer, self.vision, self.analyst = embed_text, embed_image, answer, vision, analyst
 
     @tool
@@ -78,7 +79,12 @@ class Tools:
 
     @tool
     def get_document_info(self, key: str) -> dict:
-        return {**self._row(key), "gate": self.manifest.sparkSession.range(1).select(classify(F.lit(key))).first()[0]}
+        """The manifest's row, the format, and what the listing (key, size, etag, ...) says of the object."""
+        out = {**self._row(key), "gate": self.manifest.sparkSession.range(1).select(classify(F.lit(key))).first()[0]}
+        if self.objects is not None:
+            found = self.objects.where(F.col("key") == key).drop("key").first()
+            out["object"] = plain(found) if found is not None else {"error": "no such object"}
+        return out
 
     @tool
     def read_parsed_document(self, key: str, page_start: int = 1, page_end: int | None = None) -> dict:
@@ -120,8 +126,13 @@ class Tools:
         rows = touched.select("source", "target", "label", graph.tags(F.col("properties"), "s3key:").alias("keys"), graph.tags(F.col("properties"), "doc_id:").alias("docs")).collect()
         sources = list(dict.fromkeys(k for r in rows for k in r["keys"] or []))
         docs = list(dict.fromkeys(k for r in rows for k in r["docs"] or []))
-        facts = [f"{r.source} {r.label} {r.target}" for r in rows]
-        return {"answer": self.answer(question, facts) if self.answer else "; ".join(facts), "sources": sources, "evidence_doc_ids": docs, "mode": "graph" if rows else "none"}
+        facts, mode = [f"{r.source} {r.label} {r.target}" for r in rows], "graph" if rows else "none"
+        if not sources and "chunks" in self.evidence:
+            # no source in the graph: ask the chunks
+            hits = retrieval.search(self.evidence, question, "fts", top_k, self.embed_text).select("s3key", "doc_id", "text").collect()
+            sources, docs = list(dict.fromkeys(h.s3key for h in hits)), list(dict.fromkeys(h.doc_id for h in hits))
+            facts, mode = facts + [h.text for h in hits], "chunks" if hits else mode
+        return {"answer": self.answer(question, facts) if self.answer else "; ".join(facts), "sources": sources, "evidence_doc_ids": docs, "mode": mode}
 
     @tool
     def search_evidence(self, query: str, mode: str = "hybrid", limit: int = 5, asset_team: str | None = None) -> dict:

@@ -19,6 +19,7 @@ EVIDENCE = {"documents": DOCUMENTS, "pages": PAGES, "screenshots": SCREENSHOTS,
 NODES = "id string, type string, name string, properties string"
 EDGES = "source string, target string, label string, properties string"
 MANIFEST = "key string, asset_team string, well string, category string, entry_type string, well_name_meta string, bytes string, parse_source string, parsed_ref string"
+NOMINATIONS = "key string, doc_id string, well string, category string, format_gate string, page_count string"
 WELLS = "EID string, API_10 string, WELL_NAME string, LEASE_NAME string, COMPANY_NAME string, OPERATOR_NAME string, STATE string, COUNTY string"
 VENDORS = "VENDOR_ID string, VENDOR_NAME string, VENDOR_FULL_NAME string"
 ALIASES = "alias string, class string, master_name string"

@@ -86,6 +86,21 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     write_csv(edges, f"{path}/edges.csv")
 
 
+def nominations(spark: SparkSession, path: str) -> DataFrame:
+    """Documents of the evidence store that are nominated for the graph."""
+    return csv(spark, path, schemas.NOMINATIONS)
+
+
+def retain_raw(parsed: DataFrame, root: str) -> None:
+    """Append whole parse results (doc_id, key, result struct with its text items and boxes) as JSON, a folder for each document."""
+    parsed.select("doc_id", "key", "result").write.mode("append").partitionBy("doc_id").json(root)
+
+
+def raw(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Retained parse results with the schema of their result."""
+    return spark.read.schema(f"key string, result {schema}, doc_id string").json(root)
+
+
 def master(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A master export; an error says what to do if it isn't there."""
     if not exists(spark, path):

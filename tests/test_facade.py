@@ -28,7 +28,17 @@ def test_graph_tool(spark):
     nodes = spark.createDataFrame([("1", "E", "Big Well"), ("2", "E", "Acme")], "id string, type string, name string")
     edges = spark.createDataFrame([("1", "2", "drilled_by", '{"t":["s3key:a.pdf","doc_id:d1"]}')], "source string, target string, label string, properties string")
     out = Tools(nodes=nodes, edges=edges).query_knowledge_graph("who drilled big well", ["big well"])
-    assert out["sources"] == ["a.pdf"] and out["evidence_doc_ids"] == ["d1"]
+    assert out["sources"] == ["a.pdf"] and out["evidence_doc_ids"] == ["d1"] and out["mode"] == "graph"
+    chunks = spark.createDataFrame([("d2:p1:c0", "d2:p1", "d2", "b.pdf", "A", "nobody drilled it", 1)], "chunk_id string, page_id string, doc_id string, s3key string, asset_team string, text string, page_num int")
+    pages = chunks.drop("chunk_id")
+    asked = Tools(nodes=nodes, edges=edges.limit(0), evidence={"chunks": chunks, "pages": pages}).query_knowledge_graph("who drilled this")
+    assert (asked["sources"], asked["evidence_doc_ids"], asked["mode"]) == (["b.pdf"], ["d2"], "chunks")
+
+
+def test_object_facts(spark):
+    rows = spark.createDataFrame([("a.pdf", "A")], "key string, asset_team string")
+    tools = Tools(rows, objects=spark.createDataFrame([("a.pdf", 12, "e1")], "key string, size long, etag string"))
+    assert tools.get_document_info("a.pdf")["object"] == {"size": 12, "etag": "e1"}
 
 
 def test_hosts():

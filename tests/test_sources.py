@@ -78,3 +78,39 @@ def test_ontology(spark, tmp_path):
     assert [tuple(r) for r in o["classes"].collect()] == [("Well", "Asset")]
     assert [tuple(r) for r in o["properties"].collect()] == [("in", "Well", "County")]
     assert [tuple(r) for r in o["individuals"].collect()] == [("w1", "Well", "W 1")]
+
+
+def test_retained_parses_and_nominations(spark, tmp_path):
+    parsed = spark.sql("SELECT 'd1' AS doc_id, 'a.pdf' AS key, named_struct('pages', array(named_struct('items', array(named_struct('text', 'x', 'x', 1.5D, 'y', 2.0D, 'width', 3.0D, 'height', 4.0D))))) AS result")
+    files.retain_raw(parsed, f"file://{tmp_path}/raw")
+    back = files.raw(spark, f"file://{tmp_path}/raw", parsed.schema["result"].dataType.simpleString()).first()
+    assert (back.doc_id, back.key, back.result.pages[0]["items"][0].width) == ("d1", "a.pdf", 3.0)
+    (tmp_path / "n.csv").write_text("key,doc_id,well,category,format_gate,page_count\na.pdf,d1,W,c,pdf,3\n")
+    assert files.nominations(spark, f"file://{tmp_path}/n.csv").first().doc_id == "d1"
+
+
+def test_read_chain_keeps_what_it_parses(spark, tmp_path):
+    """Reference, then cache, then a parse that later runs find in the cache."""
+    cache = f"file://{tmp_path}/cache"
+    make = lambda *keys: spark.createDataFrame([(k, "seen") for k in keys], "key string, body string")
+    files.put_json(make("b", "a"), cache)
+    read = lambda: spark.read.schema("key string, body string").json(cache)
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("c",)], "key string")
+    calls = []
+    parse = lambda keys: calls.append(1) or keys.withColumn("body", F.lit("parsed"))
+    got = {r.key: (r.source, r.body) for r in views.read_views(asked, make("a"), read(), parse, lambda df: files.put_json(df, cache)).collect()}
+    assert got == {"a": ("manifest", "seen"), "b": ("cache", "seen"), "c": ("parsed", "parsed")}
+    again = {r.key: r.source for r in views.read_views(asked, make("a"), read(), parse, lambda df: None).collect()}
+    assert again == {"a": "manifest", "b": "cache", "c": "cache"}
+
+
+def test_json_and_run_ledger(spark, tmp_path):
+    (tmp_path / "j/x").mkdir(parents=True)
+    (tmp_path / "j/x/a.json").write_text('{"k":\n1}')
+    rows = files.json_objects(spark, f"file://{tmp_path}/j").collect()
+    assert [(r.key, r.json) for r in rows] == [("x/a.json", '{"k":\n1}')]
+    path = f"file://{tmp_path}/runs"
+    assert files.run_ledger(spark, path).count() == 0
+    run = spark.createDataFrame([("a", "ok", 5), ("b", "failed", 0), ("c", "ok", 7)], "key string, status string, chars int")
+    assert {r.status: (r.n, r.chars) for r in files.append_run_ledger(run, path, "t1").collect()} == {"ok": (2, 12), "failed": (1, 0)}
+    assert {r.key for r in files.run_ledger(spark, path).collect()} == {"a", "c"}
