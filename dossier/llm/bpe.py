@@ -32,7 +32,7 @@ from .common import map_rows
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Pieces whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 120_000
+REMEMBERED = 180_000
 
 
 def byte_symbols() -> list[str]:
@@ -102,14 +102,14 @@ class Codec:
         return tuple([i for i in ids if i >= 0])
 
     def word(self, word: str) -> tuple[int, ...]:
-        found = [self.known[p] for p in self.pieces(word)]
-        return found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+        pieces = self.pieces(word)
+        if len(pieces) == 1:  # the caller remembers it
+            return self.known.seen(word) or self.merge(word.encode("utf-8"))
+        return tuple(chain.from_iterable(map(self.known.__getitem__, pieces)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        self.known.age()
-        self.known_words.age()
         if not self.at_special or not any(s in text for s in self.special):
             return list(chain.from_iterable(self.by_piece(text)))
         out: list[int] = []
@@ -147,19 +147,20 @@ class _Known(dict):
         self.work = work
         self.old: dict[str, tuple[int, ...]] = {}
 
+    def seen(self, piece: str) -> tuple[int, ...] | None:
+        return self.get(piece) or self.old.get(piece)
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.old.get(piece)
         if ids is None:
             ids = self.work(piece)
         if len(piece) <= 64:
+            if len(self) >= REMEMBERED:
+                self.old = dict(self)
+                self.clear()
             self[piece] = ids
         return ids
 
-    def age(self) -> None:
-        if len(self) > REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-
 
 def _sent(df: DataFrame, tokenizer: str):
     with open(tokenizer, encoding="utf-8") as file:
