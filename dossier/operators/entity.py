@@ -16,6 +16,8 @@ from ..functions.text import fragment_key, normalize_key, strip, strip_county, s
 from .graph import relationship
 
 CUTOFF, LEAST_FUZZY = 0.9, 8
+#: The ratio that an unverified name is first tried with.
+LIKELY = 0.6
 # Classes in the order in which they claim a name, and the entity types that feed each.
 CLASSES = ("AssetTeam", "Well", "Operator", "ServiceVendor", "County")
 TYPE_POOLS = {
@@ -158,7 +160,10 @@ def verify(pool: DataFrame, well: DataFrame, vendor: DataFrame, aliases: DataFra
     earlier = every.where("turn = 0").groupBy("key").agg(F.min(order).alias("claimed"))
     passed = every.where("turn = 0").select("cls", "key").distinct()
     failed = probes.where("pooled").join(passed, ["cls", "key"], "left_anti").join(earlier, "key", "left").where(F.col("claimed").isNull() | (F.col("claimed") > order))
-    near = similar(failed.select("cls", "key", F.col("key").alias("probe")), masters, 0.0)
+    # most have a master that is a little like them; only the others are compared with all of their class
+    asked = failed.select("cls", "key", F.col("key").alias("probe"))
+    close = similar(asked, masters, LIKELY)
+    near = close.unionByName(similar(asked.join(close.select("cls", "key"), ["cls", "key"], "left_anti"), masters, 0.0))
     unverified = failed.join(near, ["cls", "key"], "left").select(
         F.col("spelling").alias("name"), F.col("cls").alias("class"), F.coalesce("nearest", F.lit("")).alias("nearest_master"), F.coalesce(F.round("score", 3).cast("string"), F.lit("")).alias("score")
     )
