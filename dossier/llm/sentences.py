@@ -183,9 +183,12 @@ def removals(docs: DataFrame, span: int = SPAN, least_words: int = LEAST_WORDS,
     rows = docs.sparkSession.read.parquet(rows_at)
     # map-side combining: a very common run reaches the shuffle once per task
     first = rows.groupBy("h").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h", "first")
-    later = rows.join(first, "h").where(F.struct("id", "at") != F.col("first"))
+    # a table of its own, so that the join deals out its rows anew and can split a very common run
+    first_at = stash_path(first, "first")
+    later = rows.join(docs.sparkSession.read.parquet(first_at), "h").where(F.struct("id", "at") != F.col("first"))
     found = stash(later.groupBy(F.col("id").alias(id_col)).agg(F.sort_array(F.collect_set("at")).alias("starts")), "removals")
-    drop_path(docs.sparkSession, rows_at)
+    for at in (rows_at, first_at):
+        drop_path(docs.sparkSession, at)
     return found
 
 
