@@ -1,10 +1,12 @@
 """A Katz backoff language model over words, counted, normalised and evaluated by Spark.
 
-Counts: each task counts words and pairs of neighbours in buffers, and the
-counts meet by key. Pairs that occur ``least`` times or more, and words, are discounted by
-Good-Turing up to LIMIT, and rarer pairs are left to backoff (none with a least of 1), with counts of
-counts over the whole corpus (absolute discounting where these give no factor within 0 and 1).
-The mass that words leave is the probability of an unknown word.
+Counts: words are counted first. The most frequent ones, at most CODED, get small numbers, known to all
+tasks, which only makes keys shorter; other words are hashes of 63 bits. Then each task counts pairs of neighbours in buffers, and the
+counts meet in buckets as sorted arrays: pairs after a word without number by that word, others by the pair.
+All pairs of a word without number are thus in one bucket, and there are at most a CODED-th or so of all tokens of them.
+Words and pairs are discounted by Good-Turing up to LIMIT, and pairs that occur fewer than ``least`` times are left
+to backoff (none with a least of 1), with counts of counts over the whole corpus (absolute discounting where these
+give no factor within 0 and 1). The mass that words leave is the probability of an unknown word.
 
     P(w | v) = discounted share of the pair, if it was seen, else alpha(v) * P(w)
 
@@ -16,8 +18,9 @@ one that is.
 Evaluation rewrites the sum over a text as backoff everywhere, plus a correction
 where a pair was seen. Tasks send each distinct key of a buffer once, with
 the documents that hold it, to the bucket of the tables that has it; the buckets
-send back sums by document. Frequent keys are kept out of this: those with at least a
-HOT-th of all counts, so at most HOT words and HOT pairs, are sent to all tasks.
+send back sums by document. Words with a number, and pairs of such words with at least a
+HOT-th of all counts (at most 2 * HOT), are kept out of this: they are sent to all tasks. Questions about pairs are
+asked for one of PARTS parts of the documents after the other, which bounds the room that they take.
 
 Null texts are empty texts: they hold only the end. Rows that repeat are scored each for itself;
 a null id is never held out. Without any training text all words are unknown, with probability 1. Other columns are dropped.
@@ -36,33 +39,40 @@ from pyspark.sql import functions as F
 
 from .common import WORD, crc_mod, drop_path, slices, stash, stash_path
 
-LIMIT, HOT = 5, 20_000
-#: Tokens that a task counts together; tokens, and bytes of text, for which there is a bucket.
-BUFFER_TOKENS, BUCKET_TOKENS, BUCKET_BYTES = 1_000_000, 600_000, 6_000_000
+LIMIT, HOT, CODED, PARTS = 5, 20_000, 65_536, 2
+#: Tokens that a task counts together; tokens for which there is a bucket.
+BUFFER_TOKENS, BUCKET_TOKENS = 1_000_000, 600_000
 REMEMBERED = 150_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Keys that no word has but by chance: the marks, and the place of v in rows that count words.
-START, END, NONE = 0x5851F42D4C957F2D, 0x14057B7EF767814F, 0
+#: Hashes have this bit, numbers don't. The end is a word like others, but with a hash of its own; the start has number 0.
+COLD = 1 << 63
+END, START = 0x14057B7EF767814F | COLD, 0
 
 
 class _Hashes(dict):
+    def __init__(self, codes: dict[int, int]) -> None:
+        self.codes = codes
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > REMEMBERED:
             self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word) | COLD
+        self[word] = h = self.codes.get(h, h)
         return h
 
 
 class Words:
-    """The hashes of a text's tokens: its words and the end."""
+    """A text's tokens, its words and the end: their numbers, or hashes where they have none."""
 
-    def __init__(self) -> None:
-        self.hashes = _Hashes()
+    def __init__(self, coded: np.ndarray) -> None:
+        codes = dict(zip(coded.tolist(), range(1, len(coded) + 1)))
+        self.hashes = _Hashes(codes)
+        self.end = codes.get(END, END)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8").translate(_LOWER).split()
-        return np.fromiter([*map(self.hashes.__getitem__, words), END], np.uint64, len(words) + 1)
+        return np.fromiter([*map(self.hashes.__getitem__, words), self.end], np.uint64, len(words) + 1)
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -104,42 +114,101 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel(), dtype=np.uint64)
 
 
-def gram_counts(docs: DataFrame, buckets: int, least: int) -> DataFrame:
-    """(v, w, c) of the words (v is NONE) and of pairs of neighbours in (id, text) that occur ``least`` times or more.
+def packed_codes(x: np.ndarray) -> bytes:
+    """Numbers in 4 bytes and hashes in 8, with a bit for each that tells which."""
+    cold = x >= np.uint64(COLD)
+    small = x[~cold].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(x).to_bytes(8, "little") + np.packbits(cold).tobytes() + small + x[cold].astype("<u8").tobytes()
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    at = 8 + (n + 7) // 8
+    cold = np.unpackbits(np.frombuffer(data[8:at], np.uint8), count=n).astype(bool)
+    end = at + 4 * int(n - cold.sum())
+    x = np.empty(n, np.uint64)
+    x[~cold] = np.ascontiguousarray(np.frombuffer(data[at:end], np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    x[cold] = np.frombuffer(data[end:], "<u8")
+    return x
+
+
+def bucket_of(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a pair is counted: by its first word if that has no number, else by both."""
+    key = np.where(v >= np.uint64(COLD), v, pair_key(v, w))
+    return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
-    Tasks send their counts to buckets as sorted arrays, and a bucket adds up what it is sent. Rows with ``tally``
-    hold a bucket's counts of counts: w is r for words and LIMIT + 2 + r for pairs.
-    """
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal values begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return new
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(w, c) of all words, by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, v, _ in _buffers(batches, Words()):
-            one, n_one = np.unique(w, return_counts=True)
-            key, at, n_two = np.unique(pair_key(v, w), return_index=True, return_counts=True)
-            key = np.concatenate([pair_key(np.full(len(one), NONE, np.uint64), one), key])
-            v, w, n = np.concatenate([np.full(len(one), NONE, np.uint64), v[at]]), np.concatenate([one, w[at]]), np.concatenate([n_one, n_two])
-            bucket = (key >> np.uint64(20)) % np.uint64(buckets)
+        for _, w, _, _ in _buffers(batches, Words(np.empty(0, np.uint64))):
+            one, n = np.unique(w, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+
+    return docs.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
+
+
+def pair_counts(docs: DataFrame, coded: np.ndarray, buckets: int) -> DataFrame:
+    """A row for each bucket: its pairs (v, w) in order and their counts c, packed, and how many of them occur r times (tally)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, w, v, _ in _buffers(batches, Words(coded)):
+            bucket = bucket_of(v, w, buckets)
             o = np.lexsort((w, v, bucket))
-            bucket, v, w, n = bucket[o], v[o], w[o], n[o].astype(np.uint32)
-            cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), len(o)).tolist()
-            rows = [(int(bucket[i]), packed(v[i:j]), w[i:j].tobytes(), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
+            bucket, v, w = bucket[o], v[o], w[o]
+            first = np.flatnonzero(_starts(bucket, v, w))
+            n = np.diff(np.append(first, len(o))).astype(np.uint32)
+            bucket, v, w = bucket[first], v[first], w[first]
+            cuts = np.append(np.flatnonzero(_starts(bucket)), len(first)).tolist()
+            rows = [(int(bucket[i]), packed(v[i:j]), packed_codes(w[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "v", "w", "n"])
 
-    def add(sent: pa.Table) -> pa.Table:
+    def add(key: tuple[pa.Scalar, ...], sent: pa.Table) -> pa.Table:
         v = np.concatenate([unpacked(x) for x in sent.column("v").to_pylist()])
-        w = np.concatenate([np.frombuffer(x, np.uint64) for x in sent.column("w").to_pylist()])
+        w = np.concatenate([unpacked_codes(x) for x in sent.column("w").to_pylist()])
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in sent.column("n").to_pylist()])
         o = np.lexsort((w, v))
         v, w = v[o], w[o]
-        first = np.flatnonzero(np.concatenate([[True], (v[1:] != v[:-1]) | (w[1:] != w[:-1])]))
-        v, w, c = v[first], w[first], np.add.reduceat(n[o].astype(np.int64), first)
-        of = np.bincount(np.where(v == NONE, 0, LIMIT + 2)[c <= LIMIT + 1] + c[c <= LIMIT + 1], minlength=2 * (LIMIT + 2))
-        keep = (v == NONE) | (c >= least)
-        extra = len(of)
-        columns = [np.concatenate([v[keep].view(np.int64), np.full(extra, NONE)]), np.concatenate([w[keep].view(np.int64), np.arange(extra)]), np.concatenate([c[keep], of]), np.concatenate([np.zeros(keep.sum(), bool), np.ones(extra, bool)])]
-        return pa.Table.from_arrays([pa.array(x) for x in columns], ["v", "w", "c", "tally"])
+        first = np.flatnonzero(_starts(v, w))
+        c = np.add.reduceat(n[o].astype(np.int64), first)
+        tally = np.bincount(c[c <= LIMIT + 1], minlength=LIMIT + 2).tolist()
+        row = [[key[0].as_py()], [packed(v[first])], [packed_codes(w[first])], [packed_codes(c.astype(np.uint64))], [tally]]
+        return pa.table([pa.array(row[0], pa.int64()), *map(pa.array, row[1:4]), pa.array(row[4], pa.list_(pa.int64()))], ["bucket", "v", "w", "c", "tally"])
 
     sent = docs.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(count, "bucket long, v binary, w binary, n binary")
-    return sent.groupBy("bucket").applyInArrow(add, "v long, w long, c long, tally boolean")
+    return sent.groupBy("bucket").applyInArrow(add, "bucket long, v binary, w binary, c binary, tally array<long>")
+
+
+def cold_words(w: np.ndarray) -> np.ndarray:
+    return np.unique(w[w >= np.uint64(COLD)])
+
+
+def with_word_counts(grams: DataFrame, words: DataFrame) -> DataFrame:
+    """A row for each bucket as before, with cw: counts of those second words that have no number, in the order of their hashes."""
+
+    def wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                cold = cold_words(unpacked_codes(w))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cold), key, np.int64)), pa.array(cold.view(np.int64))], ["bucket", "w"])
+
+    def put(own: pa.Table, counts: pa.Table) -> pa.Table:
+        w, c = counts.column("w").to_numpy().view(np.uint64), counts.column("c").to_numpy()
+        cw = packed_codes(c[np.argsort(w)].astype(np.uint64))
+        return own.select(["bucket", "v", "w", "c"]).append_column("cw", pa.array([cw]))
+
+    counts = grams.select("bucket", "w").mapInArrow(wanted, "bucket long, w long").join(words.select("w", "c"), "w")
+    return grams.drop("tally").groupBy("bucket").cogroup(counts.select("bucket", "w", "c").groupBy("bucket")).applyInArrow(put, "bucket long, v binary, w binary, c binary, cw binary")
 
 
 def discounts(counts: dict[int, int], least: int = 1) -> list[float]:
@@ -153,60 +222,105 @@ def discounts(counts: dict[int, int], least: int = 1) -> list[float]:
     return [0.0] * (least - 1) + out[least - 1 :]
 
 
-def _discount(c: Column, d: list[float]) -> Column:
-    return F.when(c <= LIMIT, F.element_at(F.array(*(F.lit(x) for x in d)), F.least(c, F.lit(LIMIT)).cast("int"))).otherwise(1.0)
+class Rule:
+    """What the counts of counts say: factors of word and pair counts, and all tokens. It goes to all tasks."""
+
+    def __init__(self, d1: list[float], d2: list[float], tokens: int, flat: bool, least: int) -> None:
+        self.d1, self.d2 = np.array([0.0, *d1, 1.0]), np.array([0.0, *d2, 1.0])
+        self.n, self.flat, self.least = float(max(tokens, 1)), flat, least
+
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """P of words that occur c times."""
+        return (c - 0.5 if self.flat else c * self.d1[np.minimum(c, LIMIT + 1)]) / self.n
+
+    def d(self, c: np.ndarray) -> np.ndarray:
+        """Discounted counts of pairs; 0 for those left to backoff."""
+        return np.where(c >= self.least, c * self.d2[np.minimum(c, LIMIT + 1)], 0.0)
+
+
+def weights(cv: np.ndarray, seen: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """log10 of alpha(v), and what v adds to the correction of its seen pairs, by v's count, its pairs' discounted counts and their words' P."""
+    some = seen > 0
+    cv, share = np.where(some, cv, 1).astype(float), np.where(some, seen, 0.5) / np.where(some, cv, 1)
+    left = np.maximum(1 - share, 1 / (cv + 1))
+    la = np.where(some, np.log10(left / np.where(some, 1 - known, 1.0)), 0.0)
+    return la, np.where(some, np.log10((1 - left) / share / cv) - la, 0.0)
+
+
+class Bucket:
+    """The pairs of one bucket: v, w, c, P(w), discounted c, and the sums over the pairs of each v."""
+
+    def __init__(self, row: dict, rule: Rule, p: np.ndarray) -> None:
+        self.v, self.w, self.c = unpacked(row["v"]), unpacked_codes(row["w"]), unpacked_codes(row["c"]).astype(np.int64)
+        cold = self.w >= np.uint64(COLD)
+        self.p = np.empty(len(self.w))
+        self.p[~cold] = p[self.w[~cold].astype(np.int64)]
+        self.p[cold] = rule.p(unpacked_codes(row["cw"]).astype(np.int64))[np.searchsorted(cold_words(self.w), self.w[cold])]
+        self.d = rule.d(self.c)
+        first = np.flatnonzero(_starts(self.v))
+        self.of = np.cumsum(_starts(self.v)) - 1
+        self.vs = self.v[first]
+        self.cv, self.seen, self.known = (np.add.reduceat(x, first) for x in (self.c, self.d, np.where(self.d > 0, self.p, 0.0)))
 
 
 class Model:
-    """words (w, c, lp, la): count, log10 of P(w) and of alpha(w). pairs (key, c, fix): what a seen pair's log10 is above backoff."""
+    """coded: hashes of words with numbers; by number p, c, la (log10 of alpha) and g (what v adds to a correction). words (w, c, la): those without. grams: the pairs of each bucket."""
 
     def __init__(self, train: DataFrame, least: int) -> None:
         spark = train.sparkSession
-        size = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        grams_at = stash_path(gram_counts(train, max(1, math.ceil(size / BUCKET_BYTES)), least), "grams")
-        grams = spark.read.parquet(grams_at)
-        tally = {r.w: r.n for r in grams.where("tally").groupBy("w").agg(F.sum("c").alias("n")).collect()}
-        n_r = {f"{kind}{r}": tally.get(r + shift, 0) for kind, shift in (("w", 0), ("p", LIMIT + 2)) for r in range(1, LIMIT + 2)}
-        grams = grams.where("NOT tally").drop("tally")
-        words = grams.where(f"v = {NONE}").select("w", "c")
-        d1 = discounts({r: n_r[f"w{r}"] for r in range(1, LIMIT + 2)})
-        d2 = discounts({r: n_r[f"p{r}"] for r in range(1, LIMIT + 2)}, least)
-        kept = F.col("c") * _discount(F.col("c"), d1)
-        sums = words.agg(F.count("*").alias("v"), F.sum("c").alias("n"), F.sum(kept).alias("kept")).first()
+        all_at = stash_path(word_counts(train), "counts")
+        words = spark.read.parquet(all_at)
+        sums = words.agg(F.count("*").alias("v"), F.sum("c").alias("n"), *(F.sum(F.when(F.col("c") == r, 1)).alias(f"n{r}") for r in range(1, LIMIT + 2))).first()
         self.types, self.tokens = sums.v, sums.n or 0
-        self.unknown = 1 - (sums.kept / self.tokens if self.tokens else 0.0)
-        if self.tokens and self.unknown < 1e-9:
-            self.unknown = 1 - words.agg(F.sum(F.col("c") - 0.5)).first()[0] / self.tokens
-            kept = F.col("c") - 0.5
-        n = F.lit(float(max(self.tokens, 1)))
-        words = words.withColumn("p", kept / n)
-        pairs = grams.where(f"v <> {NONE}").withColumn("d", F.col("c") * _discount(F.col("c"), d2))
-        start = F.lit(_signed(START))
-        of = words.select(F.col("w").alias("v"), F.col("c").alias("cv")).where(F.col("v") != _signed(END))
-        ends = words.where(F.col("w") == _signed(END)).select(start.alias("v"), F.col("c").alias("cv"))
-        joined = pairs.join(words.select("w", "p"), "w").join(of.union(ends), "v").withColumn("share", F.col("d") / F.col("cv"))
-        by_v = joined.groupBy("v").agg(F.sum("share").alias("seen"), F.sum("p").alias("known"), F.first("cv").alias("cv"))
-        left = F.greatest(1 - F.col("seen"), F.lit(1.0) / (F.col("cv") + 1))
-        alphas_at = stash_path(by_v.select("v", F.log10(left / (1 - F.col("known"))).alias("la"), ((1 - left) / F.col("seen")).alias("scale")), "alphas")
-        by_v = spark.read.parquet(alphas_at)
-        fixes = joined.join(by_v, "v").select(F.col("v"), F.col("w"), "c", (F.log10(F.col("share") * F.col("scale")) - F.col("la") - F.log10("p")).alias("fix"))
-
-        def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                key = pair_key(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(key), b.column(2), b.column(3)], ["key", "c", "fix"])
-
-        self.pairs = stash(fixes.mapInArrow(keyed, "key long, c long, fix double"), "pairs")
-        alphas = by_v.select(F.col("v").alias("w"), "la")
-        self.words = stash(words.join(alphas, "w", "left").select("w", "c", F.log10("p").alias("lp"), F.coalesce("la", F.lit(0.0)).alias("la")), "words")
-        first = alphas.where(F.col("w") == start).first()
-        self.start = first.la if first else 0.0
-        for at in (grams_at, alphas_at):
-            drop_path(spark, at)
-
-
-def _signed(h: int) -> int:
-    return h - (1 << 64) if h >> 63 else h
+        self.buckets = max(1, math.ceil(self.tokens / BUCKET_TOKENS))
+        size = F.floor(F.log2("c") * 8)
+        classes = words.groupBy(size.alias("size")).agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect()  # a few hundred at most
+        least_size, n = math.inf, 0
+        for k in classes:
+            n += k.n
+            if n > CODED:
+                break
+            least_size = k.size
+        numbered = size >= F.lit(float(least_size))
+        top = sorted(words.where(numbered).collect(), key=lambda r: (-r.c, r.w))  # at most CODED
+        self.coded = np.array([r.w for r in top], np.int64).view(np.uint64)
+        d1 = discounts({r: sums[f"n{r}"] or 0 for r in range(1, LIMIT + 2)})
+        coded, buckets = self.coded, self.buckets
+        pairs_at = stash_path(pair_counts(train, coded, buckets), "pairs", compression="zstd")
+        pairs = spark.read.parquet(pairs_at)
+        tally = {r.pos: r.n for r in pairs.select(F.posexplode("tally").alias("pos", "n")).groupBy("pos").agg(F.sum("n").alias("n")).collect()}
+        d2 = discounts({r: tally.get(r, 0) for r in range(1, LIMIT + 2)}, least)
+        kept = F.sum(F.col("c") * F.when(F.col("c") <= LIMIT, F.element_at(F.array(*map(F.lit, d1)), F.least("c", F.lit(LIMIT)).cast("int"))).otherwise(1.0))
+        mass = (words.agg(kept).first()[0] or 0.0) / max(self.tokens, 1)
+        flat = bool(self.tokens) and 1 - mass < 1e-9
+        self.rule = rule = Rule(d1, d2, self.tokens, flat, least)
+        self.unknown = 0.5 * self.types / self.tokens if flat else 1 - mass
+        self.c = np.array([0, *(r.c for r in top)], np.int64)
+        self.p = p = np.concatenate([[1.0], rule.p(self.c[1:])])
+        cold = words.where(~numbered)
+        grams_at = stash_path(with_word_counts(pairs, cold), "grams", compression="zstd")
+        self.grams = spark.read.parquet(grams_at)
+        drop_path(spark, pairs_at)
+
+        def sums_by_v(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part in range(batch.num_rows):
+                    b = Bucket(batch.slice(part, 1).to_pylist()[0], rule, p)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.vs.view(np.int64), b.cv, b.seen, b.known)], ["v", "cv", "seen", "known"])
+
+        by_v = self.grams.mapInArrow(sums_by_v, "v long, cv long, seen double, known double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("cv", "seen", "known")))
+        v_at = stash_path(by_v, "alphas")
+        by_v = spark.read.parquet(v_at)
+        self.la, self.g = np.zeros(len(self.c)), np.zeros(len(self.c))
+        mine = by_v.where("v >= 0").collect()  # at most CODED and the start
+        at = np.array([r.v for r in mine], np.int64)
+        self.la[at], self.g[at] = weights(*(np.array([r[x] for r in mine], float) for x in ("cv", "seen", "known")))
+        share = F.col("seen") / F.col("cv")
+        la = F.log10(F.greatest(1 - share, 1 / (F.col("cv") + 1)) / (1 - F.col("known")))
+        alphas = by_v.where("v < 0 AND seen > 0").select(F.col("v").alias("w"), la.alias("la"))
+        self.words = stash(cold.join(alphas, "w", "left").select("w", "c", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
+        for path in (all_at, v_at):
+            drop_path(spark, path)
 
 
 FOUND = "rid long, backoff double, base double, known long, fix double"
@@ -222,17 +336,32 @@ def _sums(rid: np.ndarray, row: np.ndarray, n: np.ndarray, backoff, base, known,
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """(rid, backoff, base, known, fix): sums over the tokens of each (rid, text)."""
     spark = docs.sparkSession
-    buckets = max(1, math.ceil(model.tokens / BUCKET_TOKENS))
+    buckets, rule, coded = model.buckets, model.rule, model.coded
     least = max(1, model.tokens // HOT)
-    hot_words = model.words.where(F.col("c") >= least).orderBy(F.col("w")).collect() if model.tokens else []  # at most HOT: their counts sum to at most all
-    hot_pairs = model.pairs.where(F.col("c") >= least).collect() if model.tokens else []
     total = math.log10(model.tokens + model.types + 1)
     none = (math.log10(max(model.unknown, 1e-300)), -total)
-    hw = np.array([r.w for r in hot_words], np.int64).view(np.uint64)
-    hp = np.array([r.key for r in hot_pairs], np.int64).view(np.uint64)
-    ow, op = np.argsort(hw), np.argsort(hp)
-    sent = spark.sparkContext.broadcast((hw[ow], np.array([(r.lp + r.la, math.log10(r.c + 1) - total) for r in hot_words]).reshape(-1, 2)[ow], hp[op], np.array([r.fix for r in hot_pairs])[op]))
-    start = model.start
+    p, g, start = model.p, model.g, float(model.la[START])
+    of_words = np.stack([np.log10(p) + model.la, np.log10(model.c + 1) - total], 1)
+
+    def fixes(b: Bucket, g_of_v: np.ndarray) -> np.ndarray:
+        """What a pair's log10 is above backoff; 0 for pairs left to it."""
+        return np.where(b.d > 0, np.log10(np.where(b.d > 0, b.d, 1.0)) + g_of_v - np.log10(b.p), 0.0)
+
+    def is_hot(b: Bucket) -> np.ndarray:
+        return (b.c >= least) & (b.v < np.uint64(COLD)) & (b.w < np.uint64(COLD))
+
+    def hot_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in range(batch.num_rows):
+                b = Bucket(batch.slice(part, 1).to_pylist()[0], rule, p)
+                hot = is_hot(b)
+                fix = fixes(b, g[np.where(hot, b.v, 0).astype(np.int64)])[hot]
+                yield pa.RecordBatch.from_arrays([pa.array(pair_key(b.v[hot], b.w[hot]).view(np.int64)), pa.array(fix)], ["key", "fix"])
+
+    hot = model.grams.mapInArrow(hot_pairs, "key long, fix double").collect()  # at most 2 * HOT: their counts sum to at most all
+    hp = np.array([r.key for r in hot], np.int64).view(np.uint64)
+    op = np.argsort(hp)
+    sent = spark.sparkContext.broadcast((hp[op], np.array([r.fix for r in hot], float)[op]))
 
     def place(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where each key is in a sorted table, and whether it is."""
@@ -241,87 +370,89 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
         return at, table[at] == keys
 
-    def ask(only: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Questions for the buckets: keys in order, how many rows have each, these rows and their counts. Kind 0 are sums that need no bucket, 1 words, 2 pairs."""
-        hot_w, val_w, hot_p, val_p = sent.value
-        for rid, w, v, row in _buffers(batches, Words()):
+        hot_p, val_p = sent.value
+        for rid, w, v, row in _buffers(batches, Words(coded)):
             sums = np.zeros((len(rid), 4))
-            sums[:, 0] += start if only == 1 else 0.0
             out = []
-            for kind, keys in ((1, w),) if only == 1 else ((2, pair_key(v, w)),):
-                o = np.argsort(keys, kind="stable")  # rows stay in order within a key
-                k, r = keys[o], row[o]
-                new = np.concatenate([[True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
-                n = np.diff(np.append(np.flatnonzero(new), len(k)))
-                k, r = k[new], r[new]
-                at, hot = place(k, hot_w if kind == 1 else hot_p)
-                if kind == 1:
-                    sums[:, 0] += np.bincount(r[hot], val_w[at[hot], 0] * n[hot], len(rid))
-                    sums[:, 1] += np.bincount(r[hot], val_w[at[hot], 1] * n[hot], len(rid))
-                    sums[:, 2] += np.bincount(r[hot], n[hot], len(rid))
-                else:
-                    sums[:, 3] += np.bincount(r[hot], val_p[at[hot]] * n[hot], len(rid))
-                k, r, n = k[~hot], r[~hot], n[~hot]
-                bucket = ((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-                o = np.argsort(bucket, kind="stable")
-                cuts = np.append(np.flatnonzero(np.concatenate([[True], bucket[o][1:] != bucket[o][:-1]])) if len(o) else np.empty(0, np.int64), len(o))
-                for a, b in zip(cuts[:-1], cuts[1:]):
-                    i = o[a:b]
-                    names, local = np.unique(r[i], return_inverse=True)
-                    first = np.concatenate([[True], k[i][1:] != k[i][:-1]])
-                    runs = np.diff(np.append(np.flatnonzero(first), len(i)))
-                    out.append((int(bucket[i[0]]), kind, packed(k[i][first]), runs.astype(np.uint32).tobytes(), local.astype(np.uint16).tobytes(), n[i].astype(np.uint32).tobytes(), rid[names].tobytes()))
-            at = int(rid[0] % buckets)
-            out.append((at, 0, sums.tobytes(), b"", b"", b"", rid.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["bucket", "kind", "keys", "runs", "row", "n", "rids"])
-
-    def answer(key, questions: pa.Table, table: pa.Table) -> pa.Table:
-        """Sums by row of what one bucket's tables have for its questions."""
-        known = {}
-        kinds = table.column("kind").to_numpy()
-        keys = table.column("key").to_numpy().view(np.uint64)
-        for kind in (1, 2):
-            at = np.flatnonzero(kinds == kind)
-            o = at[np.argsort(keys[at])]
-            known[kind] = (keys[o], table.column("x").to_numpy()[o], table.column("y").to_numpy()[o])
+            if pairs:
+                bucket = bucket_of(v, w, buckets)
+            else:
+                has = w < np.uint64(COLD)
+                own, n = np.unique(row[has].astype(np.int64) * len(of_words) + w[has].astype(np.int64), return_counts=True)
+                r, at = own // len(of_words), own % len(of_words)
+                sums[:, 0] = start + np.bincount(r, of_words[at, 0] * n, len(rid))
+                sums[:, 1] = np.bincount(r, of_words[at, 1] * n, len(rid))
+                sums[:, 2] = np.bincount(r, n, len(rid))
+                w, row = w[~has], row[~has]
+                v = np.zeros(len(w), np.uint64)
+                bucket = ((w >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            o = np.lexsort((w, v, bucket))  # rows stay in order within a key
+            bucket, v, w, r = bucket[o], v[o], w[o], row[o]
+            first = np.flatnonzero(_starts(bucket, v, w, r))
+            n = np.diff(np.append(first, len(o)))
+            bucket, v, w, r = bucket[first], v[first], w[first], r[first]
+            if pairs:
+                at, known = place(pair_key(v, w), hot_p)
+                sums[:, 3] = np.bincount(r[known], val_p[at[known]] * n[known], len(rid))
+                bucket, v, w, r, n = (x[~known] for x in (bucket, v, w, r, n))
+            cuts = np.append(np.flatnonzero(_starts(bucket)), len(bucket)).tolist()
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                names, local = np.unique(r[i:j], return_inverse=True)
+                new = np.flatnonzero(_starts(v[i:j], w[i:j]))
+                runs = np.diff(np.append(new, j - i))
+                keys = (packed(v[i:j][new]), packed_codes(w[i:j][new])) if pairs else (b"", packed(w[i:j][new]))
+                out.append((int(bucket[i]), 2 if pairs else 1, *keys, packed_codes(runs.astype(np.uint64)), local.astype(np.uint16).tobytes(), packed_codes(n[i:j].astype(np.uint64)), rid[names].tobytes()))
+            out.append((int(rid[0] % buckets), 0, b"", sums.tobytes(), b"", b"", b"", rid.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["bucket", "kind", "v", "w", "runs", "row", "n", "rids"])
+
+    def answers(questions: pa.Table, keys: np.ndarray, columns: list[np.ndarray], otherwise: list[float]) -> pa.Table:
+        """Sums by row of what a bucket's table (sorted keys, columns: backoff, base, known, fix) has for its questions."""
         done = []
         for q in questions.to_batches():
-            for kind, k, runs, row, n, rids in zip(*(q.column(c).to_pylist() for c in ("kind", "keys", "runs", "row", "n", "rids"))):
+            for kind, v, w, runs, row, n, rids in zip(*(q.column(c).to_pylist() for c in ("kind", "v", "w", "runs", "row", "n", "rids"))):
                 rid = np.frombuffer(rids, np.int64)
                 if kind == 0:
-                    s = np.frombuffer(k, np.float64).reshape(-1, 4)
-                    every = np.arange(len(rid))
-                    done.append(_sums(rid, every, np.ones(len(rid)), s[:, 0], s[:, 1], s[:, 2], s[:, 3]))
+                    s = np.frombuffer(w, np.float64).reshape(-1, 4)
+                    done.append(_sums(rid, np.arange(len(rid)), np.ones(len(rid)), *s.T))
                     continue
-                k = unpacked(k)
-                runs, row, n = np.frombuffer(runs, np.uint32), np.frombuffer(row, np.uint16).astype(np.int64), np.frombuffer(n, np.uint32).astype(np.float64)
-                own, x, y = known[kind]
-                at, has = place(k, own)
-                if kind == 1:
-                    backoff = np.where(has, x[at] if len(x) else 0.0, none[0])
-                    base = np.where(has, y[at] if len(y) else 0.0, none[1])
-                    done.append(_sums(rid, row, n, np.repeat(backoff, runs), np.repeat(base, runs), np.repeat(has.astype(float), runs), np.zeros(len(row))))
-                else:
-                    fix = np.where(has, x[at] if len(x) else 0.0, 0.0)
-                    zero = np.zeros(len(row))
-                    done.append(_sums(rid, row, n, zero, zero, zero, np.repeat(fix, runs)))
+                at, has = place(pair_key(unpacked(v), unpacked_codes(w)) if kind == 2 else unpacked(w), keys)
+                runs, row, n = unpacked_codes(runs).astype(np.int64), np.frombuffer(row, np.uint16).astype(np.int64), unpacked_codes(n).astype(np.float64)
+                values = [np.repeat(np.where(has, x[at] if len(x) else e, e), runs) for x, e in zip(columns, otherwise)]
+                done.append(_sums(rid, row, n, *values))
         if not done:
             return pa.Table.from_batches([], pa.schema([("rid", pa.int64()), ("backoff", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("fix", pa.float64())]))
         return pa.Table.from_batches(done).group_by("rid").aggregate([("backoff", "sum"), ("base", "sum"), ("known", "sum"), ("fix", "sum")]).rename_columns(["rid", "backoff", "base", "known", "fix"])
 
-    def bucket_of(key: str) -> Column:
-        return F.expr(f"pmod(shiftrightunsigned({key}, 20), {buckets}L)")
-
-    words = model.words.where(F.col("c") < least).select(bucket_of("w").alias("bucket"), F.lit(1).cast("long").alias("kind"), F.col("w").alias("key"), (F.col("lp") + F.col("la")).alias("x"), (F.log10(F.col("c") + 1) - F.lit(total)).alias("y"))
-    pairs = model.pairs.where(F.col("c") < least).select(bucket_of("key").alias("bucket"), F.lit(2).cast("long").alias("kind"), "key", F.col("fix").alias("x"), F.lit(0.0).alias("y"))
-
-    def found(only: int, table: DataFrame) -> DataFrame:
-        asked = docs.select("rid", "text").mapInArrow(lambda batches: ask(only, batches), "bucket long, kind long, keys binary, runs binary, row binary, n binary, rids binary")
-        sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer, FOUND)
+    def answer_words(questions: pa.Table, table: pa.Table) -> pa.Table:
+        w = table.column("w").to_numpy().view(np.uint64)
+        o = np.argsort(w)
+        c, la = table.column("c").to_numpy()[o], table.column("la").to_numpy()[o]
+        return answers(questions, w[o], [np.log10(rule.p(c)) + la, np.log10(c + 1) - total, np.ones(len(o)), np.zeros(len(o))], [*none, 0.0, 0.0])
+
+    def answer_pairs(questions: pa.Table, table: pa.Table) -> pa.Table:
+        keys, fix = np.empty(0, np.uint64), np.empty(0)
+        if table.num_rows:
+            b = Bucket(table.to_pylist()[0], rule, p)
+            cold = b.vs >= np.uint64(COLD)
+            by_v = np.where(cold, weights(b.cv, b.seen, b.known)[1], g[np.where(cold, 0, b.vs).astype(np.int64)])
+            keys, fix = pair_key(b.v, b.w), fixes(b, by_v[b.of])
+            o = np.argsort(keys)
+            keys, fix = keys[o], fix[o]
+        zero = np.zeros(len(keys))
+        return answers(questions, keys, [zero, zero, zero, fix], [0.0] * 4)
+
+    def found(rows: DataFrame, pairs: bool, table: DataFrame) -> DataFrame:
+        asked = rows.select("rid", "text").mapInArrow(lambda batches: ask(pairs, batches), "bucket long, kind long, v binary, w binary, runs binary, row binary, n binary, rids binary")
+        sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer_pairs if pairs else answer_words, FOUND)
         return sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("backoff", "base", "known", "fix")))
 
-    # words and pairs one after the other: questions are what takes most room
-    both = stash(found(1, words), "words-found").union(stash(found(2, pairs), "pairs-found"))
+    # one after the other: questions are what takes most room
+    words = model.words.withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(w, 20), {buckets}L)"))
+    both = stash(found(docs, False, words), "words-found")
+    for part in range(PARTS):
+        both = both.union(stash(found(docs.where(F.pmod("rid", F.lit(PARTS)) == part), True, model.grams), "pairs-found"))
     return both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("backoff", "base", "known", "fix")))
 
 

@@ -55,6 +55,7 @@ def brute(rows):
 def test_as_a_loop(spark, documents, odd, monkeypatch, hot):
     """With all keys sent to the tasks, and with nearly all asked from buckets."""
     monkeypatch.setattr(katz, "HOT", hot)
+    monkeypatch.setattr(katz, "CODED", 65_536 if hot > 5 else 30)
     monkeypatch.setattr(katz, "BUCKET_TOKENS", 5000)
     df = documents.select("doc_id", "text").limit(100).union(odd.select("doc_id", "text"))
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[6])
