@@ -34,10 +34,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, crc_mod, drop_path, slices, stash, stash_path
+from .common import crc_mod, drop_path, slices, stash, stash_path
 
 LIMIT, HOT, CODED, PARTS = 5, 20_000, 65_536, 2
 #: Tokens that a task counts together; tokens for which there is a bucket.
@@ -50,29 +51,33 @@ COLD = 1 << 63
 END, START = 0x14057B7EF767814F | COLD, 0
 
 
-class _Hashes(dict):
+class _Places(dict):
+    """Places of words in a list of their numbers, or of hashes where they have none."""
+
     def __init__(self, codes: dict[int, int]) -> None:
         self.codes = codes
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.listed = [START, self.codes.get(END, END)]
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
         h = xxhash.xxh3_64_intdigest(word) | COLD
-        self[word] = h = self.codes.get(h, h)
-        return h
+        self[word] = at = len(self.listed)
+        self.listed.append(self.codes.get(h, h))
+        return at
 
 
 class Words:
-    """A text's tokens, its words and the end: their numbers, or hashes where they have none."""
+    """A text's tokens, its words and the end, as places in a list of words, which begins with the start and the end."""
 
     def __init__(self, coded: np.ndarray) -> None:
-        codes = dict(zip(coded.tolist(), range(1, len(coded) + 1)))
-        self.hashes = _Hashes(codes)
-        self.end = codes.get(END, END)
+        self.places = _Places(dict(zip(coded.tolist(), range(1, len(coded) + 1))))
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8").translate(_LOWER).split()
-        return np.fromiter([*map(self.hashes.__getitem__, words), self.end], np.uint64, len(words) + 1)
+        return np.fromiter([*map(self.places.__getitem__, words), 1], np.uint32, len(words) + 1)
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -81,27 +86,62 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def before(w: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.array([START], np.uint64), w[:-1]])
-
-
 def _buffers(batches: Iterator[pa.RecordBatch], words: Words):
-    """(row ids, tokens, tokens before, row of each token) of many texts at a time."""
-    ids, ws, vs, rows, n = [], [], [], [], 0
+    """(row ids, list of words in order, and of each token: its place there, that of the one before, its row) of many texts at a time."""
+    ids, ws, n = [], [], 0
+
+    def buffer():
+        listed = np.array(words.places.listed, np.uint64)
+        order = np.argsort(listed, kind="stable")
+        rank = np.empty(len(order), np.uint64)
+        rank[order] = np.arange(len(order), dtype=np.uint64)
+        lengths = np.array([len(x) for x in ws])
+        w = rank[np.concatenate(ws)]
+        v = np.concatenate([w[:1], w[:-1]])
+        v[np.cumsum(lengths) - lengths] = rank[0]
+        if len(order) > REMEMBERED:
+            words.places.forget()
+        return np.array(ids, np.int64), listed[order], w, v, np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
+
     for whole in batches:
         for b in slices(whole):
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 w = words(text)
-                rows.append(np.full(len(w), len(ids), np.uint32))
                 ids.append(key)
                 ws.append(w)
-                vs.append(before(w))
                 n += len(w)
                 if n >= BUFFER_TOKENS or len(ids) >= 60_000:
-                    yield np.array(ids, np.int64), np.concatenate(ws), np.concatenate(vs), np.concatenate(rows)
-                    ids, ws, vs, rows, n = [], [], [], [], 0
+                    yield buffer()
+                    ids, ws, n = [], [], 0
     if ids:
-        yield np.array(ids, np.int64), np.concatenate(ws), np.concatenate(vs), np.concatenate(rows)
+        yield buffer()
+
+
+def in_order(*columns: np.ndarray) -> list[np.ndarray]:
+    """Rows of columns of numbers, sorted by the first, then the second, and so on: as bits of one key, or of few."""
+    groups, room = [], 0
+    for c in columns:
+        bits = int(c.max(initial=0)).bit_length()
+        if bits > room:
+            groups.append([])
+            room = 64
+        groups[-1:] = [[*(groups or [[]])[-1], (c, bits)]]
+        room -= bits
+    keys = []
+    for g in groups:
+        key = np.zeros(len(columns[0]), np.uint64)
+        for c, bits in g:
+            key = (key << np.uint64(bits)) | c if bits < 64 else c
+        keys.append(key)
+    keys = [np.sort(keys[0])] if len(keys) == 1 else [k[o] for o in [np.lexsort(keys[::-1])] for k in keys]
+    out = []
+    for key, g in zip(keys, groups):
+        part = []
+        for _, bits in reversed(g):
+            part.append(key & np.uint64((1 << bits) - 1))
+            key = key >> np.uint64(bits) if bits < 64 else key
+        out.extend(reversed(part))
+    return out
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -135,7 +175,7 @@ def unpacked_codes(data: bytes) -> np.ndarray:
 def bucket_of(v: np.ndarray, w: np.ndarray, buckets: int) -> np.ndarray:
     """Where a pair is counted: by its first word if that has no number, else by both."""
     key = np.where(v >= np.uint64(COLD), v, pair_key(v, w))
-    return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    return (key >> np.uint64(20)) % np.uint64(buckets)
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -151,9 +191,9 @@ def word_counts(docs: DataFrame) -> DataFrame:
     """(w, c) of all words, by hash."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, _, _ in _buffers(batches, Words(np.empty(0, np.uint64))):
-            one, n = np.unique(w, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
+        for _, listed, w, _, _ in _buffers(batches, Words(np.empty(0, np.uint64))):
+            n = np.bincount(w.astype(np.int64), minlength=len(listed))
+            yield pa.RecordBatch.from_arrays([pa.array(listed[n > 0].view(np.int64)), pa.array(n[n > 0])], ["w", "n"])
 
     return docs.select(F.lit(0).cast("long").alias("id"), "text").mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("c"))
 
@@ -162,13 +202,11 @@ def pair_counts(docs: DataFrame, coded: np.ndarray, buckets: int) -> DataFrame:
     """A row for each bucket: its pairs (v, w) in order and their counts c, packed, and how many of them occur r times (tally)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, w, v, _ in _buffers(batches, Words(coded)):
-            bucket = bucket_of(v, w, buckets)
-            o = np.lexsort((w, v, bucket))
-            bucket, v, w = bucket[o], v[o], w[o]
+        for _, listed, w, v, _ in _buffers(batches, Words(coded)):
+            bucket, v, w = in_order(bucket_of(listed[v], listed[w], buckets), v, w)
             first = np.flatnonzero(_starts(bucket, v, w))
-            n = np.diff(np.append(first, len(o))).astype(np.uint32)
-            bucket, v, w = bucket[first], v[first], w[first]
+            n = np.diff(np.append(first, len(w))).astype(np.uint32)
+            bucket, v, w = bucket[first], listed[v[first]], listed[w[first]]
             cuts = np.append(np.flatnonzero(_starts(bucket)), len(first)).tolist()
             rows = [(int(bucket[i]), packed(v[i:j]), packed_codes(w[i:j]), n[i:j].tobytes()) for i, j in zip(cuts[:-1], cuts[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["bucket", "v", "w", "n"])
@@ -323,18 +361,26 @@ class Model:
             drop_path(spark, path)
 
 
-FOUND = "rid long, backoff double, base double, known long, fix double"
+SUMS = ("backoff", "base", "known", "tokens", "fix")
+#: Which of the sums an answer of each kind has.
+HAVE = {0: slice(0, 5), 1: slice(0, 3), 2: slice(4, 5)}
 
 
-def _sums(rid: np.ndarray, row: np.ndarray, n: np.ndarray, backoff, base, known, fix) -> pa.RecordBatch:
-    """Sums over entries by row, for rows that have any."""
-    has = np.flatnonzero(np.bincount(row, minlength=len(rid)))
-    columns = [np.bincount(row, x * n, len(rid))[has] for x in (backoff, base, known, fix)]
-    return pa.RecordBatch.from_arrays([pa.array(rid[has]), pa.array(columns[0]), pa.array(columns[1]), pa.array(np.rint(columns[2]).astype(np.int64)), pa.array(columns[3])], [c.split()[0] for c in FOUND.split(", ")])
+def gather(got: pa.Table) -> pa.Table:
+    """Sums by row of the answers to one task's buffer."""
+    rid = np.concatenate([np.frombuffer(x, np.int64) for x in got.column("rids").to_pylist()])
+    names, at = np.unique(rid, return_inverse=True)
+    sums, i = np.zeros((len(SUMS), len(names))), 0
+    for kind, data in zip(got.column("kind").to_pylist(), got.column("sums").to_pylist()):
+        own = np.frombuffer(data, np.float64).reshape(HAVE[kind].stop - HAVE[kind].start, -1)
+        for total, x in zip(sums[HAVE[kind]], own):
+            np.add.at(total, at[i : i + own.shape[1]], x)
+        i += own.shape[1]
+    return pa.table([names, *sums], ["rid", *SUMS])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(rid, backoff, base, known, fix): sums over the tokens of each (rid, text)."""
+    """(rid, backoff, base, known, tokens, fix): sums over the tokens of each (rid, text)."""
     spark = docs.sparkSession
     buckets, rule, coded = model.buckets, model.rule, model.coded
     least = max(1, model.tokens // HOT)
@@ -373,63 +419,63 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def ask(pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Questions for the buckets: keys in order, how many rows have each, these rows and their counts. Kind 0 are sums that need no bucket, 1 words, 2 pairs."""
         hot_p, val_p = sent.value
-        for rid, w, v, row in _buffers(batches, Words(coded)):
-            sums = np.zeros((len(rid), 4))
+        task = TaskContext.get().partitionId() << 32
+        for asker, (rid, listed, w, v, row) in enumerate(_buffers(batches, Words(coded)), task):
+            sums = np.zeros((len(SUMS), len(rid)))
             out = []
             if pairs:
-                bucket = bucket_of(v, w, buckets)
+                bucket, v, w, r = in_order(bucket_of(listed[v], listed[w], buckets), v, w, row)
             else:
-                has = w < np.uint64(COLD)
-                own, n = np.unique(row[has].astype(np.int64) * len(of_words) + w[has].astype(np.int64), return_counts=True)
-                r, at = own // len(of_words), own % len(of_words)
-                sums[:, 0] = start + np.bincount(r, of_words[at, 0] * n, len(rid))
-                sums[:, 1] = np.bincount(r, of_words[at, 1] * n, len(rid))
-                sums[:, 2] = np.bincount(r, n, len(rid))
-                w, row = w[~has], row[~has]
+                cold = listed >= np.uint64(COLD)
+                of_list = np.where(cold, (listed >> np.uint64(20)) % np.uint64(buckets) + np.uint64(1), np.uint64(0))
+                bucket, w, r = in_order(of_list[w], w, row)
                 v = np.zeros(len(w), np.uint64)
-                bucket = ((w >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            o = np.lexsort((w, v, bucket))  # rows stay in order within a key
-            bucket, v, w, r = bucket[o], v[o], w[o], row[o]
             first = np.flatnonzero(_starts(bucket, v, w, r))
-            n = np.diff(np.append(first, len(o)))
-            bucket, v, w, r = bucket[first], v[first], w[first], r[first]
+            n = np.diff(np.append(first, len(w)))
+            bucket, v, w, r = bucket[first], v[first], listed[w[first]], r[first].astype(np.int64)
             if pairs:
+                v = listed[v]
                 at, known = place(pair_key(v, w), hot_p)
-                sums[:, 3] = np.bincount(r[known], val_p[at[known]] * n[known], len(rid))
-                bucket, v, w, r, n = (x[~known] for x in (bucket, v, w, r, n))
+                sums[4] = np.bincount(r[known], val_p[at[known]] * n[known], len(rid))
+            else:
+                sums[3] = np.bincount(r, n, len(rid))
+                known = bucket == 0
+                bucket = bucket - np.uint64(1)
+                at = w[known].astype(np.int64)
+                sums[0] = start + np.bincount(r[known], of_words[at, 0] * n[known], len(rid))
+                sums[1] = np.bincount(r[known], of_words[at, 1] * n[known], len(rid))
+                sums[2] = np.bincount(r[known], n[known], len(rid))
+            bucket, v, w, r, n = (x[~known] for x in (bucket, v, w, r, n))
             cuts = np.append(np.flatnonzero(_starts(bucket)), len(bucket)).tolist()
             for i, j in zip(cuts[:-1], cuts[1:]):
                 names, local = np.unique(r[i:j], return_inverse=True)
                 new = np.flatnonzero(_starts(v[i:j], w[i:j]))
                 runs = np.diff(np.append(new, j - i))
                 keys = (packed(v[i:j][new]), packed_codes(w[i:j][new])) if pairs else (b"", packed(w[i:j][new]))
-                out.append((int(bucket[i]), 2 if pairs else 1, *keys, packed_codes(runs.astype(np.uint64)), local.astype(np.uint16).tobytes(), packed_codes(n[i:j].astype(np.uint64)), rid[names].tobytes()))
-            out.append((int(rid[0] % buckets), 0, b"", sums.tobytes(), b"", b"", b"", rid.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["bucket", "kind", "v", "w", "runs", "row", "n", "rids"])
+                out.append((int(bucket[i]), asker, 2 if pairs else 1, *keys, packed_codes(runs.astype(np.uint64)), local.astype(np.uint16).tobytes(), packed_codes(n[i:j].astype(np.uint64)), rid[names].tobytes()))
+            out.append((int(rid[0] % buckets), asker, 0, b"", sums.tobytes(), b"", b"", b"", rid.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["bucket", "asker", "kind", "v", "w", "runs", "row", "n", "rids"])
 
     def answers(questions: pa.Table, keys: np.ndarray, columns: list[np.ndarray], otherwise: list[float]) -> pa.Table:
-        """Sums by row of what a bucket's table (sorted keys, columns: backoff, base, known, fix) has for its questions."""
+        """For each question the sums by row of what a bucket's table (sorted keys, columns) has for it."""
         done = []
         for q in questions.to_batches():
-            for kind, v, w, runs, row, n, rids in zip(*(q.column(c).to_pylist() for c in ("kind", "v", "w", "runs", "row", "n", "rids"))):
-                rid = np.frombuffer(rids, np.int64)
+            for asker, kind, v, w, runs, row, n, rids in zip(*(q.column(c).to_pylist() for c in ("asker", "kind", "v", "w", "runs", "row", "n", "rids"))):
                 if kind == 0:
-                    s = np.frombuffer(w, np.float64).reshape(-1, 4)
-                    done.append(_sums(rid, np.arange(len(rid)), np.ones(len(rid)), *s.T))
+                    done.append((asker, kind, rids, w))
                     continue
                 at, has = place(pair_key(unpacked(v), unpacked_codes(w)) if kind == 2 else unpacked(w), keys)
                 runs, row, n = unpacked_codes(runs).astype(np.int64), np.frombuffer(row, np.uint16).astype(np.int64), unpacked_codes(n).astype(np.float64)
                 values = [np.repeat(np.where(has, x[at] if len(x) else e, e), runs) for x, e in zip(columns, otherwise)]
-                done.append(_sums(rid, row, n, *values))
-        if not done:
-            return pa.Table.from_batches([], pa.schema([("rid", pa.int64()), ("backoff", pa.float64()), ("base", pa.float64()), ("known", pa.int64()), ("fix", pa.float64())]))
-        return pa.Table.from_batches(done).group_by("rid").aggregate([("backoff", "sum"), ("base", "sum"), ("known", "sum"), ("fix", "sum")]).rename_columns(["rid", "backoff", "base", "known", "fix"])
+                done.append((asker, kind, rids, np.concatenate([np.bincount(row, x * n, len(rids) // 8) for x in values]).tobytes()))
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * 4, kinds)], ["asker", "kind", "rids", "sums"])
 
     def answer_words(questions: pa.Table, table: pa.Table) -> pa.Table:
         w = table.column("w").to_numpy().view(np.uint64)
         o = np.argsort(w)
         c, la = table.column("c").to_numpy()[o], table.column("la").to_numpy()[o]
-        return answers(questions, w[o], [np.log10(rule.p(c)) + la, np.log10(c + 1) - total, np.ones(len(o)), np.zeros(len(o))], [*none, 0.0, 0.0])
+        return answers(questions, w[o], [np.log10(rule.p(c)) + la, np.log10(c + 1) - total, np.ones(len(o))], [*none, 0.0])
 
     def answer_pairs(questions: pa.Table, table: pa.Table) -> pa.Table:
         keys, fix = np.empty(0, np.uint64), np.empty(0)
@@ -440,20 +486,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             keys, fix = pair_key(b.v, b.w), fixes(b, by_v[b.of])
             o = np.argsort(keys)
             keys, fix = keys[o], fix[o]
-        zero = np.zeros(len(keys))
-        return answers(questions, keys, [zero, zero, zero, fix], [0.0] * 4)
+        return answers(questions, keys, [fix], [0.0])
 
     def found(rows: DataFrame, pairs: bool, table: DataFrame) -> DataFrame:
-        asked = rows.select("rid", "text").mapInArrow(lambda batches: ask(pairs, batches), "bucket long, kind long, v binary, w binary, runs binary, row binary, n binary, rids binary")
-        sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer_pairs if pairs else answer_words, FOUND)
-        return sums.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("backoff", "base", "known", "fix")))
+        asked = rows.select("rid", "text").mapInArrow(lambda batches: ask(pairs, batches), "bucket long, asker long, kind long, v binary, w binary, runs binary, row binary, n binary, rids binary")
+        sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer_pairs if pairs else answer_words, "asker long, kind long, rids binary, sums binary")
+        return sums.groupBy("asker").applyInArrow(gather, "rid long, " + ", ".join(f"{c} double" for c in SUMS))
 
     # one after the other: questions are what takes most room
     words = model.words.withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(w, 20), {buckets}L)"))
     both = stash(found(docs, False, words), "words-found")
     for part in range(PARTS):
         both = both.union(stash(found(docs.where(F.pmod("rid", F.lit(PARTS)) == part), True, model.grams), "pairs-found"))
-    return both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in ("backoff", "base", "known", "fix")))
+    return both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
 def held_out(id_col: str) -> Column:
@@ -465,16 +510,14 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     model = Model(rows.where(~held_out("id")), least)
     rid = F.xxhash64("id", "text")
-    facts = rows.select(rid.alias("rid"), "id", (F.regexp_count("text", F.lit(WORD)) + 1).cast("long").alias("n_tokens"))
-    times = F.count("*").alias("times")
-    facts = facts.groupBy("rid").agg(F.first("id").alias("id"), F.first("n_tokens").alias("n_tokens"), times)
+    facts = rows.select(rid.alias("rid"), "id").groupBy("rid").agg(F.first("id").alias("id"), F.count("*").alias("times"))
     found = score(rows.select(rid.alias("rid"), "text"), model)
     out = facts.join(found, "rid").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     t = F.col("times")
     return out.select(
         F.col("id").alias(id_col),
         held_out("id").alias("held_out"),
-        "n_tokens",
+        (F.col("tokens") / t).cast("long").alias("n_tokens"),
         (F.col("known") / t).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") / t).alias("base_score"),

@@ -3,6 +3,7 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from dossier.llm import katz
@@ -102,3 +103,19 @@ def test_pairs_that_occur_once(spark):
     assert sum(c == 1 for c in two.values()) > len(two) / 2
     got = {r.doc_id: r.score for r in katz.evaluate(frame(spark, [(i, text, "en", "s", 1) for i, text in rows]), least=1).collect()}
     assert got == pytest.approx(want, rel=1e-9)
+
+
+@pytest.mark.parametrize("most", [1, 100, 2**20, 2**40, 2**63])
+def test_in_order(most):
+    """Columns in one key, and in several where their bits don't fit."""
+    rng = np.random.default_rng(0)
+    columns = [rng.integers(0, min(most, m), 500, dtype=np.uint64) for m in (190, 2**20, 2**63, 60_000)]
+    order = np.lexsort(columns[::-1])
+    assert all((got == c[order]).all() for got, c in zip(katz.in_order(*columns), columns))
+    assert all(len(c) == 0 for c in katz.in_order(*(c[:0] for c in columns)))
+
+
+def test_packed_codes():
+    x = np.array([0, 7, katz.COLD, 2**32 - 1, katz.COLD | 12345, 1], np.uint64)
+    assert (katz.unpacked_codes(katz.packed_codes(x)) == x).all()
+    assert len(katz.unpacked_codes(katz.packed_codes(x[:0]))) == 0
