@@ -14,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.vectors import squared_distance
 from ..operators import entity, graph, graph_ingest, manifest, retrieval, scoring, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,10 +164,9 @@ def knn_prefilter(spark, sf_dir):
 @query(f"WITH q AS (SELECT label AS ql, embedding AS qv FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1), d AS (SELECT ql, vec_id, {DIST.format(a='embedding', b='qv')} AS x FROM embeddings, q), r AS (SELECT *, row_number() OVER (PARTITION BY ql ORDER BY x, vec_id) AS rank FROM d) SELECT ql, vec_id, round(x, 6) AS distance, rank FROM r WHERE rank <= 5")
 def knn_all_labels(spark, sf_dir):
     t = Tables(spark, sf_dir)
-    q = manifest.first_seen(t.embeddings, ["label"], "vec_id").select(F.col("label").alias("ql"), F.col("embedding").alias("qv"))
-    d = t.embeddings.crossJoin(F.broadcast(q)).select("ql", "vec_id", squared_distance(F.col("embedding"), F.col("qv")).alias("x"))  # one query per label
-    ranked = d.withColumn("rank", F.row_number().over(W.partitionBy("ql").orderBy("x", "vec_id"))).where("rank <= 5")
-    return ranked.select("ql", "vec_id", F.round("x", 6).alias("distance"), long("rank").alias("rank"))
+    q = manifest.first_seen(t.embeddings, ["label"], "vec_id").select(F.col("label").alias("query"), F.col("embedding").alias("asked"))
+    found = retrieval.nearest_each(t.embeddings, q, 5, "embedding", "vec_id")
+    return found.select(F.col("query").alias("ql"), "vec_id", F.round("distance", 6).alias("distance"), long("rank").alias("rank"))
 
 
 BM25_TERMS = ("the", "tion", "of", "ou")

@@ -91,3 +91,17 @@ def test_scores(spark):
     )
     total = scoring.summary(scoring.score_questions(questions, hits)).where("modality IS NULL").first()
     assert (total.any_page_hit_at_5, total.page_coverage_at_5, total.modality_hit_at_5) == (0.75, 0.625, 0.5)
+
+
+def test_nearest_of_each_query_in_blocks(spark):
+    vectors = [(i, [float(i % 7), float(i * i % 11)]) for i in range(40)]
+    rows = spark.createDataFrame([*vectors, (99, None)], "id int, v array<double>")
+    queries = spark.createDataFrame([*((f"q{i}", v) for i, v in vectors[:7]), ("none", None), (None, [0.0, 0.0])], "query string, asked array<double>")
+    want = set()
+    for i, v in vectors[:7]:
+        far = sorted((sum((a - b) ** 2 for a, b in zip(v, w)), j) for j, w in vectors)
+        want |= {(f"q{i}", j, d, n) for n, (d, j) in enumerate(far[:3], 1)}
+    for block in (1, 3, 7, 100):
+        got = retrieval.nearest_each(rows, queries, 3, "v", "id", block).collect()
+        assert len(got) == 21 and {(r["query"], r["id"], r["distance"], r["rank"]) for r in got} == want
+    assert retrieval.nearest_each(rows, queries.limit(0), 3, "v", "id").count() == 0
