@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hosts, oracles
+from .common import stash
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -145,3 +148,36 @@ def op5_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .katz import evaluate
 
     return evaluate(table(spark, sf_dir, "documents"), least=1)
+
+
+@query
+def op11_ball_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's code in four codebooks of 256 entries, and its squared error."""
+    from .balls import compress
+    from .lookup import attach
+
+    found = compress(table(spark, sf_dir, "embeddings"))
+    by_label = stash(found.groupBy("label").agg(F.sum("error").alias("label_error")), "label-errors")
+    return attach(found, by_label, "label", "vec_id").select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
+@query
+def op13_subvectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after five rounds over dictionaries of subvectors."""
+    from .subvectors import cluster, with_inertia
+
+    return with_inertia(cluster(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of every document, and whether it and its source, as its host, pass the quality rules."""
+    from .hosts import judge
+
+    found = judge(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_failed", "kept")
+
+
+ORACLES["op11_ball_codes"] = oracles.ball_codes()
+ORACLES["op13_subvectors"] = oracles.subvectors()
+ORACLES["op12_host_rules"] = oracles.host_rules(hosts.RULES, hosts.BASE, hosts.LIMIT, hosts.STRONGEST, hosts.WEAKEST)
