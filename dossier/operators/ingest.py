@@ -7,7 +7,7 @@ Arrow batches, and new rows replace old ones of the same documents.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,11 +17,13 @@ from ..functions.vectors import zero
 from ..schemas import CLIP_DIMS
 from ..sources.files import with_identity
 from ..sources.scratch import drop, written
-from ..sources.store import Store
+from ..sources.store import Conflict, Store, Version
 from .manifest import batch_cap
-from .retrieval import term_table, terms
+from .postings import blocks, term_table, terms
 
 DONE = ("complete", "skipped")
+#: How often a pass starts anew when another writer has changed its documents meanwhile.
+ATTEMPTS = 3
 FIGURES = "array<struct<page_num: int, kind: string, image: binary>>"
 
 
@@ -74,13 +76,27 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
     (doc_id, ok, retriable, reason, pages array<struct<page_num, text, screenshot, width, height>>), and perhaps figures
     array<struct<page_num, kind, image>>, which become assets; without it they fail. embed_image gives the vectors of screenshots and
     figures; without it, and for pages without a screenshot, they are zero. Blank pages have zero text vectors, which compete like others.
+    If another writer has changed the same documents since the ledger was read, nothing of the pass is kept and it starts anew, as their ledger rows may
+    leave nothing to do; the last such conflict is raised.
     """
     reconciled = store.reconcile()
+    for attempt in range(ATTEMPTS):
+        try:
+            report = _pass(store, store.current(), listing, contents, now, embed_text, max_new, keep_last_good, parse_binary, embed_image)
+        except Conflict:
+            if attempt == ATTEMPTS - 1:
+                raise
+        else:
+            return replace(report, reconciled=reconciled)
+    raise AssertionError
+
+
+def _pass(store: Store, base: Version, listing: DataFrame, contents: DataFrame, now: str, embed_text: Callable[[Column], Column], max_new: int | None, keep_last_good: bool, parse_binary: Callable[[DataFrame], DataFrame] | None, embed_image: Callable[[Column], Column] | None) -> Report:
     rows = with_identity(listing)
     if "ordinal" not in rows.columns:
         rows = rows.withColumn("ordinal", F.col("key"))
     tag = F.when(F.coalesce("etag", F.lit("")) != "", F.concat(F.lit("etag:"), "etag")).otherwise(F.lit(""))
-    ledger = store.table("ledger")
+    ledger = store.table("ledger", base)
     by_tag = needs_ingest(rows.withColumn("checksum", tag), ledger)
     todo = by_tag.where("todo").drop("todo")
     skip = F.col("gate").startswith("skip:")
@@ -120,17 +136,17 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
         flat = parsed.select("doc_id", F.col("key").alias("s3key"), "asset_team", "gate", F.explode("pages").alias("p"))
         vector = lambda text: F.when(is_blank(text), F.transform(embed_text(text), lambda _: F.lit(0.0).cast("float"))).otherwise(embed_text(text))
         image = lambda content: embed_image(content) if embed_image else zero(CLIP_DIMS)
-        base = ("doc_id", "s3key", "asset_team")
+        common = ("doc_id", "s3key", "asset_team")
         pid = page_id_for(F.col("doc_id"), F.col("p.page_num"))
         shot = F.coalesce(F.length("p.screenshot") > 0, F.lit(False))
-        pages = flat.select(pid.alias("page_id"), *base, F.col("p.text").alias("text"), F.col("p.page_num").alias("page_num"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), vector(F.col("p.text")).alias("vector"), F.when(shot, image(F.col("p.screenshot"))).otherwise(zero(CLIP_DIMS)).alias("clip_vector"), shot.alias("has_screenshot"))
+        pages = flat.select(pid.alias("page_id"), *common, F.col("p.text").alias("text"), F.col("p.page_num").alias("page_num"), F.col("p.width").alias("width"), F.col("p.height").alias("height"), vector(F.col("p.text")).alias("vector"), F.when(shot, image(F.col("p.screenshot"))).otherwise(zero(CLIP_DIMS)).alias("clip_vector"), shot.alias("has_screenshot"))
         pieces = F.when(F.col("gate") == "text", chunks(F.col("p.text"), TEXT_MAX_CHUNKS)).otherwise(chunks(F.col("p.text")))
-        chunk = flat.select(pid.alias("page_id"), *base, F.col("p.page_num").alias("page_num"), F.posexplode(pieces).alias("i", "text"))
-        new_chunks = chunk.select(F.concat("page_id", F.lit(":c"), "i").alias("chunk_id"), "page_id", *base, "text", "page_num", F.size(terms(F.col("text"))).alias("n_terms"), embed_text(F.col("text")).alias("vector"))
-        new_terms = term_table(new_chunks, "chunk_id", "doc_id", "asset_team").withColumn("tf", F.col("tf").cast("int"))
+        chunk = flat.select(pid.alias("page_id"), *common, F.col("p.page_num").alias("page_num"), F.posexplode(pieces).alias("i", "text"))
+        new_chunks = chunk.select(F.concat("page_id", F.lit(":c"), "i").alias("chunk_id"), "page_id", *common, "text", "page_num", F.size(terms(F.col("text"))).alias("n_terms"), embed_text(F.col("text")).alias("vector"))
         drawn = parsed.select("doc_id", F.col("key").alias("s3key"), "asset_team", F.posexplode("figures").alias("i", "f"))
         fid = page_id_for(F.col("doc_id"), F.col("f.page_num"))
-        assets = drawn.select(F.concat(fid, F.lit(":a"), "i").alias("asset_id"), fid.alias("page_id"), *base, F.col("f.kind").alias("kind"), F.col("f.page_num").alias("page_num"), F.col("f.image").alias("image"), image(F.col("f.image")).alias("clip_vector"))
+        assets = drawn.select(F.concat(fid, F.lit(":a"), "i").alias("asset_id"), fid.alias("page_id"), *common, F.col("f.kind").alias("kind"), F.col("f.page_num").alias("page_num"), F.col("f.image").alias("image"), image(F.col("f.image")).alias("clip_vector"))
+        sums = new_chunks.agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
         n_chunks = new_chunks.groupBy("doc_id").agg(F.count("*").cast("int").alias("chunk_count"))
         facts = parsed.join(n_chunks, "doc_id", "left")
         new_ledger = facts.select("doc_id", F.col("key").alias("s3key"), "checksum", "status", F.coalesce("reason", F.lit("")).alias("reason"), F.size("pages").alias("page_count"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.coalesce(F.size("figures"), F.lit(0)).alias("asset_count"), F.lit(now).alias("updated_at"))
@@ -138,8 +154,7 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
             "documents": parsed.where("status = 'complete'").select(*("doc_id",), F.col("key").alias("s3key"), "asset_team", F.col("gate").alias("format_gate"), F.size("pages").alias("page_count")),
             "pages": pages,
             "chunks": new_chunks,
-            # in the order of terms, so that a search reads few row groups
-            "terms": new_terms.repartitionByRange("term").sortWithinPartitions("term"),
+            "postings": blocks(term_table(new_chunks, "chunk_id", "doc_id", "asset_team"), size=(sums.n, sums.mean)),
             "assets": assets,
             "screenshots": flat.where(shot).select(pid.alias("page_id"), "doc_id", F.col("p.screenshot").alias("screenshot")),
             "ledger": new_ledger,
@@ -149,13 +164,14 @@ def ingest(store: Store, listing: DataFrame, contents: DataFrame, now: str, embe
             new["ledger"] = new_ledger.where("status <> 'failed'").unionByName(new_ledger.where("status = 'failed'").join(ledger, "doc_id", "left_anti"))
         tally = {r.status: r["count"] for r in parsed.groupBy("status").count().collect()}
         requested = rows.count()
-        store.replace(touched.select("doc_id"), new)
+        # only documents that are there have rows to delete
+        store.replace(touched.select("doc_id").join(ledger, "doc_id", "left_semi"), new, base=base)
     finally:
         drop(store.spark, parsed_at)
     worked = sum(tally.values())
     stopped = max_new is not None and worked < n_before
     unchanged = requested - (n_before if max_new is not None else worked)
-    return Report(requested, tally.get("complete", 0), unchanged, tally.get("skipped", 0), tally.get("failed", 0), reconciled, stopped, store.table("ledger").where((F.col("status") == "failed") & (F.col("updated_at") == now)).select(F.col("s3key").alias("key"), "reason"))
+    return Report(requested, tally.get("complete", 0), unchanged, tally.get("skipped", 0), tally.get("failed", 0), 0, stopped, store.table("ledger").where((F.col("status") == "failed") & (F.col("updated_at") == now)).select(F.col("s3key").alias("key"), "reason"))
 
 
 def dry_run(listing: DataFrame) -> DataFrame:

@@ -5,11 +5,6 @@ Every limit comes with a total order, so that results repeat.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +13,7 @@ from ..functions.text import around
 from ..functions.vectors import literal, squared_distance
 from ..schemas import HIT
 from ..sources.scratch import written
+from .postings import SEPARATORS, Search, in_team, rarity, wanted, weight
 
 # The fusion score, the snippet's length, and the signals in the order that breaks ties.
 RANK_OFFSET, AGREEMENT, SNIPPET_CHARS, POOL_FACTOR = 60, 0.01, 400, 3
@@ -25,13 +21,6 @@ SIGNALS = ("chunks", "pages", "fts", "images", "assets")
 STATUSES = ("complete", "failed", "skipped")
 #: Query vectors that are sent to all tasks at once.
 QUERY_BLOCK = 1024
-#: BM25 parameters and the separators of terms.
-K1, B, SEPARATORS = 1.2, 0.75, r"[^\p{L}\p{N}]+"
-
-
-def in_team(df: DataFrame, asset_team: str | None) -> DataFrame:
-    """Rows of one team, by exact name; no filter without one."""
-    return df.where(F.col("asset_team") == asset_team) if asset_team else df
 
 
 def name_contains(column: Column, fragment: str) -> Column:
@@ -73,70 +62,43 @@ def nearest_images(rows: DataFrame, vector: list[float], limit: int, asset_team:
     return nearest(rows, vector, limit, "clip_vector", "page_id" if "asset_id" not in rows.columns else "asset_id", asset_team)
 
 
-def terms(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda t: t != "")
-
-
-def term_table(rows: DataFrame, *id_cols: str, text_col: str = "text") -> DataFrame:
-    """(term, ids..., length, tf): the inverted table that searches read."""
-    counted = rows.select(*id_cols, terms(F.col(text_col)).alias("terms")).withColumn("length", F.size("terms"))
-    return counted.select(F.explode("terms").alias("term"), *id_cols, "length").groupBy("term", *id_cols, "length").agg(F.count("*").alias("tf"))
-
-
-def _wanted(query: str) -> list[str]:
-    return sorted({t for t in re.split(r"[\W_]+", query.lower()) if t})
-
-
-def _bm25(tf: Column, df: Column, length: Column, n: Column, mean: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
-
-
-def term_counts(rows: DataFrame, wanted: list[str], id_col: str, text_col: str = "text") -> DataFrame:
-    """(id, length, tf0, tf1, ...): the number of terms of each text, and how often it has each wanted one.
-
-    Arrow's own string kernels count in one pass over each batch; separators
-    become two spaces, so that neighbours don't share one.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(b.column(1), "")), SEPARATORS, "  ")
-            text = pc.utf8_trim(text, " ")
-            length = pc.if_else(pc.equal(text, ""), 0, pc.add(pc.count_substring(text, "  "), 1))
-            spaced = pc.binary_join_element_wise(" ", text, " ", "")
-            yield pa.RecordBatch.from_arrays([b.column(0), length.cast(pa.int32()), *(pc.count_substring(spaced, f" {w} ").cast(pa.int32()) for w in wanted)], [id_col, "length", *(f"tf{i}" for i in range(len(wanted)))])
-
-    tf = "".join(f", tf{i} int" for i in range(len(wanted)))
-    return rows.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, length int{tf}")
-
-
 def bm25(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", text_col: str = "text", asset_team: str | None = None) -> DataFrame:
-    """(id, score) by BM25 of texts without a stored term table. Lower-cased runs of letters and digits are terms; nothing is stemmed.
+    """(id, score) by BM25 of texts without stored postings. Texts are read twice, for the statistics over all rows of the team and for the scores; nothing is written.
 
-    Texts are read once: their counts are written, and both the statistics over all rows of the
-    team and the scores read these narrow rows.
+    Terms are those of ``postings.terms``: a text's separators become two spaces, so that neighbours don't share one, and a term's
+    occurrences are what its removal with a space on either side takes away. That is a few passes of built-in functions over a text, without arrays of its terms.
     """
-    wanted = _wanted(query)
+    asked = wanted(rows.sparkSession, query)
     rows = in_team(rows, asset_team)
-    if not wanted:
+    if not asked:
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    counted, _ = written(term_counts(rows, wanted, id_col, text_col), "counts")
-    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted)))).first()
-    score = sum((_bm25(F.col(f"tf{i}"), F.lit(stats[f"df{i}"]), F.col("length"), F.lit(stats["n"]), F.lit(stats["mean"])) for i in range(len(wanted))), F.lit(0.0))
-    some = " OR ".join(f"tf{i} > 0" for i in range(len(wanted)))
+    bare = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, "  "))
+    counted = rows.select(id_col, bare.alias("__t"))
+    less = lambda what: F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(what), F.lit("")))
+    counted = counted.withColumn("__s", F.concat(F.lit(" "), "__t", F.lit(" ")))
+    length = F.when(F.col("__t") == "", 0).otherwise(1 + (less("  ") / 2).cast("int"))
+    counted = counted.select(id_col, length.alias("length"), *((less(f" {w} ") / (len(w) + 2)).cast("int").alias(f"tf{i}") for i, w in enumerate(asked)))
+    stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked)))).first()
+    score = sum((rarity(F.lit(stats[f"df{i}"]), F.lit(stats["n"])) * weight(F.col(f"tf{i}"), F.col("length"), F.lit(stats["mean"])) for i in range(len(asked))), F.lit(0.0))
+    some = " OR ".join(f"tf{i} > 0" for i in range(len(asked)))
     return counted.where(some).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
 
 
 def bm25_stored(chunks: DataFrame, table: DataFrame, query: str, limit: int, asset_team: str | None = None) -> DataFrame:
-    """(chunk_id, score) by BM25 from the stored term table: only the query's terms are read, and of chunks only their lengths."""
-    wanted = _wanted(query)
-    hits = in_team(table, asset_team).where(F.col("term").isin(wanted)).select("term", "chunk_id", "tf", "length")
+    """(chunk_id, score) by BM25 from a term table without blocks: only the query's terms are read, and of chunks only their lengths."""
+    asked = wanted(table.sparkSession, query)
+    hits = in_team(table, asset_team).where(F.col("term").isin(asked)).select("term", "chunk_id", "tf", "length")
     stats = in_team(chunks, asset_team).agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
     df = hits.groupBy("term").agg(F.count("*").alias("df"))  # a row for each term of the query
-    each = hits.join(F.broadcast(df), "term").select("chunk_id", _bm25(F.col("tf"), F.col("df"), F.col("length"), F.lit(stats["n"]), F.lit(stats["mean"])).alias("s"))
+    each = hits.join(F.broadcast(df), "term").select("chunk_id", (rarity(F.col("df"), F.lit(stats["n"])) * weight(F.col("tf"), F.col("length"), F.lit(stats["mean"]))).alias("s"))
     return each.groupBy("chunk_id").agg(F.sum("s").alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
+def bm25_blockmax(tables: dict[str, DataFrame], query: str, limit: int, asset_team: str | None = None) -> DataFrame:
+    """(chunk_id, score) by BM25 from stored blocks (see ``postings``), of which only those are read that can matter."""
+    return Search(tables, query, asset_team).top(limit)
+
+
 def ranked(hits: DataFrame, signal: str, *order) -> DataFrame:
     """A list of hits (few rows) with their ranks from 1; several rows of one page use up ranks."""
     return hits.withColumn("rank", F.row_number().over(W.orderBy(*order))).withColumn("signal", F.lit(signal))
@@ -179,8 +141,12 @@ def search(tables: dict[str, DataFrame], query: str, mode: str, limit: int, embe
             hits = nearest(tables[signal].select(key, "asset_team", "vector"), embed_text(query), pool, "vector", key, asset_team).select(key, "distance")
             lists.append(ranked(hits.join(tables[signal].select(*{key, "page_id"}, "text"), key), signal, "distance", key))
         elif signal == "fts":
-            stored = tables.get("terms")
-            hits = bm25(tables["chunks"], query, pool, asset_team=asset_team) if stored is None else bm25_stored(tables["chunks"], stored, query, pool, asset_team)
+            if "postings" in tables:
+                hits = bm25_blockmax(tables, query, pool, asset_team)
+            elif "terms" in tables:
+                hits = bm25_stored(tables["chunks"], tables["terms"], query, pool, asset_team)
+            else:
+                hits = bm25(tables["chunks"], query, pool, asset_team=asset_team)
             lists.append(ranked(hits.join(tables["chunks"], "chunk_id"), signal, F.desc("score"), "chunk_id"))
         elif embed_image is not None:
             key = "page_id" if signal == "images" else "asset_id"

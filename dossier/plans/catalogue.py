@@ -14,7 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import entity, graph, graph_ingest, manifest, retrieval, scoring, views
+from ..operators import entity, graph, graph_ingest, manifest, postings, retrieval, scoring, views
+from ..sources import keyindex
+from ..sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -184,11 +186,37 @@ def bm25_topk(spark, sf_dir):
     return hits.select("doc_id", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {BM25_SQL} SELECT CAST(doc_id AS VARCHAR) AS chunk_id, round(score, 6) AS score FROM sc ORDER BY sc.score DESC, CAST(doc_id AS VARCHAR) LIMIT 20")
+def bm25_blockmax(spark, sf_dir):
+    """The same from blocks of postings, each document as a chunk of its own."""
+    docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("asset_team"), "text")
+    chunks = docs.withColumn("n_terms", F.size(postings.terms(F.col("text"))))
+    rows = postings.term_table(chunks, "chunk_id", "doc_id", "asset_team")
+    made, _ = written(postings.blocks(rows).withColumn("v", F.lit(1)), "postings")
+    hits = retrieval.bm25_blockmax({"postings": made, "lengths": postings.lengths(chunks), "frequencies": made.groupBy("term", "asset_team").agg(F.sum("n").alias("n"))}, " ".join(BM25_TERMS), 20)
+    return hits.select("chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("SELECT page_id, url, html FROM pages WHERE page_id = 7 UNION ALL SELECT page_id, url, html FROM pages WHERE url = (SELECT max(url) FROM pages)")
+def page_by_id(spark, sf_dir):
+    """Point reads of a table of many files by its index of keys: one by number, one by address."""
+    pages = Tables(spark, sf_dir).pages
+    rows, at = written(pages.repartitionByRange(16, "page_id"), "keyed")
+    index, _ = written(keyindex.build({"pages": (rows, ("page_id", "url"))}, "."), "index")
+    last = pages.agg(F.max("url")).first()[0]
+    found = []
+    for field, key in (("page_id", "7"), ("url", last)):
+        files = [f"{at}/{r.file}" for r in keyindex.files_with(index, "pages", field, key).collect()]
+        some = spark.read.schema(rows.schema).parquet(*files) if files else rows.limit(0)
+        found.append(some.where(F.col(field).cast("string") == key))
+    return found[0].union(found[1])
+
+
 @query("""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS ts FROM documents),
 e AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM t), c AS (SELECT term, doc_id, length, count(*) AS tf FROM e GROUP BY ALL)
 SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM c GROUP BY term""")
 def term_statistics(spark, sf_dir):
-    table = retrieval.term_table(Tables(spark, sf_dir).documents, "doc_id")
+    table = postings.term_table(Tables(spark, sf_dir).documents, "doc_id")
     return table.groupBy("term").agg(F.count("*").alias("df"), long(F.sum("tf")).alias("cf"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .operators.postings import BLOCKS, FREQUENCIES, LENGTHS
+
 DOCUMENTS = "doc_id string, s3key string, asset_team string, format_gate string, page_count int"
 PAGES = (
     "page_id string, doc_id string, s3key string, asset_team string, text string, page_num int, width int, height int, "
@@ -10,11 +12,9 @@ PAGES = (
 #: Screenshots are apart from pages, so that page scans stay narrow.
 SCREENSHOTS = "page_id string, doc_id string, screenshot binary"
 CHUNKS = "chunk_id string, page_id string, doc_id string, s3key string, asset_team string, text string, page_num int, n_terms int, vector array<float>"
-#: The inverted table, a row for each term of a chunk: length is the chunk's number of terms.
-TERMS = "term string, chunk_id string, doc_id string, asset_team string, tf int, length int"
 ASSETS = "asset_id string, page_id string, doc_id string, s3key string, asset_team string, kind string, page_num int, image binary, clip_vector array<float>"
 LEDGER = "doc_id string, s3key string, checksum string, status string, reason string, page_count int, chunk_count int, asset_count int, updated_at string"
-EVIDENCE = {"documents": DOCUMENTS, "pages": PAGES, "screenshots": SCREENSHOTS, "chunks": CHUNKS, "assets": ASSETS, "terms": TERMS, "ledger": LEDGER}
+EVIDENCE = {"documents": DOCUMENTS, "pages": PAGES, "screenshots": SCREENSHOTS, "chunks": CHUNKS, "assets": ASSETS, "postings": BLOCKS, "lengths": LENGTHS, "frequencies": FREQUENCIES, "ledger": LEDGER}
 
 NODES = "id string, type string, name string, properties string"
 EDGES = "source string, target string, label string, properties string"

@@ -107,34 +107,35 @@ def test_a_writer_that_dies_changes_nothing(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     run(store, [("A/a.las", "1")], {"A/a.las": b"abc"})
     before, rows = store.current(), store.table("documents").collect()
-    put, store._put = store._put, lambda *_: (_ for _ in ()).throw(OSError("died"))
+    put, store.pointers.put = store.pointers.put, lambda *_: (_ for _ in ()).throw(OSError("died"))
     with pytest.raises(OSError):
         store.replace(store.table("documents").select("doc_id"), {"documents": store.table("documents")})
-    store._put = put
+    store.pointers.put = put
     assert store.current() == before and store.table("documents").collect() == rows
-    n = store._next()
-    assert not (tmp_path / f"s/documents/v={n}").exists() and n > max(store.versions())
-    (tmp_path / f"s/versions/{n}").write_text('{"documents": [1')
-    assert store.current() == before and store._next() == n + 1
-    with pytest.raises(Exception, match="(?i)exist"):
-        store._put(f"versions/{n}", "{}")
+    # half of a pointer is never under a number, only beside
+    (tmp_path / "s/versions/_half").write_text('{"tables": [1')
+    assert store.current() == before
+    assert not store.pointers.put(before.number, {}) and store.current() == before
     run(store, [("A/b.las", "1")], {"A/b.las": b"xyz"})
-    assert store.table("documents").count() == 2
+    assert store.table("documents").count() == 2 and store.current().number == before.number + 1
+    # the dead writer's folders go when they are old enough, what versions name stays
+    assert store.vacuum(3600) == 0 and store.vacuum(0) >= 3 and store.vacuum(0) == 0
+    assert store.table("documents").count() == 2 and {r.text for r in store.table("chunks").collect()} == {"abc", "xyz"}
 
 
 def test_a_pass_writes_what_it_adds(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
-    run(store, [(f"A/{i}.las", "1") for i in range(20)], {f"A/{i}.las": f"words {i} ".encode() * 3000 for i in range(20)})
+    run(store, [(f"A/{i}.las", "1") for i in range(60)], {f"A/{i}.las": f"words {i} ".encode() * 3000 for i in range(60)})
     size = lambda n: store._bytes("chunks", [n])
-    first = store.current()["chunks"][-1]
+    first = store.current().folders("chunks")[-1]
     run(store, [("A/3.las", "2")], {"A/3.las": b"new words"})
-    last = store.current()["chunks"][-1]
+    last = store.current().folders("chunks")[-1]
     assert last != first and size(last) < size(first) / 5
     texts = [r.text for r in store.table("chunks").where("s3key = 'A/3.las'").collect()]
-    assert texts == ["new words"] and store.table("documents").count() == 20
+    assert texts == ["new words"] and store.table("documents").count() == 60
     n = {r.table: r.n for r in store.counts().collect()}
     store.optimize()
-    assert store.current()["chunks"] == [max(store.versions())] and {r.table: r.n for r in store.counts().collect()} == n
+    assert len(store.current().folders("chunks")) == 1 and store.versions() == [store.current().number] and {r.table: r.n for r in store.counts().collect()} == n
 
 
 def test_stored_terms_give_the_same_search(spark, tmp_path):
