@@ -1,8 +1,8 @@
 """Entity resolution: candidates from a graph and a manifest, matched with master tables, and their ontology block.
 
 Rules run as joins, exact before similar, so that only what no equality join
-settles is compared by similarity, and that only with masters whose length
-allows the ratio.
+settles is compared by similarity, and that only with masters that share so many
+pairs of letters as the ratio needs.
 """
 
 from __future__ import annotations
@@ -12,12 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
+from ..sources.scratch import drop, written
 from ..functions.text import fragment_key, normalize_key, strip, strip_county, strip_well_number, xml_escape
 from .graph import relationship
 
 CUTOFF, LEAST_FUZZY = 0.9, 8
-#: The ratio that an unverified name is first tried with.
-LIKELY = 0.6
+#: The ratio that an unverified name is first tried with. Below two thirds, names that are alike need not share two successive letters.
+LIKELY = 0.7
+#: Names that are compared with all masters of their class at a time, if nothing is that much like them.
+NAME_BLOCK = 1024
 # Classes in the order in which they claim a name, and the entity types that feed each.
 CLASSES = ("AssetTeam", "Well", "Operator", "ServiceVendor", "County")
 TYPE_POOLS = {
@@ -83,25 +86,100 @@ def match_exact(probes: DataFrame, masters: DataFrame) -> DataFrame:
     return probes.join(masters.withColumnRenamed("norm", "probe"), ["cls", "probe"]).select("cls", "key", "source", "master_key", F.lit(1.0).alias("score"))
 
 
-def similar(probes: DataFrame, masters: DataFrame, cutoff: float) -> DataFrame:
-    """The most similar master of each probe with at least that ratio; ties go to the name that is last by code point.
+def _numbered(parts: Column) -> Column:
+    """Parts with how often each has come before, so that a set of them stands for a multiset."""
+    return F.transform(parts, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(parts, 1, i), lambda y: y == x)).cast("string")))
+
+
+def letters(name: Column) -> Column:
+    return _numbered(F.split(name, ""))
+
+
+def grams(name: Column) -> Column:
+    """Pairs of successive letters."""
+    return _numbered(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(2))))
+
+
+def _shared_grams(both: Column, cutoff: float) -> Column:
+    """How many grams two names of that length together share at least, if their ratio is at least the cutoff.
 
-    Ratios of at least the cutoff bound the lengths (twice the shorter over the sum) and
-    the characters in common, so masters are met by length: an equality join on lengths
-    that fit, then a bound on common letters, and only then the ratio itself.
+    Then half of cutoff * both letters match, in blocks; between two blocks a letter of one of the names doesn't, and
+    (1 - cutoff) * both such letters are left. Each block has one gram less than letters.
     """
-    a, b = F.length("probe"), F.length("norm")
-    by_length = masters.withColumn("n", b)
-    rows = probes.withColumn("n", F.explode(F.sequence(F.ceil(a * cutoff / (2 - cutoff)).cast("int"), F.floor(a * (2 - cutoff) / max(cutoff, 1e-9)).cast("int")))) if cutoff > 0 else probes
-    joined = rows.join(by_length, ["cls", "n"] if cutoff > 0 else ["cls"])
-    letters = lambda c: F.array_distinct(F.split(c, ""))
-    missing = F.size(F.array_except(letters(F.col("probe")), letters(F.col("norm"))))
-    joined = joined.where(2 * (a - missing) >= cutoff * (a + b))
-    scored = joined.withColumn("found", ratio("norm", "probe")).where(F.col("found") >= cutoff)
+    return (F.ceil(both * cutoff / 2 - 1e-9) - F.floor(both * (1 - cutoff) + 1e-9) - 1).cast("int")
+
+
+def _lengths(n: Column, cutoff: float) -> tuple[Column, Column]:
+    """The lengths that names of a ratio of at least the cutoff with one of length n have."""
+    return F.ceil(n * cutoff / (2 - cutoff) - 1e-9).cast("int"), F.floor(n * (2 - cutoff) / cutoff + 1e-9).cast("int")
+
+
+def gram_pairs(probes: DataFrame, masters: DataFrame, cutoff: float) -> DataFrame:
+    """Pairs (cls, key, probe, norm, source, master_key) that can have a ratio of at least the cutoff, which is above two thirds.
+
+    If two names share s grams at least, one of the n - s + 1 rarest of one is among those of the other: these meet by equality.
+    Probes so short that they need not share a gram meet masters by length. Then lengths, grams and letters in common must allow the ratio.
+    """
+    facts = lambda df, name: df.withColumn("n", F.length(name)).withColumn("grams", grams(F.col(name)))
+    a, b = facts(probes.select("cls", "key", "probe"), "probe"), facts(masters, "norm")
+    count = b.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("count"))
+
+    def rare(df: DataFrame, *ids: str) -> DataFrame:
+        least = _shared_grams(F.col("n") + _lengths(F.col("n"), cutoff)[0], cutoff)
+        each = df.select(*ids, "n", least.alias("least"), F.explode("grams").alias("gram")).join(count, "gram", "left")
+        ordered = F.sort_array(F.collect_list(F.struct(F.coalesce("count", F.lit(0)).alias("count"), "gram")))
+        return each.groupBy(*ids, "n", "least").agg(ordered.alias("g")).select(*ids, "least", F.explode(F.slice("g", 1, F.greatest(F.lit(1), F.size("g") - F.greatest("least", F.lit(1)) + 1))["gram"]).alias("gram"))
+
+    mine = rare(a, "cls", "key", "probe")
+    met = mine.where("least > 0").join(rare(b, "cls", "norm"), ["cls", "gram"]).select("cls", "key", "probe", "norm").distinct()
+    short = a.where(_shared_grams(F.col("n") + _lengths(F.col("n"), cutoff)[0], cutoff) <= 0).select("cls", "key", "probe", F.explode(F.sequence(*_lengths(F.col("n"), cutoff))).alias("n"))
+    met = met.union(short.join(b.select("cls", "n", "norm"), ["cls", "n"]).select("cls", "key", "probe", "norm"))
+    pairs = met.join(masters, ["cls", "norm"])
+    both = F.length("probe") + F.length("norm")
+    low, high = _lengths(F.length("probe"), cutoff)
+    pairs = pairs.where(F.length("norm").between(low, high))
+    pairs = pairs.where(F.size(F.array_intersect(grams(F.col("probe")), grams(F.col("norm")))) >= _shared_grams(both, cutoff))
+    return pairs.where(2 * _in_common() >= cutoff * both - 1e-9).select("cls", "key", "probe", "norm", "source", "master_key")
+
+
+def _in_common() -> Column:
+    return F.size(F.array_intersect(letters(F.col("probe")), letters(F.col("norm"))))
+
+
+def _most_similar(scored: DataFrame) -> DataFrame:
+    """Of pairs with ``found``, each probe's best; ties go to the name that is last by code point."""
     best = scored.groupBy("cls", "key").agg(F.max_by(F.struct("probe", "norm", "source", "master_key"), F.struct("found", "norm")).alias("m"))
     return best.select("cls", "key", "m.source", "m.master_key", F.col("m.norm").alias("nearest"), ratio("m.probe", "m.norm").alias("score"))
 
 
+def similar(probes: DataFrame, masters: DataFrame, cutoff: float) -> DataFrame:
+    """The most similar master of each probe with at least that ratio, which is above two thirds; ties go to the name that is last by code point."""
+    if not 2 / 3 < cutoff <= 1:
+        raise ValueError("names are found by shared pairs of letters above a ratio of two thirds; use nearest_names below")
+    return _most_similar(gram_pairs(probes, masters, cutoff).withColumn("found", ratio("norm", "probe")).where(F.col("found") >= cutoff))
+
+
+def nearest_names(probes: DataFrame, masters: DataFrame, block: int = NAME_BLOCK) -> DataFrame:
+    """The most similar master of each probe, however little alike they are.
+
+    All masters of a class are met by blocks of about ``block`` probes, which all tasks get. Letters in common bound the ratio: the master with
+    the highest bound is compared first, and then only those whose bound reaches its ratio. Blocks are written, one after the other.
+    """
+    asked, at = written(probes.select("cls", "key", "probe").withColumn("__letters", letters(F.col("probe"))), "names")
+    own = masters.withColumn("__own", letters(F.col("norm")))
+    blocks, out = max(1, -(-asked.count() // block)), None
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("cls", "key"), F.lit(blocks)) == k)
+        most = 2 * F.size(F.array_intersect("__letters", "__own")) / F.greatest(F.length("probe") + F.length("norm"), F.lit(1))
+        pairs = own.join(F.broadcast(part), "cls").select("cls", "key", "probe", "norm", "source", "master_key", most.alias("most"))
+        first = pairs.groupBy("cls", "key").agg(F.max_by(F.struct("probe", "norm"), F.struct("most", "norm")).alias("m")).select("cls", "key", ratio("m.norm", "m.probe").alias("reached"))
+        left = pairs.join(F.broadcast(first), ["cls", "key"]).where(F.col("most") >= F.col("reached") - 1e-9)
+        best, _ = written(_most_similar(left.withColumn("found", ratio("norm", "probe"))), "nearest")
+        out = best if out is None else out.unionByName(best)
+    drop(probes.sparkSession, at)
+    return out
+
+
 def match_prefix(probes: DataFrame, masters: DataFrame) -> DataFrame:
     """The shortest, then first master of which a probe is a prefix of whole tokens: masters are exploded to their prefixes and joined by equality."""
     tokens = F.split("norm", "_")
@@ -155,15 +233,17 @@ def verify(pool: DataFrame, well: DataFrame, vendor: DataFrame, aliases: DataFra
     every = hits.select(*own.columns).unionByName(own).withColumn("turn", F.when(F.col("pooled"), 0).otherwise(1))
     if aliases is not None:
         every = every.unionByName(alias_rows.select("cls", "key", "spelling", F.lit(True).alias("pooled"), "source", "master_key", F.lit(1.0).alias("score"), F.lit(0).alias("rule"), F.lit(2).alias("turn")))
+    # both results read it, in several places
+    every, _ = written(every, "claims")
     verified = _one(every, ["key"], "turn", order, "rule").select("key", F.col("spelling").alias("name"), "cls", F.col("source").alias("master_source"), "master_key", "score")
     # what fails in its class: not verified there, and not claimed by an earlier class
     earlier = every.where("turn = 0").groupBy("key").agg(F.min(order).alias("claimed"))
     passed = every.where("turn = 0").select("cls", "key").distinct()
     failed = probes.where("pooled").join(passed, ["cls", "key"], "left_anti").join(earlier, "key", "left").where(F.col("claimed").isNull() | (F.col("claimed") > order))
-    # most have a master that is a little like them; only the others are compared with all of their class
+    # most have a master that is somewhat like them; only the others are compared with all of their class
     asked = failed.select("cls", "key", F.col("key").alias("probe"))
-    close = similar(asked, masters, LIKELY)
-    near = close.unionByName(similar(asked.join(close.select("cls", "key"), ["cls", "key"], "left_anti"), masters, 0.0))
+    close, _ = written(similar(asked, masters, LIKELY), "close")
+    near = close.unionByName(nearest_names(asked.join(close.select("cls", "key"), ["cls", "key"], "left_anti"), masters))
     unverified = failed.join(near, ["cls", "key"], "left").select(
         F.col("spelling").alias("name"), F.col("cls").alias("class"), F.coalesce("nearest", F.lit("")).alias("nearest_master"), F.coalesce(F.round("score", 3).cast("string"), F.lit("")).alias("score")
     )

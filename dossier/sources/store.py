@@ -314,7 +314,8 @@ class Store:
         return n
 
     def counts(self) -> DataFrame:
-        return reduce(DataFrame.union, (df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in self.tables().items() if name != DELETES))
+        """The rows of each table; of postings, what is in their blocks (terms)."""
+        return reduce(DataFrame.union, (df.agg(F.lit(name).alias("table"), F.count("*").alias("n")) for name, df in self.tables().items() if name not in (DELETES, "postings", *postings.SUMS)))
 
     # upkeep
 
