@@ -1,13 +1,54 @@
-"""Embedders are callables from a text column to a vector column; this one needs no model and always gives the same."""
+"""Embedders are callables from a text column to a vector column: of models, which are loaded once in each worker, and two that need no model and always give the same."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-MAX_CHARS = 8000
+# Characters of a text that a model gets, and texts of a call.
+MAX_CHARS, BATCH = 8000, 96
+
+#: A model: (position, vector) for each of the texts of a call, in any order.
+Model = Callable[[list[str]], list[tuple[int, list[float]]]]
+
+
+def embed_batch(model: Model, texts: list[str | None], retries: int = 3, wait_seconds: float = 0.5) -> list[list[float]]:
+    """The vectors of one call's texts, by position. Texts are cut, and empty and null ones are a space. A call that fails, or
+    doesn't answer every position once, is made again, each time after twice the wait; its last error is raised."""
+    asked = [(t or "")[:MAX_CHARS] or " " for t in texts]
+    for turn in range(retries + 1):
+        try:
+            found = dict(answers := model(asked))
+            if len(answers) != len(asked) or set(found) != set(range(len(asked))):
+                raise ValueError(f"{len(asked)} texts were asked, positions {sorted(found)} answered")
+            return [[float(x) for x in found[i]] for i in range(len(asked))]
+        except Exception:
+            if turn == retries:
+                raise
+            time.sleep(wait_seconds * 2**turn)
+    raise AssertionError
+
+
+def model_embedder(load: Callable[[], Model], batch: int = BATCH, retries: int = 3, wait_seconds: float = 0.5) -> Callable[[Column], Column]:
+    """Vectors of a model that ``load`` makes once in each task; calls have at most ``batch`` texts and don't cross Arrow batches."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def embed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for texts in parts:
+            model = model or load()
+            listed = [None if t is None or t is pd.NA else t for t in texts]
+            out: list[list[float]] = []
+            for start in range(0, len(listed), batch):
+                out += embed_batch(model, listed[start : start + batch], retries, wait_seconds)
+            yield pd.Series(out)
+
+    return embed
 
 
 def keyword_embedder(keywords: list[str]) -> Callable[[Column], Column]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -132,3 +134,8 @@ def around(text: Column, match: Column, margin: int = 150) -> Column:
     at = F.position(match, text)
     start = F.greatest(F.lit(1), at - margin)
     return F.when(at > 0, F.substring(text, start, at + F.length(match) + margin - start))
+
+
+def bound(value: Column, made: Callable[[Column], Column]) -> Column:
+    """made(value), with the value computed once for each row however often it is used, also within lambdas, which else compute it for each element."""
+    return F.get(F.transform(F.array(value), made), F.lit(0))

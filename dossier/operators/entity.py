@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
 from ..sources.scratch import drop, written
-from ..functions.text import fragment_key, normalize_key, strip, strip_county, strip_well_number, xml_escape
+from ..functions.text import bound, fragment_key, normalize_key, strip, strip_county, strip_well_number, xml_escape
 from .graph import relationship
 
 CUTOFF, LEAST_FUZZY = 0.9, 8
@@ -88,7 +88,7 @@ def match_exact(probes: DataFrame, masters: DataFrame) -> DataFrame:
 
 def _numbered(parts: Column) -> Column:
     """Parts with how often each has come before, so that a set of them stands for a multiset."""
-    return F.transform(parts, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(parts, 1, i), lambda y: y == x)).cast("string")))
+    return bound(parts, lambda p: F.transform(p, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(p, 1, i), lambda y: y == x)).cast("string"))))
 
 
 def letters(name: Column) -> Column:

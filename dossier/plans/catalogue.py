@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import entity, graph, graph_ingest, manifest, postings, retrieval, scoring, views
+from ..operators import entity, graph, graph_ingest, grepindex, manifest, postings, retrieval, scoring, views
 from ..sources import keyindex
 from ..sources.scratch import written
 
@@ -68,6 +68,24 @@ def grep_regex(spark, sf_dir):
     return retrieval.grep(pages_of(Tables(spark, sf_dir)), r"\b[0-9]{3}-[0-9]{4}\b", regex=True, limit=100)
 
 
+@query(ORACLES["grep_literal"].replace("'tion'", "'permission'").replace("strpos(text, 'permission') + 4", "strpos(text, 'permission') + 10"))
+def grep_literal_indexed(spark, sf_dir):
+    """The same by an index of trigrams that is built of all pages."""
+    pages = pages_of(Tables(spark, sf_dir))
+    index, _ = written(grepindex.build(pages), "grams")
+    return grepindex.grep_indexed(pages, index, "permission", limit=50)
+
+
+INDEXED_PATTERN = r"(?:permission|licen[cs]e)[a-z]* [a-z]+"
+
+
+@query(ORACLES["grep_regex"].replace(r"\b[0-9]{3}-[0-9]{4}\b", INDEXED_PATTERN))
+def grep_regex_indexed(spark, sf_dir):
+    pages = pages_of(Tables(spark, sf_dir))
+    index, _ = written(grepindex.build(pages), "grams")
+    return grepindex.grep_indexed(pages, index, INDEXED_PATTERN, regex=True, limit=100)
+
+
 @query(f"WITH {PAGES_SQL} SELECT page_id, doc_id, s3key, asset_team, page_num, 'the' AS match, substr(text, greatest(1, strpos(text, 'the') - 150), strpos(text, 'the') + 3 + 150 - greatest(1, strpos(text, 'the') - 150)) AS context FROM pages_ WHERE asset_team = 'src3' AND contains(text, 'the') ORDER BY page_id LIMIT 20")
 def grep_team(spark, sf_dir):
     return retrieval.grep(pages_of(Tables(spark, sf_dir)), "the", asset_team="src3")
