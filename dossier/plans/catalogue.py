@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import entity, graph, graph_ingest, grepindex, manifest, postings, retrieval, scoring, views
+from ..operators import cells, entity, graph, graph_ingest, grepindex, manifest, postings, retrieval, scoring, views
 from ..sources import keyindex
 from ..sources.scratch import written
 
@@ -176,6 +176,14 @@ def knn_l2(spark, sf_dir):
     return _knn(Tables(spark, sf_dir), 3, 10)
 
 
+@query(ORACLES["knn_l2"])
+def knn_cells(spark, sf_dir):
+    """The same from stored cells, of which only those are read that can hold a nearer vector."""
+    t = Tables(spark, sf_dir)
+    found = cells.build(t.embeddings, None, "embedding", "vec_id").nearest(_query_vector(t, 3), 10)
+    return found.join(t.embeddings.select("vec_id", "label"), "vec_id").select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
 @query(f"SELECT e.vec_id, e.label, round({DIST.format(a='e.embedding', b='q.embedding')}, 6) AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 5 AND e.label = 4 ORDER BY {DIST.format(a='e.embedding', b='q.embedding')}, e.vec_id LIMIT 10")
 def knn_prefilter(spark, sf_dir):
     return _knn(Tables(spark, sf_dir), 5, 10, "label = 4")
