@@ -59,23 +59,21 @@ def vendor_wells(nodes: DataFrame, edges: DataFrame, vendor_type: str, well_type
 def closure(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
     """(child, ancestor, depth): everything that each child is under, with the length of the shortest way; a cycle is under itself.
 
-    Each round joins the ways that are known with each other, so that ways of
-    twice the length are known after it, and keeps the shortest of each pair. It ends
-    when no pair is new: a chain of n takes about log2(n) rounds.
+    After n rounds all shortest ways of up to 2^n steps are known. A longer one, of up to twice as many, begins with one of exactly 2^n,
+    so that a round joins only these with the others, and there is nothing more to find when none is so long: a chain of n takes about log2(n) rounds.
     """
     spark = parents.sparkSession
     ways = parents.select(F.col(child).cast("string").alias("child"), F.col(parent).cast("string").alias("ancestor")).where("child IS NOT NULL AND ancestor IS NOT NULL").distinct()
     ways, at = written(ways.withColumn("depth", F.lit(1)), "closure")
-    n = ways.count()
-    while True:
+    steps = 1
+    while ways.where(F.col("depth") == steps).limit(1).count():
         onward = ways.select(F.col("child").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
-        longer = ways.join(onward, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
-        ways, was = ways.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), at
-        ways, at = written(ways, "closure")
+        longer = ways.where(F.col("depth") == steps).join(onward, "ancestor").select("child", F.col("further").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+        was = at
+        ways, at = written(ways.unionByName(longer).groupBy("child", "ancestor").agg(F.min("depth").alias("depth")), "closure")
         drop(spark, was)
-        n, before = ways.count(), n
-        if n == before:
-            return ways
+        steps *= 2
+    return ways
 
 
 def tags(payload: Column, prefix: str) -> Column:

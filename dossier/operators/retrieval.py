@@ -37,18 +37,15 @@ def nearest(rows: DataFrame, vector: list[float], limit: int, vector_col: str =
 def nearest_each(rows: DataFrame, queries: DataFrame, limit: int, vector_col: str = "vector", id_col: str = "chunk_id", block: int = QUERY_BLOCK) -> DataFrame:
     """(query, id, distance, rank): for each of the queries (query, asked), by distinct names, the rows whose vectors are nearest.
 
-    All rows are read once for each block of queries. A block holds at most ``block`` vectors, which all tasks get,
+    All rows are read once for each block of queries. Blocks are dealt by a hash of the name and hold about ``block`` vectors, which all tasks get,
     and a task passes on no more than ``limit`` rows for each of them. A null name or vector finds nothing.
     """
-    asked, _ = written(queries.where("query IS NOT NULL AND asked IS NOT NULL").withColumn("__at", F.xxhash64("query")), "queries")
-    # ends of blocks: only hashes are ordered; those of equal hashes, if any, come in one block
-    nth = F.row_number().over(W.orderBy("__at"))
-    ends = [r["__at"] for r in asked.select("__at", nth.alias("n")).where(F.col("n") % block == 0).select("__at").orderBy("__at").collect()]
+    asked, _ = written(queries.where("query IS NOT NULL AND asked IS NOT NULL"), "queries")
+    blocks = max(1, -(-asked.count() // block))
     near = rows.where(F.col(vector_col).isNotNull()).select(id_col, F.col(vector_col).alias("__v"))
     out = None
-    for low, high in zip([None, *ends], [*ends, None]):
-        part = asked if low is None else asked.where(F.col("__at") > low)
-        part = part if high is None else part.where(F.col("__at") <= high)
+    for k in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == k)
         met = near.join(F.broadcast(part.select("query", "asked")), how="cross").select("query", id_col, squared_distance(F.col("__v"), F.col("asked")).alias("distance"))
         best = met.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy("distance", id_col))).where(F.col("rank") <= limit)
         out = best if out is None else out.unionByName(best)

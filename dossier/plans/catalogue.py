@@ -68,12 +68,12 @@ def grep_regex(spark, sf_dir):
     return retrieval.grep(pages_of(Tables(spark, sf_dir)), r"\b[0-9]{3}-[0-9]{4}\b", regex=True, limit=100)
 
 
-@query(ORACLES["grep_literal"].replace("'tion'", "'permission'").replace("strpos(text, 'permission') + 4", "strpos(text, 'permission') + 10"))
+@query(ORACLES["grep_literal"].replace("'tion'", "'thintion'").replace("strpos(text, 'thintion') + 4", "strpos(text, 'thintion') + 8"))
 def grep_literal_indexed(spark, sf_dir):
     """The same by an index of trigrams that is built of all pages."""
     pages = pages_of(Tables(spark, sf_dir))
     index, _ = written(grepindex.build(pages), "grams")
-    return grepindex.grep_indexed(pages, index, "permission", limit=50)
+    return grepindex.grep_indexed(pages, index, "thintion", limit=50)
 
 
 INDEXED_PATTERN = r"(?:permission|licen[cs]e)[a-z]* [a-z]+"

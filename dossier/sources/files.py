@@ -9,6 +9,10 @@ from .. import schemas
 from ..functions.text import classify, doc_id_for
 
 
+#: Folders of retained parse results, and files of a folder at a time.
+RAW_BUCKETS, RAW_SPREAD = 256, 4
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
@@ -92,8 +96,14 @@ def nominations(spark: SparkSession, path: str) -> DataFrame:
 
 
 def retain_raw(parsed: DataFrame, root: str) -> None:
-    """Append whole parse results (doc_id, key, result struct with its text items and boxes) as JSON, a folder for each document."""
-    parsed.select("doc_id", "key", "result").write.mode("append").partitionBy("doc_id").json(root)
+    """Append whole parse results (doc_id, key, result struct with its text items and boxes) as JSON, in RAW_BUCKETS folders by a hash of the document."""
+    bucket = raw_bucket(F.col("doc_id"))
+    parsed.select("doc_id", "key", "result", bucket.alias("bucket")).repartition("bucket", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(RAW_SPREAD))).write.mode("append").partitionBy("bucket").json(root)
+
+
+def raw_bucket(doc_id: Column) -> Column:
+    """The folder of a document's parse results, by which reads of one document are pruned."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(RAW_BUCKETS)).cast("int")
 
 
 def raw(spark: SparkSession, root: str, schema: str) -> DataFrame:
