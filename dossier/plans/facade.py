@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import json
 from collections.abc import Callable
+from dataclasses import dataclass
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, Row
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import classify
 from ..operators import graph, manifest, retrieval, views
+from ..sources.store import Store
 
 MODES = ("hybrid", "chunks", "pages", "fts", "images", "assets")
 # The least and the most of each tool's limit.
@@ -50,12 +52,22 @@ def tool(f: Callable) -> Callable:
     return safe
 
 
+@dataclass
+class ViewChain:
+    """Where views of documents come from: given ones (by the manifest's references), a cache as it is now, a parser of (key), and what keeps its views in the cache."""
+
+    given: DataFrame
+    cached: Callable[[], DataFrame]
+    parse: Callable[[DataFrame], DataFrame]
+    keep: Callable[[DataFrame], None]
+
+
 class Tools:
     """The eleven tools over a manifest, evidence tables, parsed views and a graph. Models are injected callables."""
 
-    def __init__(self, rows: DataFrame | None = None, evidence: dict[str, DataFrame] | None = None, pages: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, embed_text=None, embed_image=None, answer=None, vision=None, analyst=None, objects: DataFrame | None = None) -> None:
+    def __init__(self, rows: DataFrame | None = None, evidence: dict[str, DataFrame] | None = None, pages: DataFrame | None = None, nodes: DataFrame | None = None, edges: DataFrame | None = None, embed_text=None, embed_image=None, answer=None, vision=None, analyst=None, objects: DataFrame | None = None, chain: ViewChain | None = None, store: Store | None = None) -> None:
         self.manifest, self.evidence, self.parsed, self.nodes, self.edges = rows, evidence or {}, pages, nodes, edges
-        self.objects = objects
+        self.objects, self.chain, self.store = objects, chain, store
         self.embed_text, self.embed_image, self.answer, self.vision, self.analyst = embed_text, embed_image, answer, vision, analyst
 
     @tool
@@ -88,16 +100,32 @@ class Tools:
 
     @tool
     def read_parsed_document(self, key: str, page_start: int = 1, page_end: int | None = None) -> dict:
-        """Pages (key, page, markdown) within the budget of characters; a note if any are left out."""
+        """Pages (key, page, markdown) within the budget of characters; a note if any are left out.
+
+        With a chain, the document's view comes from its reference, else from the cache, else from a parse that is kept; ``source`` says
+        which, and an extraction gives its fields and the pages that each field cites.
+        """
         if page_start < 1 or (page_end is not None and page_end < 1):
             raise ValueError("pages count from 1")
         self._row(key)
-        mine = self.parsed.where(F.col("key") == key)
+        facts: dict = {}
+        if self.chain is not None:
+            asked = self.manifest.sparkSession.createDataFrame([(key,)], "key string")
+            view = views.read_views(asked, self.chain.given, self.chain.cached(), self.chain.parse, self.chain.keep)
+            row = view.withColumn("fields", F.to_json("fields")).select("kind", "source", "page_count", "fields", "field_pages").first()
+            if row is None:
+                raise ValueError(f"{key!r} can't be parsed")
+            facts = {"kind": row.kind, "source": row.source, "page_count": row.page_count}
+            if row.fields is not None:
+                facts |= {"fields": json.loads(row.fields), "field_pages": row.field_pages or {}}
+            mine = view.select("key", F.explode("pages").alias("p")).select("key", "p.page", "p.markdown")
+        else:
+            mine = self.parsed.where(F.col("key") == key)
         wanted = mine.where(F.col("page") >= page_start)
         wanted = wanted.where(F.col("page") <= page_end) if page_end is not None else wanted
         pages = [plain(r) for r in manifest.slice_pages(wanted, "key").orderBy("page").select("page", "markdown").collect()]
         left_out = wanted.count() - len(pages)
-        return {"key": key, "pages": pages, **({"note": f"{left_out} more pages are beyond the budget: ask for later pages"} if left_out else {})}
+        return {"key": key, **facts, "pages": pages, **({"note": f"{left_out} more pages are beyond the budget: ask for later pages"} if left_out else {})}
 
     @tool
     def delegate_analysis(self, question: str, keys: list[str]) -> dict:
@@ -157,10 +185,12 @@ class Tools:
         if (page_id is None) == (doc_id is None):
             raise ValueError("give either page_id or doc_id")
         columns = (*retrieval.HIT, "text", "width", "height", "has_screenshot")
+        # a store finds the files of a key by its index
+        rows = lambda name: self.store.rows_with(name, *(("doc_id", doc_id) if doc_id is not None else ("page_id", page_id))) if self.store is not None else self.evidence.get(name)
         if doc_id is not None:
-            pages = [plain(r) for r in retrieval.get_document_pages(self.evidence["pages"], doc_id).select(*columns).collect()]
+            pages = [plain(r) for r in retrieval.get_document_pages(rows("pages"), doc_id).select(*columns).collect()]
             return {"doc_id": doc_id, "pages": pages} if pages else {"error": f"no document {doc_id!r}: search_evidence gives ids"}
-        row = retrieval.get_page(self.evidence["pages"], page_id, self.evidence.get("screenshots") if question else None).first()
+        row = retrieval.get_page(rows("pages"), page_id, rows("screenshots") if question else None).first()
         if row is None:
             return {"error": f"no page {page_id!r}: search_evidence gives ids"}
         out = {c: row[c] for c in columns}

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from dossier.plans import catalogue
-from dossier.plans.facade import Tools, same_host
+from dossier.operators import views
+from dossier.plans.facade import Tools, ViewChain, same_host
 
 
 def test_tools(spark, sf):
@@ -43,3 +44,48 @@ def test_object_facts(spark):
 
 def test_hosts():
     assert same_host("https://a.example/x", "https://a.example") and not same_host("https://a.example.evil/x", "https://a.example")
+
+
+def test_parsed_documents_come_from_a_chain(spark):
+    """Reference, then cache, then a parse that the next call finds in the cache; an extraction has fields with citations."""
+    import json
+
+    rows = spark.createDataFrame([(k, "A") for k in ("run.pdf", "fields.pdf", "fresh.pdf", "broken.pdf")], "key string, asset_team string")
+    bodies = {
+        "run.pdf": {"output": {"chunks": [{"content": "first"}, {"content": "second", "metadata": {"pageRange": {"start": 4}}}]}},
+        "fields.pdf": {"output": {"value": {"depth": 12, "name": "x"}, "metadata": {"depth": {"citations": [{"page": {"number": 2}}, {}]}}}},
+    }
+    view = lambda some: views.normalize(spark.createDataFrame([(k, json.dumps(v)) for k, v in some.items()], "key string, json string"))
+    cache: dict = {}
+    parsed: list = []
+
+    def parse(keys):
+        found = [r.key for r in keys.collect() if r.key != "broken.pdf"]
+        parsed.extend(found)
+        return view({k: {"kind": "markdown", "pages": [{"page": 1, "markdown": f"parsed {k}"}], "pageCount": 1} for k in found})
+
+    def keep(fresh):
+        cache.update({r.key: {"kind": r.kind, "pages": [p.asDict() for p in r.pages], "pageCount": r.page_count} for r in fresh.collect()})
+
+    tools = Tools(rows, chain=ViewChain(view(bodies), lambda: view(cache), parse, keep))
+    out = tools.read_parsed_document("run.pdf")
+    assert (out["source"], [(p["page"], p["markdown"]) for p in out["pages"]]) == ("manifest", [(1, "first"), (4, "second")]) and "fields" not in out
+    assert [p["page"] for p in tools.read_parsed_document("run.pdf", page_start=2)["pages"]] == [4]
+    out = tools.read_parsed_document("fields.pdf")
+    assert (out["kind"], out["fields"], out["field_pages"], out["pages"]) == ("extraction", {"depth": 12, "name": "x"}, {"depth": [2]}, [])
+    assert [tools.read_parsed_document("fresh.pdf")["source"] for _ in range(2)] == ["parsed", "cache"] and parsed == ["fresh.pdf"]
+    assert "can't be parsed" in tools.read_parsed_document("broken.pdf")["error"] and "error" in tools.read_parsed_document("unknown.pdf")
+
+
+def test_evidence_is_read_by_the_stores_index(spark, tmp_path):
+    from dossier.sources.store import Store
+
+    from .test_store import run
+
+    store = Store(spark, f"file://{tmp_path}/s")
+    run(store, [(f"A/{i}.txt", "1") for i in range(5)], {f"A/{i}.txt": f"text {i}".encode() for i in range(5)})
+    page = store.table("pages").where("text = 'text 3'").first()
+    tools = Tools(store=store)
+    assert tools.read_evidence(page_id=page.page_id)["text"] == "text 3" and tools.read_evidence(page_id=page.page_id, question="what?")["text"] == "text 3"
+    assert [p["text"] for p in tools.read_evidence(doc_id=page.doc_id)["pages"]] == ["text 3"]
+    assert "error" in tools.read_evidence(page_id="none:p1") and "error" in tools.read_evidence(doc_id="none")
