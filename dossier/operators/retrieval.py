@@ -5,6 +5,10 @@ Every limit comes with a total order, so that results repeat.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import around
 from ..functions.vectors import literal, squared_distance
 from ..schemas import HIT
-from ..sources.scratch import written
+from ..sources.scratch import drop, written
 from .postings import SEPARATORS, Search, in_team, rarity, wanted, weight
 
 # The fusion score, the snippet's length, and the signals in the order that breaks ties.
@@ -59,26 +63,42 @@ def nearest_images(rows: DataFrame, vector: list[float], limit: int, asset_team:
     return nearest(rows, vector, limit, "clip_vector", "page_id" if "asset_id" not in rows.columns else "asset_id", asset_team)
 
 
+def term_counts(rows: DataFrame, asked: list[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(id, length, tf0, tf1, ...): the number of terms of each text, and how often it has each of some terms.
+
+    Texts are lowered by Spark, as queries and stored terms are. Arrow's string kernels then count in one pass over
+    each batch; separators become two spaces, so that neighbours don't share one.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            text = pc.utf8_trim(pc.replace_substring_regex(b.column(1), SEPARATORS, "  "), " ")
+            length = pc.if_else(pc.equal(text, ""), 0, pc.add(pc.count_substring(text, "  "), 1))
+            spaced = pc.binary_join_element_wise(" ", text, " ", "")
+            yield pa.RecordBatch.from_arrays([b.column(0), length.cast(pa.int32()), *(pc.count_substring(spaced, f" {w} ").cast(pa.int32()) for w in asked)], [id_col, "length", *(f"tf{i}" for i in range(len(asked)))])
+
+    tf = "".join(f", tf{i} int" for i in range(len(asked)))
+    return rows.select(id_col, F.lower(F.coalesce(F.col(text_col), F.lit("")))).mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}, length int{tf}")
+
+
 def bm25(rows: DataFrame, query: str, limit: int, id_col: str = "chunk_id", text_col: str = "text", asset_team: str | None = None) -> DataFrame:
-    """(id, score) by BM25 of texts without stored postings. Texts are read twice, for the statistics over all rows of the team and for the scores; nothing is written.
+    """(id, score) by BM25 of texts without stored postings.
 
-    Terms are those of ``postings.terms``: a text's separators become two spaces, so that neighbours don't share one, and a term's
-    occurrences are what its removal with a space on either side takes away. That is a few passes of built-in functions over a text, without arrays of its terms.
+    Texts are read once: their counts are written, and the statistics over all rows of the team and the scores read these narrow rows. They are
+    dropped when the ``limit`` best rows have been taken, which is when this returns.
     """
     asked = wanted(rows.sparkSession, query)
     rows = in_team(rows, asset_team)
     if not asked:
         return rows.select(id_col, F.lit(0.0).alias("score")).limit(0)
-    bare = F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), SEPARATORS, "  "))
-    counted = rows.select(id_col, bare.alias("__t"))
-    less = lambda what: F.length("__s") - F.length(F.replace(F.col("__s"), F.lit(what), F.lit("")))
-    counted = counted.withColumn("__s", F.concat(F.lit(" "), "__t", F.lit(" ")))
-    length = F.when(F.col("__t") == "", 0).otherwise(1 + (less("  ") / 2).cast("int"))
-    counted = counted.select(id_col, length.alias("length"), *((less(f" {w} ") / (len(w) + 2)).cast("int").alias(f"tf{i}") for i, w in enumerate(asked)))
+    counted, at = written(term_counts(rows, asked, id_col, text_col), "counts")
     stats = counted.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(asked)))).first()
     score = sum((rarity(F.lit(stats[f"df{i}"]), F.lit(stats["n"])) * weight(F.col(f"tf{i}"), F.col("length"), F.lit(stats["mean"])) for i in range(len(asked))), F.lit(0.0))
     some = " OR ".join(f"tf{i} > 0" for i in range(len(asked)))
-    return counted.where(some).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    best = counted.where(some).select(id_col, score.alias("score")).orderBy(F.desc("score"), id_col).limit(limit)
+    found = rows.sparkSession.createDataFrame(best.collect(), best.schema)
+    drop(rows.sparkSession, at)
+    return found
 
 
 def bm25_stored(chunks: DataFrame, table: DataFrame, query: str, limit: int, asset_team: str | None = None) -> DataFrame:
