@@ -90,3 +90,11 @@ def test_pieces_are_bounded():
     for kind in KINDS:
         assert max(len(p.split()) for p in sentences.sentences(KINDS[kind](random.Random(3), 3000))) <= sentences.LONG
     assert max(map(len, sentences.sentences("\u4e00\u4e8c\u4e09" * 1000))) <= sentences.LONG
+
+
+def test_chance_matches_of_64_bits_remove_nothing(spark, monkeypatch):
+    """Runs that agree in 64 bits of their hash, or in the other 32, are not the same."""
+    rows = spark.createDataFrame([(5, 1, 1, 0), (5, 2, 2, 0), (6, 1, 3, 0), (5, 1, 4, 0)], "h long, more int, id long, at int")
+    monkeypatch.setattr(sentences, "spans", lambda *_: rows)
+    docs = spark.createDataFrame([(i, "x") for i in range(1, 5)], "doc_id long, text string")
+    assert [(r.doc_id, r.starts) for r in sentences.removals(docs).collect()] == [(4, [0])]
