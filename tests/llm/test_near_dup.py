@@ -1,10 +1,12 @@
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from dossier.llm import near_dup
-from dossier.llm.components import components
+from dossier.llm.common import stash_path
+from dossier.llm.components import components, extend_path
 
 from .conftest import frame
 
@@ -102,3 +104,54 @@ def test_components(spark):
     got = {r.id: r.component_id for r in components(links).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
     assert components(links.where(F.lit(False))).count() == 0
+
+
+def test_links_added_to_components(spark):
+    """Old components, ids without links and new chains between them are as if all links had come at once."""
+    rng = random.Random(9)
+    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)]
+    frames = [spark.createDataFrame(part, "a long, b long") for part in (links[:60], links[60:100], links[100:])]
+    at = stash_path(components(frames[0]), "labels")
+    for more in frames[1:]:
+        at = extend_path(at, more)
+    got = {r.id: r.component_id for r in spark.read.parquet(at).collect()}
+    want = {r.id: r.component_id for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    # an id whose only link is with itself isn't in the first table
+    assert {k: v for k, v in got.items() if k in want} == want and all(k == v for k, v in got.items() if k not in want)
+    at = extend_path(at, frames[0].limit(0))
+    assert {r.id: r.component_id for r in spark.read.parquet(at).collect()} == got
+
+
+def test_sketches_bound_the_difference():
+    """Sketches, and folded ones, never differ in more bits than the sets in shingles: no link is ruled out."""
+    rng = np.random.default_rng(4)
+    for size in (1, 5, 80, 3000):
+        for share in (0.0, 0.5, 0.9, 1.0):
+            one = np.unique(rng.integers(0, 1 << 63, size, np.uint64))
+            other = np.unique(np.concatenate([one[: int(size * share)], rng.integers(0, 1 << 63, max(1, size // 7), np.uint64)]))
+            apart = len(np.setxor1d(one, other))
+            x, y = near_dup.sketch(one), near_dup.sketch(other)
+            assert np.bitwise_count(x ^ y).sum() <= apart
+            x, y = (np.bitwise_xor.reduce(v.reshape(-1, near_dup.FOLDED)) for v in (x, y))
+            assert np.bitwise_count(x ^ y).sum() <= apart
+
+
+def test_pairs_grow_with_documents(spark, monkeypatch):
+    """Copies of one text that lack 6 % of its words are near the threshold with each other; twice as many take far from four times as many pairs."""
+    real, pairs = near_dup.confirmed, []
+
+    def counted(found, sets, percent):
+        pairs.append(found.count())
+        return real(found, sets, percent)
+
+    monkeypatch.setattr(near_dup, "confirmed", counted)
+    rng, totals = random.Random(3), []
+    base = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = [(i, " ".join(w for w in base if rng.random() >= 0.06)) for i in range(160)]
+    for n in (80, 160):
+        pairs.clear()
+        df = frame(spark, [(i, t, "en", "s", 1) for i, t in rows[:n]])
+        got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.near_duplicates(df, 2, 80).collect()}
+        assert got == brute(rows[:n], 2, 80)
+        totals.append(sum(pairs))
+    assert totals[1] < 5 * 160 and totals[1] < 3.2 * totals[0]
