@@ -15,8 +15,9 @@ without null or non-finite components. Vectors of different lengths aren't compa
 centre is fitted on a bounded sample (``centre_rows``); rows with a null id
 are left out. Rows that repeat an id are candidates each for itself, and queries each with a list of its own,
 but rows with a query's id are none of its candidates. Ties go to the smaller id. Queries are
-the given rows in blocks of about ``query_rows``, searched one after the other; a block is sent to all
-tasks and each task keeps the k nearest of its rows for each query. An empty table gives an empty result. Other columns are dropped.
+the given rows in blocks of about ``query_bytes`` of coordinates, searched one after the other; a block is sent to all
+tasks and each task keeps the k nearest of its rows for each query. So the index is read once for each block: vectors are stored
+in the width that they come in, and a block is as large as a task's memory allows, not a fixed number of rows. An empty table gives an empty result. Other columns are dropped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 
 from .common import drop_path, stash_path
 
-EPSILON, CENTRE_ROWS, QUERY_ROWS = 3.0, 4096, 4096
+EPSILON, CENTRE_ROWS = 3.0, 4096
+#: Bytes of coordinates, as doubles, of a block of queries; a task holds about four times as much for it.
+QUERY_BYTES = 32 << 20
 #: Bits to which a query's coordinates are rounded.
 QUERY_BITS = 6
 #: Candidates and queries whose estimates are held at once.
@@ -56,9 +59,18 @@ def packed(bits: np.ndarray) -> np.ndarray:
     return np.pad(out, ((0, 0), (0, -out.shape[1] % 8))).view(np.uint64)
 
 
+def coordinates(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(np.float64)
+
+
 def valid(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, list[int]]:
     """(id, v, dim) of the vectors that take part, and the lengths that they have."""
-    v = F.col(vector_col).cast("array<double>")
+    v = F.col(vector_col)
+    if dict(vectors.dtypes)[vector_col] != "array<float>":
+        v = v.cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v")).where(F.col("id").isNotNull())
     fit = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(fit).withColumn("dim", F.size("v"))
@@ -73,12 +85,11 @@ def index(rows: DataFrame, dim: int, seed: int = 0, centre_rows: int = CENTRE_RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-            code, norm, ip = encode(x, centre, turn)
+            code, norm, ip = encode(coordinates(b.column(1), dim), centre, turn)
             codes = pa.array([c.tobytes() for c in code], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), codes, pa.array(norm), pa.array(ip)], ["id", "v", "code", "norm", "ip"])
 
-    return rows.select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v array<double>, code binary, norm double, ip double"), centre
+    return rows.select("id", "v").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, v {dict(rows.dtypes)['v']}, code binary, norm double, ip double"), centre
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -148,21 +159,21 @@ class Nearest:
                 self.worst[i] = d[best[-1]]
 
 
-def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int = 10, seed: int = 0, epsilon: float = EPSILON, query_rows: int = QUERY_ROWS) -> list[DataFrame]:
+def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray, k: int = 10, seed: int = 0, epsilon: float = EPSILON, query_bytes: int = QUERY_BYTES) -> list[DataFrame]:
     """(query_id, rank, vec_id, score): the k nearest rows of each query but itself, by Euclidean distance; a table for each block of queries.
 
     queries has (id, v). The number of blocks follows the number of queries;
     one block at a time passes the driver and is with the tasks, which bounds what is sent.
     """
     spark = indexed.sparkSession
-    blocks = max(1, -(-queries.count() // query_rows))
+    blocks = max(1, -(-queries.count() * 8 * dim // query_bytes))
     turn = rotation(dim, seed)
     made = []
     for block in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select("id", "v").orderBy("id", "v").collect()
-        if not rows:
+        rows = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).select(F.col("id").cast("long").alias("id"), "v").orderBy("id", "v").toArrow()
+        if not rows.num_rows:
             continue
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in rows], np.int64), np.array([r.v for r in rows])))
+        sent = spark.sparkContext.broadcast((rows.column("id").to_numpy(), coordinates(rows.column("v"), dim)))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             nearest = None
@@ -171,7 +182,7 @@ def search(indexed: DataFrame, queries: DataFrame, dim: int, centre: np.ndarray,
                     b = whole.slice(start, CHUNK_ROWS)
                     if nearest is None:
                         nearest = Nearest(*sent.value, centre, turn, k, epsilon)
-                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                    x = coordinates(b.column(1), dim)
                     code = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint64).reshape(len(x), -1)
                     nearest.see(b.column(0).to_numpy().astype(np.int64), x, code, b.column(3).to_numpy(), b.column(4).to_numpy())
             if nearest is not None:

@@ -68,3 +68,18 @@ def test_estimates_are_within_the_rounding():
         signs = np.where((x - centre) @ turn > 0, 1, -1) / np.sqrt(dim)
         off = np.abs(near.inner(slice(0, 7), code, dim) - near.turned @ signs.T)
         assert (off <= near.step[:, None] * np.sqrt(dim) / 2 + 1e-4).all()
+
+
+def test_blocks_of_queries(spark):
+    """Many small blocks find what one block finds, whether vectors are stored as floats or as doubles."""
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.standard_normal(16).astype(np.float32).tolist()) for i in range(1200)]
+    found = []
+    for kind, size in (("float", ann.QUERY_BYTES), ("float", 3 * 16 * 8), ("double", ann.QUERY_BYTES)):
+        own, dims = ann.valid(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), "vec_id", "embedding")
+        indexed, centre = ann.index(own, 16)
+        assert dims == [16] and dict(indexed.dtypes)["v"] == f"array<{kind}>"
+        parts = ann.search(indexed, own.where("id % 100 = 0"), 16, centre, query_bytes=size)
+        assert len(parts) == 1 if size == ann.QUERY_BYTES else len(parts) > 2
+        found.append({(r.query_id, r["rank"], r.vec_id, r.score) for part in parts for r in part.collect()})
+    assert found[0] == found[1] == found[2] and len(found[0]) == 120
