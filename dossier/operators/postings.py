@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 K1, B, SEPARATORS = 1.2, 0.75, r"[^\p{L}\p{N}]+"
 #: Chunks of a tile, about, and tiles that a search scores first for each row that it wants.
 TILE, FIRST = 64, 1
+#: Tiles of a part where chunks are dealt by tile, and parts that there are at least if there are tiles enough.
+TILES, LEAST_PARTS = 32, 16
 
 BLOCKS = "term string, asset_team string, tile long, n int, top double, mean double, chunks array<struct<chunk_id: string, doc_id: string, tf: int, length: int>>"
 #: Number and terms of the chunks of each team, and chunks that have a term: a commit's own, less what it deletes.
@@ -47,12 +49,34 @@ def rarity(df: Column, n: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
+def in_tiles(rows: DataFrame, tiles: int, each: int) -> DataFrame:
+    """Rows dealt by their column ``tile`` to parts of about ``each`` tiles (of one, as long as there are few): what is grouped by tile and more after that needs no other shuffle."""
+    return rows.repartition(max(min(tiles, LEAST_PARTS), -(-tiles // each)), "tile")
+
+
+def tiled_blocks(chunks: DataFrame, sums: DataFrame, tile: int = TILE) -> DataFrame:
+    """The blocks of chunks (chunk_id, doc_id, asset_team, text), of which sums holds the ``lengths``; each part holds whole tiles, in the order of terms.
+
+    Chunks are dealt by tile before they are taken apart, so that texts are shuffled once and postings never. ``blocks`` is for postings that are there.
+    """
+    total = sums.agg(F.sum("n"), F.sum("total")).first()
+    n, mean = total[0] or 0, float((total[1] or 0) / total[0] if total[0] else 0) or 1.0
+    tiles = max(1, round(n / tile))
+    dealt = in_tiles(chunks.select("chunk_id", "doc_id", "asset_team", "text", F.pmod(F.xxhash64("doc_id"), F.lit(tiles)).alias("tile")), tiles, TILES)
+    return _grouped(term_table(dealt, "chunk_id", "doc_id", "asset_team", "tile"), mean).sortWithinPartitions("term", "tile")
+
+
+def _grouped(rows: DataFrame, mean: float) -> DataFrame:
+    """One row for each term, team and tile of postings."""
+    posting = F.struct("chunk_id", "doc_id", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
+    return rows.groupBy("term", "asset_team", "tile").agg(F.count("*").cast("int").alias("n"), F.max(weight(F.col("tf"), F.col("length"), F.lit(mean))).alias("top"), F.lit(mean).alias("mean"), F.sort_array(F.collect_list(posting)).alias("chunks"))
+
+
 def blocks(rows: DataFrame, files: int | None = None, tile: int = TILE, size: tuple[int, float] | None = None) -> DataFrame:
     """Blocks of postings (term, chunk_id, doc_id, asset_team, tf, length), in the order of terms. size: how many chunks there are, and their mean length."""
     n, mean = size or rows.select("chunk_id", "length").distinct().agg(F.count("*"), F.avg("length")).first()
     tiles, mean = max(1, round(n / tile)), float(mean or 1.0)
-    posting = F.struct("chunk_id", "doc_id", F.col("tf").cast("int").alias("tf"), F.col("length").cast("int").alias("length"))
-    made = rows.groupBy("term", "asset_team", F.pmod(F.xxhash64("doc_id"), F.lit(tiles)).alias("tile")).agg(F.count("*").cast("int").alias("n"), F.max(weight(F.col("tf"), F.col("length"), F.lit(mean))).alias("top"), F.lit(mean).alias("mean"), F.sort_array(F.collect_list(posting)).alias("chunks"))
+    made = _grouped(rows.withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.lit(tiles))), mean)
     made = made.repartitionByRange(files, "term", "tile") if files else made.repartitionByRange("term", "tile")
     return made.sortWithinPartitions("term", "tile")
 

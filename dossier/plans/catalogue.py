@@ -217,9 +217,9 @@ def bm25_blockmax(spark, sf_dir):
     """The same from blocks of postings, each document as a chunk of its own."""
     docs = Tables(spark, sf_dir).documents.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("doc_id").cast("string").alias("chunk_id"), F.col("source").alias("asset_team"), "text")
     chunks = docs.withColumn("n_terms", F.size(postings.terms(F.col("text"))))
-    rows = postings.term_table(chunks, "chunk_id", "doc_id", "asset_team")
-    made, _ = written(postings.blocks(rows).withColumn("v", F.lit(1)), "postings")
-    hits = retrieval.bm25_blockmax({"postings": made, "lengths": postings.lengths(chunks), "frequencies": made.groupBy("term", "asset_team").agg(F.sum("n").alias("n"))}, " ".join(BM25_TERMS), 20)
+    sums, _ = written(postings.lengths(chunks), "lengths")
+    made, _ = written(postings.tiled_blocks(docs, sums).withColumn("v", F.lit(1)), "postings")
+    hits = retrieval.bm25_blockmax({"postings": made, "lengths": sums, "frequencies": made.groupBy("term", "asset_team").agg(F.sum("n").alias("n"))}, " ".join(BM25_TERMS), 20)
     return hits.select("chunk_id", F.round("score", 6).alias("score"))
 
 

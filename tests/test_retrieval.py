@@ -105,3 +105,19 @@ def test_nearest_of_each_query_in_blocks(spark):
         got = retrieval.nearest_each(rows, queries, 3, "v", "id", block).collect()
         assert len(got) == 21 and {(r["query"], r["id"], r["distance"], r["rank"]) for r in got} == want
     assert retrieval.nearest_each(rows, queries.limit(0), 3, "v", "id").count() == 0
+
+
+def test_postings_of_texts_are_not_shuffled(spark):
+    """Chunks are dealt once, by tile; their blocks are those of postings, and grouping them needs no other shuffle."""
+    import re
+
+    from dossier.operators import postings
+
+    rows = [(f"c{i}", f"d{i // 2}", "AB"[i % 2] if i % 5 else None, " ".join(f"w{k}" for k in range(i % 13))) for i in range(200)] + [("c200", "d200", "A", None)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, doc_id string, asset_team string, text string")
+    sums = postings.lengths(chunks.withColumn("n_terms", F.size(postings.terms(F.col("text")))))
+    made = postings.tiled_blocks(chunks, sums, tile=16)
+    assert len(re.findall(r"Exchange \w*partitioning", made._jdf.queryExecution().executedPlan().toString())) == 1
+    n, total = len(rows), sum(i % 13 for i in range(200))
+    want = postings.blocks(postings.term_table(chunks, "chunk_id", "doc_id", "asset_team"), tile=16, size=(n, total / n))
+    assert sorted(map(repr, made.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
