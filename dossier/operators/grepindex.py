@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bound
+from .postings import in_tiles
 from .retrieval import grep
 
 #: Pages of a row of the index, about, and the rarest trigrams that are looked up of those that must all be there.
 TILE, LOOKED_UP = 1024, 4
+#: Tiles of a part.
+TILES = 2
 #: What may mean something else, or change what letters mean, in Java: inline flags, classes within classes, quotes and some escapes.
 UNSURE = re.compile(r"\(\?[A-Za-z-]+[:)]|\\[QEvhHRXGzZkNpPceaxu0]|&&|\[[^\]]*\[")
 
@@ -33,11 +36,15 @@ def trigrams(text: Column) -> Column:
 
 
 def build(pages: DataFrame, id_col: str = "page_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
-    """(gram, tile, n, ids): the pages that have a trigram, by tiles of pages, in the order of trigrams. Null and short texts have none."""
+    """(gram, tile, n, ids): the pages that have a trigram, by tiles of pages; each part holds whole tiles, in the order of trigrams. Null and short texts have none.
+
+    Pages are dealt by tile before they are taken apart, so that texts are shuffled once and trigrams never.
+    """
     tiles = max(1, round(pages.count() / tile))
-    rows = pages.select(F.col(id_col).alias("id"), F.explode(trigrams(F.col(text_col))).alias("gram"))
-    made = rows.groupBy("gram", F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("tile")).agg(F.count("*").alias("n"), F.sort_array(F.collect_set("id")).alias("ids"))
-    return made.repartitionByRange("gram", "tile").sortWithinPartitions("gram", "tile")
+    dealt = in_tiles(pages.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.pmod(F.xxhash64(id_col), F.lit(tiles)).alias("tile")), tiles, TILES)
+    rows = dealt.select("id", "tile", F.explode(trigrams(F.col("text"))).alias("gram"))
+    made = rows.groupBy("gram", "tile").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("id")).alias("ids"))
+    return made.sortWithinPartitions("gram", "tile")
 
 
 def _together(kind: str, parts: list[Need]) -> Need:

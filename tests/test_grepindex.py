@@ -68,3 +68,19 @@ def test_indexed_equals_scan(spark):
     found = {r.id for r in grepindex.candidates(index, grepindex.literal_needs("stuck pipe")).collect()}
     assert {f"p{i:04d}" for i, t in enumerate(texts) if t and "stuck pipe" in t} <= found and len(found) < 150
     assert grepindex.build(pages.limit(0)).count() == 0
+
+
+def test_trigrams_are_not_shuffled(spark):
+    """Pages are dealt once, by tile; grouping and sorting their trigrams needs no other shuffle. Each trigram still has all its pages."""
+    texts = [f"text {i} of {i % 7} words" for i in range(300)] + [None, "ab", ""]
+    made = grepindex.build(page(spark, texts), tile=32)
+    assert len(re.findall(r"Exchange \w*partitioning", made._jdf.queryExecution().executedPlan().toString())) == 1
+    found = {}
+    for r in made.collect():
+        assert r.n == len(r.ids) and r.ids == sorted(r.ids)
+        found.setdefault(r.gram, []).extend(r.ids)
+    want = {}
+    for i, t in enumerate(texts):
+        for g in {t[k : k + 3] for k in range(len(t) - 2)} if t else ():
+            want.setdefault(g, []).append(f"p{i:04d}")
+    assert {g: sorted(ids) for g, ids in found.items()} == want
