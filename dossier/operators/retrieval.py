@@ -144,6 +144,13 @@ def fuse(lists: list[DataFrame], limit: int, key: str = "page_id") -> DataFrame:
     return one.orderBy(F.desc("score"), "first.at", "first.rank", key).limit(limit).select(key, "score", "signals", F.col("snippet.s").alias("text"))
 
 
+def of_hits(hits: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """A list of hits (few rows) with their rows. The keys are taken first, so that texts are read of these only and aren't shuffled where rows are a join."""
+    found = hits.collect()  # as many rows as are wanted
+    few = hits.sparkSession.createDataFrame(found, hits.schema)
+    return F.broadcast(few).join(rows.where(F.col(key).isin([r[key] for r in found])), key)
+
+
 def search(tables: dict[str, DataFrame], query: str, mode: str, limit: int, embed_text, embed_image=None, asset_team: str | None = None) -> DataFrame:
     """Search in one of six modes; hybrid takes pools of three times the limit from chunks, pages, BM25 and page images."""
     modes = {"hybrid": ("chunks", "pages", "fts", "images"), **{s: (s,) for s in SIGNALS}}
@@ -156,7 +163,7 @@ def search(tables: dict[str, DataFrame], query: str, mode: str, limit: int, embe
             key = "chunk_id" if signal == "chunks" else "page_id"
             # vectors are ranked without texts, which only the hits need
             hits = nearest(tables[signal].select(key, "asset_team", "vector"), embed_text(query), pool, "vector", key, asset_team).select(key, "distance")
-            lists.append(ranked(hits.join(tables[signal].select(*{key, "page_id"}, "text"), key), signal, "distance", key))
+            lists.append(ranked(of_hits(hits, tables[signal].select(*{key, "page_id"}, "text"), key), signal, "distance", key))
         elif signal == "fts":
             if "postings" in tables:
                 hits = bm25_blockmax(tables, query, pool, asset_team)
@@ -164,7 +171,7 @@ def search(tables: dict[str, DataFrame], query: str, mode: str, limit: int, embe
                 hits = bm25_stored(tables["chunks"], tables["terms"], query, pool, asset_team)
             else:
                 hits = bm25(tables["chunks"], query, pool, asset_team=asset_team)
-            lists.append(ranked(hits.join(tables["chunks"], "chunk_id"), signal, F.desc("score"), "chunk_id"))
+            lists.append(ranked(of_hits(hits, tables["chunks"], "chunk_id"), signal, F.desc("score"), "chunk_id"))
         elif embed_image is not None:
             key = "page_id" if signal == "images" else "asset_id"
             hits = nearest_images(tables["pages" if signal == "images" else "assets"], embed_image(query), pool, asset_team)

@@ -121,3 +121,12 @@ def test_postings_of_texts_are_not_shuffled(spark):
     n, total = len(rows), sum(i % 13 for i in range(200))
     want = postings.blocks(postings.term_table(chunks, "chunk_id", "doc_id", "asset_team"), tile=16, size=(n, total / n))
     assert sorted(map(repr, made.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_hits_are_read_by_their_keys(spark):
+    """Hits come with their rows; what rows are joined of is filtered by the keys of the hits first."""
+    rows = spark.createDataFrame([(f"p{i}", f"text {i}") for i in range(50)], "page_id string, text string").join(spark.range(40).selectExpr("concat('p', id) AS page_id"), "page_id")
+    hits = spark.createDataFrame([("p3", 0.5), ("p7", 0.25), ("p45", 0.1)], "page_id string, distance double")
+    got = retrieval.of_hits(hits, rows, "page_id")
+    assert {(r.page_id, r.distance, r.text) for r in got.collect()} == {("p3", 0.5, "text 3"), ("p7", 0.25, "text 7")}
+    assert retrieval.of_hits(hits.limit(0), rows, "page_id").count() == 0
