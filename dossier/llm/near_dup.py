@@ -125,6 +125,25 @@ def possible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return met.where(may_link(F.col("n"), F.col("n2"), bits, percent)).select("a", "b").distinct()
 
 
+def met_few(labelled: DataFrame, pivots: DataFrame, classes: DataFrame, percent: int, turn: int) -> DataFrame:
+    """(a, b): of the chosen members of other components (key, id2, c2) that a document meets in its buckets (key, id, n, c), at most MET that sizes and sketches don't rule out.
+
+    The chosen ones bring their sketches. A document has those that it meets, at most PIVOTS * BANDS**2, in
+    one row, and only what its own sketch leaves becomes a pair.
+    """
+    words = BITS // 64
+    marked = pivots.join(classes.select(F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("bits").alias("y")), "id2")
+    like = f"n * 100 >= n2 * {percent} AND n2 * 100 >= n * {percent}"
+    met = labelled.join(marked, "key").where(f"c <> c2 AND {like}").groupBy("id").agg(F.collect_set(F.struct("id2", "n2", "y")).alias("met"))
+
+    def open_to(p: Column) -> Column:
+        return may_link(F.col("n"), p["n2"], differing([F.col("bits")[k] for k in range(words)], [p["y"][k] for k in range(words)]), percent)
+
+    ranked = F.transform(F.filter("met", open_to), lambda p: F.struct(F.xxhash64(p["id2"], "id", F.lit(turn)).alias("h"), p["id2"].alias("x")))
+    few = F.slice(F.array_sort(F.array_distinct(ranked)), 1, MET)
+    return met.join(classes.select("id", "n", "bits"), "id").select(F.col("id").alias("a"), F.explode(few).alias("p")).select("a", F.col("p.x").alias("b"))
+
+
 def signatures(docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, set_hash, bits, first, second): the set's size, digest and sketch and the two collections' bands (null for an empty set)."""
 
@@ -254,19 +273,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     links = confirm(possible(ends.where("a < b").distinct(), classes, percent))
     groups_at = components_path(spark.read.parquet(links))
     drop_path(spark, links)
-    like = f"n * 100 >= n2 * {percent} AND n2 * 100 >= n * {percent}"
     for turn in range(ROUNDS):
         # buckets of several components: compare their members with a few chosen by chance
         groups = spark.read.parquet(groups_at)
         labelled = members.join(groups, "id", "left").select("key", "id", "n", F.coalesce("component_id", "id").alias("c"))
-        chosen = [F.min_by(F.struct("id", "n", "c"), F.xxhash64("id", "key", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
+        chosen = [F.min_by(F.struct("id", "c"), F.xxhash64("id", "key", F.lit(turn * PIVOTS + k))) for k in range(PIVOTS)]
         pivots = labelled.groupBy("key").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m"), F.array(*chosen).alias("ps")).where("c1 < c2 AND m > 2")
-        pivots = pivots.select("key", F.explode(F.array_distinct("ps")).alias("p")).select("key", F.col("p.id").alias("id2"), F.col("p.n").alias("n2"), F.col("p.c").alias("c2"))
-        # of the at most PIVOTS * BANDS**2 that a document meets and may be like, a few
-        met = possible(labelled.join(pivots, "key").where(f"c <> c2 AND {like}").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct(), classes, percent)
-        met = met.groupBy("a").agg(F.collect_list("b").alias("met"))
-        few = F.slice(F.array_sort(F.transform("met", lambda x: F.struct(F.xxhash64(x, "a", F.lit(turn)).alias("h"), x.alias("x")))), 1, MET)
-        links = confirm(met.select("a", F.explode(few).alias("p")).select(*ordered("a", "p.x")).where("a < b").distinct())
+        pivots = pivots.select("key", F.explode(F.array_distinct("ps")).alias("p")).select("key", F.col("p.id").alias("id2"), F.col("p.c").alias("c2"))
+        links = confirm(met_few(labelled, pivots, classes, percent, turn).select(*ordered("a", "b")).where("a < b").distinct())
         groups_at = extend_path(groups_at, spark.read.parquet(links))
         drop_path(spark, links)
     # what is still apart in some bucket is compared by its rarest shingles: nothing is missed

@@ -155,3 +155,27 @@ def test_pairs_grow_with_documents(spark, monkeypatch):
         assert got == brute(rows[:n], 2, 80)
         totals.append(sum(pairs))
     assert totals[1] < 5 * 160 and totals[1] < 3.2 * totals[0]
+
+
+def test_candidates_of_rounds_are_ruled_out_before_they_are_rows(spark, monkeypatch):
+    """In the rounds, a document's candidates stay in one row: only the ends of buckets and the rarest shingles make rows of pairs for sketches to judge."""
+    real, pairs, met, few = near_dup.possible, [], [], near_dup.met_few
+
+    def counted(found, classes, percent):
+        pairs.append(found.count())
+        return real(found, classes, percent)
+
+    def kept(labelled, pivots, classes, percent, turn):
+        out = few(labelled, pivots, classes, percent, turn)
+        most = out.groupBy("a").count().agg(F.max("count")).first()[0] or 0
+        # what is left is what sizes and sketches allow, and no more of it than a round takes
+        assert most <= near_dup.MET and real(out, classes, percent).count() == out.distinct().count() == out.count()
+        met.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dup, "possible", counted)
+    monkeypatch.setattr(near_dup, "met_few", kept)
+    rows = texts()
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in near_dup.near_duplicates(frame(spark, [(i, t, "en", "s", 1) for i, t in rows]), 2, 80).collect()}
+    assert got == brute(rows, 2, 80)
+    assert len(pairs) == 2 and len(met) == near_dup.ROUNDS and sum(met) > 0
