@@ -46,7 +46,10 @@ def stash_path(df: DataFrame, name: str, **options: str) -> str:
     """Write df to a table in the shared folder; where it is."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEANUP, None)
+    try:
+        was = spark.conf.get(CLEANUP)  # with a default given, Spark would not tell its own
+    except Exception:  # a Spark that has no such setting
+        was = None
     if was is not None:
         spark.conf.set(CLEANUP, "true")
     try:

@@ -16,10 +16,12 @@ probability. Texts begin with a mark that is never counted as a token and end wi
 one that is.
 
 Evaluation rewrites the sum over a text as backoff everywhere, plus a correction
-where a pair was seen. Tasks send each distinct key of a buffer once, with
-the documents that hold it, to the bucket of the tables that has it; the buckets
-send back sums by document. Words with a number, and pairs of such words with at least a
-HOT-th of all counts (at most 2 * HOT), are kept out of this: they are sent to all tasks. Questions about pairs are
+where a pair was seen. Tasks send each distinct pair of a buffer once, with
+the documents that hold it, to the bucket that has it; the buckets
+send back sums by document. Each word but the end is the first of one pair, and the bucket of a word without number has all pairs
+after it, so that it knows the word's count and alpha too: words are asked for with their pairs, and no table has them.
+Words with a number, and pairs of such words with at least a
+HOT-th of all counts (at most 2 * HOT), are kept out of this: they are sent to all tasks. Questions are
 asked for one of PARTS parts of the documents after the other, which bounds the room that they take.
 
 Null texts are empty texts: they hold only the end. Rows that repeat are scored each for itself;
@@ -28,11 +30,13 @@ a null id is never held out. Without any training text all words are unknown, wi
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -41,43 +45,37 @@ from pyspark.sql import functions as F
 from .common import crc_mod, drop_path, slices, stash, stash_path
 
 LIMIT, HOT, CODED, PARTS = 5, 20_000, 65_536, 2
-#: Tokens that a task counts together; tokens for which there is a bucket.
-BUFFER_TOKENS, BUCKET_TOKENS = 1_000_000, 600_000
-REMEMBERED = 150_000
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+#: Tokens, and bytes of texts, that a task counts together; tokens for which there is a bucket.
+BUFFER_TOKENS, BUFFER_BYTES, BUCKET_TOKENS = 1_000_000, 64 << 20, 600_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Hashes have this bit, numbers don't. The end is a word like others, but with a hash of its own; the start has number 0.
 COLD = 1 << 63
 END, START = 0x14057B7EF767814F | COLD, 0
 
 
-class _Places(dict):
-    """Places of words in a list of their numbers, or of hashes where they have none."""
-
-    def __init__(self, codes: dict[int, int]) -> None:
-        self.codes = codes
-        self.forget()
-
-    def forget(self) -> None:
-        self.clear()
-        self.listed = [START, self.codes.get(END, END)]
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word) | COLD
-        self[word] = at = len(self.listed)
-        self.listed.append(self.codes.get(h, h))
-        return at
+def place(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key is in a sorted table, and whether it is."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 class Words:
-    """A text's tokens, its words and the end, as places in a list of words, which begins with the start and the end."""
+    """Hashes of words, or their numbers where they have one."""
 
     def __init__(self, coded: np.ndarray) -> None:
-        self.places = _Places(dict(zip(coded.tolist(), range(1, len(coded) + 1))))
+        self.order = np.argsort(coded)
+        self.coded = coded[self.order]
 
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8").translate(_LOWER).split()
-        return np.fromiter([*map(self.places.__getitem__, words), 1], np.uint32, len(words) + 1)
+    def __call__(self, words: pa.Array) -> np.ndarray:
+        """Of the start, the end and the words, in this order."""
+        hashes = map(xxhash.xxh3_64_intdigest, words.cast(pa.binary()).to_numpy(zero_copy_only=False))
+        h = np.append([np.uint64(END)], np.fromiter(hashes, np.uint64, len(words)) | np.uint64(COLD))
+        at, has = place(h, self.coded)
+        if len(self.coded):
+            h[has] = self.order[at[has]] + 1
+        return np.append([np.uint64(START)], h)
 
 
 def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -86,33 +84,44 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after the other, and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    found = lists.flatten()
+    full = pc.binary_length(found).to_numpy() > 0  # there is an empty one beside white space at an end
+    before = np.append(0, np.cumsum(full))[lists.offsets.to_numpy()]
+    return found.filter(pa.array(full)), np.diff(before)
+
+
 def _buffers(batches: Iterator[pa.RecordBatch], words: Words):
     """(row ids, list of words in order, and of each token: its place there, that of the one before, its row) of many texts at a time."""
-    ids, ws, n = [], [], 0
+    ids, parts, n, size = [], [], 0, 0
 
     def buffer():
-        listed = np.array(words.places.listed, np.uint64)
+        distinct = pa.concat_arrays([p[0] for p in parts]).dictionary_encode()
+        listed = words(distinct.dictionary)
         order = np.argsort(listed, kind="stable")
         rank = np.empty(len(order), np.uint64)
         rank[order] = np.arange(len(order), dtype=np.uint64)
-        lengths = np.array([len(x) for x in ws])
-        w = rank[np.concatenate(ws)]
+        lengths = np.concatenate([p[1] for p in parts]) + 1
+        ends = np.cumsum(lengths)
+        inner = np.ones(ends[-1], bool)
+        inner[ends - 1] = False
+        w = np.full(ends[-1], rank[1])
+        w[inner] = rank[2:][distinct.indices.to_numpy()]
         v = np.concatenate([w[:1], w[:-1]])
-        v[np.cumsum(lengths) - lengths] = rank[0]
-        if len(order) > REMEMBERED:
-            words.places.forget()
+        v[ends - lengths] = rank[0]
         return np.array(ids, np.int64), listed[order], w, v, np.repeat(np.arange(len(ids), dtype=np.uint64), lengths)
 
     for whole in batches:
         for b in slices(whole):
-            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                w = words(text)
-                ids.append(key)
-                ws.append(w)
-                n += len(w)
-                if n >= BUFFER_TOKENS or len(ids) >= 60_000:
-                    yield buffer()
-                    ids, ws, n = [], [], 0
+            ids += b.column(0).to_pylist()
+            parts.append(split(b.column(1)))
+            n += len(parts[-1][0]) + b.num_rows
+            size += b.nbytes
+            if n >= BUFFER_TOKENS or size >= BUFFER_BYTES or len(ids) >= 60_000:
+                yield buffer()
+                ids, parts, n, size = [], [], 0, 0
     if ids:
         yield buffer()
 
@@ -302,7 +311,7 @@ class Bucket:
 
 
 class Model:
-    """coded: hashes of words with numbers; by number p, c, la (log10 of alpha) and g (what v adds to a correction). words (w, c, la): those without. grams: the pairs of each bucket."""
+    """coded: hashes of words with numbers, the end among them; by number p, c, la (log10 of alpha) and g (what v adds to a correction). grams: the pairs of each bucket."""
 
     def __init__(self, train: DataFrame, least: int) -> None:
         spark = train.sparkSession
@@ -319,8 +328,8 @@ class Model:
             if n > CODED:
                 break
             least_size = k.size
-        numbered = size >= F.lit(float(least_size))
-        top = sorted(words.where(numbered).collect(), key=lambda r: (-r.c, r.w))  # at most CODED
+        numbered = (size >= F.lit(float(least_size))) | (F.col("w") == F.lit(END - (1 << 64)))
+        top = sorted(words.where(numbered).collect(), key=lambda r: (-r.c, r.w))  # at most CODED and the end
         self.coded = np.array([r.w for r in top], np.int64).view(np.uint64)
         d1 = discounts({r: sums[f"n{r}"] or 0 for r in range(1, LIMIT + 2)})
         coded, buckets = self.coded, self.buckets
@@ -335,8 +344,7 @@ class Model:
         self.unknown = 0.5 * self.types / self.tokens if flat else 1 - mass
         self.c = np.array([0, *(r.c for r in top)], np.int64)
         self.p = p = np.concatenate([[1.0], rule.p(self.c[1:])])
-        cold = words.where(~numbered)
-        grams_at = stash_path(with_word_counts(pairs, cold), "grams", compression="zstd")
+        grams_at = stash_path(with_word_counts(pairs, words.where(~numbered)), "grams", compression="zstd")
         self.grams = spark.read.parquet(grams_at)
         drop_path(spark, pairs_at)
 
@@ -344,26 +352,20 @@ class Model:
             for batch in batches:
                 for part in range(batch.num_rows):
                     b = Bucket(batch.slice(part, 1).to_pylist()[0], rule, p)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (b.vs.view(np.int64), b.cv, b.seen, b.known)], ["v", "cv", "seen", "known"])
+                    k = int(np.searchsorted(b.vs, np.uint64(COLD)))  # those with numbers come first
+                    yield pa.RecordBatch.from_arrays([pa.array(x[:k]) for x in (b.vs.view(np.int64), b.cv, b.seen, b.known)], ["v", "cv", "seen", "known"])
 
         by_v = self.grams.mapInArrow(sums_by_v, "v long, cv long, seen double, known double").groupBy("v").agg(*(F.sum(x).alias(x) for x in ("cv", "seen", "known")))
-        v_at = stash_path(by_v, "alphas")
-        by_v = spark.read.parquet(v_at)
         self.la, self.g = np.zeros(len(self.c)), np.zeros(len(self.c))
-        mine = by_v.where("v >= 0").collect()  # at most CODED and the start
+        mine = by_v.collect()  # at most CODED, the end and the start
         at = np.array([r.v for r in mine], np.int64)
         self.la[at], self.g[at] = weights(*(np.array([r[x] for r in mine], float) for x in ("cv", "seen", "known")))
-        share = F.col("seen") / F.col("cv")
-        la = F.log10(F.greatest(1 - share, 1 / (F.col("cv") + 1)) / (1 - F.col("known")))
-        alphas = by_v.where("v < 0 AND seen > 0").select(F.col("v").alias("w"), la.alias("la"))
-        self.words = stash(cold.join(alphas, "w", "left").select("w", "c", F.coalesce("la", F.lit(0.0)).alias("la")), "words")
-        for path in (all_at, v_at):
-            drop_path(spark, path)
+        drop_path(spark, all_at)
 
 
-SUMS = ("backoff", "base", "known", "tokens", "fix")
-#: Which of the sums an answer of each kind has.
-HAVE = {0: slice(0, 5), 1: slice(0, 3), 2: slice(4, 5)}
+SUMS = ("score", "base", "known", "tokens")
+#: How many of the sums an answer has: of what needs no bucket, and of a bucket.
+HAVE = {0: 4, 1: 3}
 
 
 def gather(got: pa.Table) -> pa.Table:
@@ -372,22 +374,23 @@ def gather(got: pa.Table) -> pa.Table:
     names, at = np.unique(rid, return_inverse=True)
     sums, i = np.zeros((len(SUMS), len(names))), 0
     for kind, data in zip(got.column("kind").to_pylist(), got.column("sums").to_pylist()):
-        own = np.frombuffer(data, np.float64).reshape(HAVE[kind].stop - HAVE[kind].start, -1)
-        for total, x in zip(sums[HAVE[kind]], own):
+        own = np.frombuffer(data, np.float64).reshape(HAVE[kind], -1)
+        for total, x in zip(sums, own):
             np.add.at(total, at[i : i + own.shape[1]], x)
         i += own.shape[1]
     return pa.table([names, *sums], ["rid", *SUMS])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(rid, backoff, base, known, tokens, fix): sums over the tokens of each (rid, text)."""
+    """(rid, score, base, known, tokens): sums over the tokens of each (rid, text)."""
     spark = docs.sparkSession
     buckets, rule, coded = model.buckets, model.rule, model.coded
     least = max(1, model.tokens // HOT)
     total = math.log10(model.tokens + model.types + 1)
     none = (math.log10(max(model.unknown, 1e-300)), -total)
     p, g, start = model.p, model.g, float(model.la[START])
-    of_words = np.stack([np.log10(p) + model.la, np.log10(model.c + 1) - total], 1)
+    # by number; the last are of a word without number, whose bucket adds the rest, and of an unknown end, which no bucket has
+    of_words = [np.append(x, y) for x, y in ((np.log10(p) + model.la, [0.0, none[0]]), (np.log10(model.c + 1) - total, [0.0, none[1]]), (np.ones(len(p)), [0.0, 0.0]))]
 
     def fixes(b: Bucket, g_of_v: np.ndarray) -> np.ndarray:
         """What a pair's log10 is above backoff; 0 for pairs left to it."""
@@ -409,95 +412,76 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     op = np.argsort(hp)
     sent = spark.sparkContext.broadcast((hp[op], np.array([r.fix for r in hot], float)[op]))
 
-    def place(keys: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where each key is in a sorted table, and whether it is."""
-        if not len(table):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return at, table[at] == keys
-
-    def ask(pairs: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Questions for the buckets: keys in order, how many rows have each, these rows and their counts. Kind 0 are sums that need no bucket, 1 words, 2 pairs."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Questions for the buckets: pairs in order, how many rows have each, these rows and their counts. Kind 0 are sums that need no bucket, 1 pairs."""
         hot_p, val_p = sent.value
         task = TaskContext.get().partitionId() << 32
         for asker, (rid, listed, w, v, row) in enumerate(_buffers(batches, Words(coded)), task):
-            sums = np.zeros((len(SUMS), len(rid)))
-            out = []
-            if pairs:
-                bucket, v, w, r = in_order(bucket_of(listed[v], listed[w], buckets), v, w, row)
-            else:
-                cold = listed >= np.uint64(COLD)
-                of_list = np.where(cold, (listed >> np.uint64(20)) % np.uint64(buckets) + np.uint64(1), np.uint64(0))
-                bucket, w, r = in_order(of_list[w], w, row)
-                v = np.zeros(len(w), np.uint64)
+            number = np.where(listed < np.uint64(COLD), listed, np.uint64(len(p)) + (listed == np.uint64(END))).astype(np.int64)
+            bucket, v, w, r = in_order(bucket_of(listed[v], listed[w], buckets), v, w, row)
             first = np.flatnonzero(_starts(bucket, v, w, r))
             n = np.diff(np.append(first, len(w)))
-            bucket, v, w, r = bucket[first], v[first], listed[w[first]], r[first].astype(np.int64)
-            if pairs:
-                v = listed[v]
-                at, known = place(pair_key(v, w), hot_p)
-                sums[4] = np.bincount(r[known], val_p[at[known]] * n[known], len(rid))
-            else:
-                sums[3] = np.bincount(r, n, len(rid))
-                known = bucket == 0
-                bucket = bucket - np.uint64(1)
-                at = w[known].astype(np.int64)
-                sums[0] = start + np.bincount(r[known], of_words[at, 0] * n[known], len(rid))
-                sums[1] = np.bincount(r[known], of_words[at, 1] * n[known], len(rid))
-                sums[2] = np.bincount(r[known], n[known], len(rid))
+            bucket, v, w, r = bucket[first], listed[v[first]], w[first], r[first].astype(np.int64)
+            of_w, w = number[w], listed[w]
+            sums = np.stack([*(np.bincount(r, x[of_w] * n, len(rid)) for x in of_words), np.bincount(r, n, len(rid))])
+            at, known = place(pair_key(v, w), hot_p)
+            sums[0] += start + np.bincount(r[known], val_p[at[known]] * n[known], len(rid))
             bucket, v, w, r, n = (x[~known] for x in (bucket, v, w, r, n))
             cuts = np.append(np.flatnonzero(_starts(bucket)), len(bucket)).tolist()
+            out = []
             for i, j in zip(cuts[:-1], cuts[1:]):
                 names, local = np.unique(r[i:j], return_inverse=True)
                 new = np.flatnonzero(_starts(v[i:j], w[i:j]))
                 runs = np.diff(np.append(new, j - i))
-                keys = (packed(v[i:j][new]), packed_codes(w[i:j][new])) if pairs else (b"", packed(w[i:j][new]))
-                out.append((int(bucket[i]), asker, 2 if pairs else 1, *keys, packed_codes(runs.astype(np.uint64)), local.astype(np.uint16).tobytes(), packed_codes(n[i:j].astype(np.uint64)), rid[names].tobytes()))
+                keys = packed(v[i:j][new]), packed_codes(w[i:j][new])
+                out.append((int(bucket[i]), asker, 1, *keys, packed_codes(runs.astype(np.uint64)), local.astype(np.uint16).tobytes(), packed_codes(n[i:j].astype(np.uint64)), rid[names].tobytes()))
             out.append((int(rid[0] % buckets), asker, 0, b"", sums.tobytes(), b"", b"", b"", rid.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["bucket", "asker", "kind", "v", "w", "runs", "row", "n", "rids"])
 
-    def answers(questions: pa.Table, keys: np.ndarray, columns: list[np.ndarray], otherwise: list[float]) -> pa.Table:
-        """For each question the sums by row of what a bucket's table (sorted keys, columns) has for it."""
+    def answer(questions: pa.Table, table: pa.Table) -> pa.Table:
+        """For each question the sums by row of what a bucket has for its pairs, and for their first words that have no number."""
+        keys, fix, vs = np.empty(0, np.uint64), np.empty(0), np.empty(0, np.uint64)
+        of_v = [np.empty(0)] * 3
+        if table.num_rows:
+            b = Bucket(table.to_pylist()[0], rule, p)
+            cold = b.vs >= np.uint64(COLD)
+            la, by_v = weights(b.cv, b.seen, b.known)
+            by_v = np.where(cold, by_v, g[np.where(cold, 0, b.vs).astype(np.int64)])
+            keys, fix = pair_key(b.v, b.w), fixes(b, by_v[b.of])
+            o = np.argsort(keys)
+            keys, fix, vs, c = keys[o], fix[o], b.vs[cold], b.cv[cold]
+            of_v = [np.log10(rule.p(c)) + la[cold], np.log10(c + 1) - total, np.ones(len(c))]
         done = []
         for q in questions.to_batches():
             for asker, kind, v, w, runs, row, n, rids in zip(*(q.column(c).to_pylist() for c in ("asker", "kind", "v", "w", "runs", "row", "n", "rids"))):
                 if kind == 0:
                     done.append((asker, kind, rids, w))
                     continue
-                at, has = place(pair_key(unpacked(v), unpacked_codes(w)) if kind == 2 else unpacked(w), keys)
-                runs, row, n = unpacked_codes(runs).astype(np.int64), np.frombuffer(row, np.uint16).astype(np.int64), unpacked_codes(n).astype(np.float64)
-                values = [np.repeat(np.where(has, x[at] if len(x) else e, e), runs) for x, e in zip(columns, otherwise)]
-                done.append((asker, kind, rids, np.concatenate([np.bincount(row, x * n, len(rids) // 8) for x in values]).tobytes()))
+                v, w, runs, row = unpacked(v), unpacked_codes(w), unpacked_codes(runs).astype(np.int64), np.frombuffer(row, np.uint16).astype(np.int64)
+                n, rows = unpacked_codes(n).astype(np.float64), len(rids) // 8
+                at, has = place(pair_key(v, w), keys)
+                values = np.where(has, fix[at], 0.0) if len(fix) else np.zeros(len(v))
+                k = int(np.searchsorted(v, np.uint64(COLD)))  # first words without number come last
+                new = np.flatnonzero(_starts(v[k:]))
+                asked = np.diff(np.append(new, len(v) - k))
+                at, has = place(v[k:][new], vs)
+                words = [np.repeat(np.where(has, x[at], e) if len(x) else np.full(len(at), e), asked) for x, e in zip(of_v, (*none, 0.0))]
+                values[k:] += words[0]
+                sums = [np.bincount(row, np.repeat(values, runs) * n, rows)]
+                row, n, runs = row[len(row) - runs[k:].sum() :], n[len(n) - runs[k:].sum() :], runs[k:]
+                sums += [np.bincount(row, np.repeat(x, runs) * n, rows) for x in words[1:]]
+                done.append((asker, kind, rids, np.concatenate(sums).tobytes()))
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*done) if done else [()] * 4, kinds)], ["asker", "kind", "rids", "sums"])
 
-    def answer_words(questions: pa.Table, table: pa.Table) -> pa.Table:
-        w = table.column("w").to_numpy().view(np.uint64)
-        o = np.argsort(w)
-        c, la = table.column("c").to_numpy()[o], table.column("la").to_numpy()[o]
-        return answers(questions, w[o], [np.log10(rule.p(c)) + la, np.log10(c + 1) - total, np.ones(len(o))], [*none, 0.0])
-
-    def answer_pairs(questions: pa.Table, table: pa.Table) -> pa.Table:
-        keys, fix = np.empty(0, np.uint64), np.empty(0)
-        if table.num_rows:
-            b = Bucket(table.to_pylist()[0], rule, p)
-            cold = b.vs >= np.uint64(COLD)
-            by_v = np.where(cold, weights(b.cv, b.seen, b.known)[1], g[np.where(cold, 0, b.vs).astype(np.int64)])
-            keys, fix = pair_key(b.v, b.w), fixes(b, by_v[b.of])
-            o = np.argsort(keys)
-            keys, fix = keys[o], fix[o]
-        return answers(questions, keys, [fix], [0.0])
-
-    def found(rows: DataFrame, pairs: bool, table: DataFrame) -> DataFrame:
-        asked = rows.select("rid", "text").mapInArrow(lambda batches: ask(pairs, batches), "bucket long, asker long, kind long, v binary, w binary, runs binary, row binary, n binary, rids binary")
-        sums = asked.groupBy("bucket").cogroup(table.groupBy("bucket")).applyInArrow(answer_pairs if pairs else answer_words, "asker long, kind long, rids binary, sums binary")
+    def found(rows: DataFrame) -> DataFrame:
+        asked = rows.select("rid", "text").mapInArrow(ask, "bucket long, asker long, kind long, v binary, w binary, runs binary, row binary, n binary, rids binary")
+        sums = asked.groupBy("bucket").cogroup(model.grams.groupBy("bucket")).applyInArrow(answer, "asker long, kind long, rids binary, sums binary")
         return sums.groupBy("asker").applyInArrow(gather, "rid long, " + ", ".join(f"{c} double" for c in SUMS))
 
     # one after the other: questions are what takes most room
-    words = model.words.withColumn("bucket", F.expr(f"pmod(shiftrightunsigned(w, 20), {buckets}L)"))
-    both = stash(found(docs, False, words), "words-found")
-    for part in range(PARTS):
-        both = both.union(stash(found(docs.where(F.pmod("rid", F.lit(PARTS)) == part), True, model.grams), "pairs-found"))
+    parts = [stash(found(docs.where(F.pmod("rid", F.lit(PARTS)) == part)), "found") for part in range(PARTS)]
+    both = functools.reduce(DataFrame.union, parts)
     return both.groupBy("rid").agg(*(F.sum(c).alias(c) for c in SUMS))
 
 
@@ -521,5 +505,5 @@ def evaluate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
         (F.col("known") / t).cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") / t).alias("base_score"),
-        ((F.col("backoff") + F.col("fix")) / t).alias("score"),
+        (F.col("score") / t).alias("score"),
     )

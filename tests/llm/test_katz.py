@@ -1,12 +1,16 @@
 import math
+import os
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from dossier.llm import katz
+from dossier.llm import common, katz
 
 from .conftest import frame
 
@@ -119,3 +123,55 @@ def test_packed_codes():
     x = np.array([0, 7, katz.COLD, 2**32 - 1, katz.COLD | 12345, 1], np.uint64)
     assert (katz.unpacked_codes(katz.packed_codes(x)) == x).all()
     assert len(katz.unpacked_codes(katz.packed_codes(x[:0]))) == 0
+
+
+def test_split():
+    """As bytes.split does: white space at the ends, or alone, makes no words."""
+    texts = ["", "  ", " a b ", "\ta\x0b\x0c\r\nb", "A\x1cB\x85c d\xa0e \x00 f", None, "ÄB é", " lead", "trail "]
+    want = [tokens(t)[:-1] for t in texts]
+    for given in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["cut off", *texts])[1:]):
+        words, n = katz.split(given)
+        assert words.to_pylist() == sum(want, []) and n.tolist() == [*map(len, want)]
+
+
+@pytest.mark.parametrize("coded", [0, 3])
+def test_words_without_numbers(spark, documents, monkeypatch, coded):
+    """Nearly all words are asked for with their pairs, unknown ones too; texts are read for that once in each part, not once more for words."""
+    monkeypatch.setattr(katz, "CODED", coded)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 3000)
+    rows = [(r.doc_id, r.text) for r in documents.limit(40).collect()] + [(1_000_000 + i, f"never{i} seen") for i in range(20)]
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", counted("text").alias("text"))
+    got = sorted(map(tuple, katz.evaluate(df).collect()))
+    assert read.value <= (4 + katz.PARTS) * len(rows)  # for words, pairs, ids, what part a text is in, and once in its part
+    for g, w in zip(got, sorted(brute(rows)), strict=True):
+        assert g[:5] == w[:5] and g[5:] == pytest.approx(w[5:], rel=1e-9)
+
+
+def test_nothing_to_learn_from(spark):
+    """All words, and the end, are unknown, with probability 1."""
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 == 2]
+    got = katz.evaluate(frame(spark, [(i, "some words" if i % 2 else None, "en", "s", 1) for i in ids])).collect()
+    assert sorted(r.doc_id for r in got) == ids
+    assert all((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) == (3 if r.doc_id % 2 else 1, 0, 0, 0.0, 0.0) for r in got)
+
+
+def test_shuffle_files_go_with_their_table(spark):
+    """A written table takes the place of its shuffle files; Spark's setting is as it was after that."""
+    def files(root):
+        return sum(f.startswith("shuffle_") for _, _, names in os.walk(root) for f in names)
+
+    root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    was, before = spark.conf.get(common.CLEANUP), files(root)
+    table = common.stash(spark.range(1000, numPartitions=3).groupBy((F.col("id") % 7).alias("k")).count(), "few")
+    end = time.time() + 5
+    while files(root) > before and time.time() < end:
+        time.sleep(0.1)
+    assert files(root) <= before and spark.conf.get(common.CLEANUP) == was
+    assert table.count() == 7
